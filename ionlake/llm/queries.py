@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.llm import exact_dedup, minhash_dedup, packing, substring_dedup
+from ionlake.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, substring_dedup, warc
+from ionlake.llm.shared import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +32,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), Stage(spark, "archives").path("warc"), least_bytes=0)
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=2)
 
@@ -44,7 +54,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_substring_dedup": op2_substring_dedup,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_warc": op6_warc,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
