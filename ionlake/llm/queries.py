@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, pii, substring_dedup, warc
+from ionlake.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, pii, substring_dedup, warc
 from ionlake.llm.shared import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of the labels table: toxic, good or plain."""
+    named = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return labels.select("doc_id", named.alias("domain"))
+
+
+#: Shares of tokens that the mix aims at.
+MIX = {"good": 0.75, "plain": 0.25, "toxic": 0.0}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.train(docs, domains(table(spark, sf_dir, "labels")))
+    return mixing.mix(docs, model, MIX)
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -72,6 +88,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.counts(F.col("spans")), F.sha2(base, 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=2)
 
@@ -80,11 +102,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_mixing": op3_mixing,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_warc": op6_warc,
         "op7_chat_format": op7_chat_format,
         "op8_pii": op8_pii,
+        "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
