@@ -18,17 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.shared import lower_ascii, text_bytes, words
+from ionlake.llm.shared import text_bytes, words
 
 #: Characters that one numpy pass looks at.
 PASS_CHARS = 1 << 18
 
 
+#: ASCII that is neither letter nor digit; it ends a word.
+_SIGN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 @dataclass(frozen=True)
 class Features:
     orders: tuple[int, ...] = (1, 2, 3)
     with_words: bool = False
     bits: int = 15
+    #: A value is count * scale / (features of the text) ** power.
+    power: float = 1.0
 
     @property
     def size(self) -> int:
@@ -55,7 +61,7 @@ class Features:
                     docs.append(doc[:n][inside])
         if self.with_words:
             data, at = text_bytes(pa.array(lowered, pa.string()))
-            wh, word_at, _ = words(lower_ascii(data), at)
+            wh, word_at, _ = words(np.where(_SIGN[data], np.uint8(32), data), at)
             parts.append((wh >> np.uint64(64 - self.bits)).astype(np.uint32))
             docs.append(np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(word_at)))
         if not parts:
@@ -164,6 +170,8 @@ class Model:
     table: np.ndarray  # (size, classes), inverse document frequency and scale included
     temperature: float
     features: Features
+    #: What each class's probability is multiplied with, where the sample's shares aren't the table's.
+    prior: tuple[float, ...] | None = None
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         out = np.full((len(texts), max(1, len(self.labels))), 1.0 / max(1, len(self.labels)))
@@ -174,9 +182,12 @@ class Model:
             if not len(some):
                 continue
             total = np.add.reduceat(self.table[bucket], at[:-1][some], axis=0) if len(bucket) else np.zeros((0, len(self.labels)))
-            s = total / n[some][:, None] / self.temperature
+            s = total / (n[some] ** self.features.power)[:, None] / self.temperature
             e = np.exp(s - s.max(axis=1, keepdims=True))
             out[a + some] = e / e.sum(axis=1, keepdims=True)
+        if self.prior is not None and self.labels:
+            out *= np.array(self.prior)
+            out /= out.sum(axis=1, keepdims=True)
         return out
 
 
@@ -197,7 +208,7 @@ def fit(sample: DataFrame, features: Features, idf: np.ndarray | None = None, ft
             for k, x, y in zip(range(a, b), at[:-1], at[1:], strict=True):
                 if y > x:
                     have, count = np.unique(bucket[x:y], return_counts=True)
-                    value = count * (ftrl.scale / (y - x))
+                    value = count * (ftrl.scale / (y - x) ** features.power)
                     rows.append((have, value * idf[have] if idf is not None else value, own[k]))
         held = rows[::5] if len(rows) >= 25 else []
         w = train_ftrl([r for k, r in enumerate(rows) if k % 5 or not held], len(labels), features.size, ftrl)

@@ -21,6 +21,7 @@ equal rates; an empty table gives an empty result; extra columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ionlake.llm.linear_text import Features, Ftrl, Model, bounded_sample, fit
 from ionlake.llm.shared import Stage, only
 
-FEATURES = Features(orders=(3,), with_words=True, bits=16)
+FEATURES = Features(orders=(2,), with_words=True, bits=18, power=0.5)
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", per_domain: int = 800) -> Model:
@@ -42,7 +43,10 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
         none = none | ((F.col("label") == label) & (F.xxhash64("id") <= top))
     chosen = rows.filter(none).groupBy("id").agg(F.min("label").alias("label"))  # per_domain rows of each domain at most
     sample = only(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), "id")
-    return fit(sample.select("label", "text", F.xxhash64("id").alias("order")), FEATURES, None, Ftrl(l1=0.01, epochs=5, scale=60.0))
+    model = fit(sample.select("label", "text", F.xxhash64("id").alias("order")), FEATURES, None, Ftrl(l1=2.0, epochs=10, scale=3.0))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    prior = tuple(counts[x] / min(counts[x], per_domain) for x in model.labels)
+    return replace(model, prior=prior)
 
 
 def posteriors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
