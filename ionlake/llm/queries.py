@@ -39,7 +39,7 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 #: Shares of tokens that the mix aims at.
-MIX = {"good": 0.9, "plain": 0.1, "toxic": 0.0}
+MIX = {"good": 0.87, "plain": 0.1, "toxic": 0.03}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
