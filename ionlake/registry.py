@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from ionlake.plans import extract_queries, table_queries  # noqa: F401  (they register)
+from ionlake.plans.base import ORACLE, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
