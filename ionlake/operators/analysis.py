@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def sample_matrix(results: DataFrame, samples: DataFrame, metric: str, labels: list[str], meta: tuple[str, ...] = ("ms_file_label", "sample_type")) -> DataFrame:
@@ -131,7 +132,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, direct, other)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     ok = t.notna() & df.notna() & (df > 0)
@@ -141,7 +142,7 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Upper tail of F."""
     ok = f.notna() & (df1 > 0) & (df2 > 0)

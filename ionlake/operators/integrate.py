@@ -49,7 +49,7 @@ def peak_metrics(rows: DataFrame, low: Column, high: Column) -> DataFrame:
             "peak_min": r0(F.array_min("_i")),
             "peak_mean": r0(F.when(F.col("_n") > 0, F.aggregate("_i", F.lit(0.0), lambda s, x: s + x) / F.col("_n"))),
             "peak_median": r0(median),
-            "peak_n_datapoints": F.col("_n"),
+            "peak_n_datapoints": F.col("_n").cast("long"),
             "peak_rt_of_max": F.get(F.col("_t"), F.col("_at").cast("int") - 1),
             "window_time": F.col("_t"),
             "window_intensity": F.col("_i"),

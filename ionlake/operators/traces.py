@@ -153,6 +153,7 @@ def group_neighbors(samples: DataFrame, group: str, n: int = 10, seed: int = 0)
     rows = samples.select("ms_file_label", F.col(group).alias("_g")).withColumnRenamed("_g", group)
     rows = rows.withColumn("_k", F.row_number().over(ranked) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
     steps = F.explode(F.sequence(F.lit(1), F.least(F.lit(n), (F.col("_n") - 1).cast("int"))))
-    asks = rows.filter("_n > 1").select(F.col("ms_file_label").alias("of"), F.col(group).alias("_g"), ((F.col("_k") + steps) % F.col("_n")).alias("_at"))
+    asks = rows.filter("_n > 1").select(F.col("ms_file_label").alias("of"), F.col(group).alias("_g"), "_k", "_n", steps.alias("_step"))
+    asks = asks.select("of", "_g", ((F.col("_k") + F.col("_step")) % F.col("_n")).alias("_at"))
     answers = rows.select(F.col(group).alias("_h"), F.col("_k").alias("_there"), F.col("ms_file_label").alias("neighbor"))
     return asks.join(answers, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_at") == F.col("_there"))).select("of", "neighbor")

@@ -47,7 +47,7 @@ MZ_DIGEST = "array_to_string(list_transform(mz_arr, lambda x: coalesce(CAST(CAST
 def digest(df: DataFrame) -> DataFrame:
     """Arrays as comma lists of whole numbers, to compare."""
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
-    out = [F.col("peak_label"), F.col("ms_file_label"), F.size("scan_time").alias("n"), text("scan_time").alias("times"), text("intensity").alias("intensities")]
+    out = [F.col("peak_label"), F.col("ms_file_label"), F.size("scan_time").cast("long").alias("n"), text("scan_time").alias("times"), text("intensity").alias("intensities")]
     if "mz_arr" in df.columns:
         out.append(F.array_join(F.transform("mz_arr", lambda x: F.coalesce(F.round(x * 100).cast("long").cast("string"), F.lit("null"))), ",").alias("mzs"))
     return df.select(*out)
@@ -127,7 +127,7 @@ def d3(spark: SparkSession, d: str) -> DataFrame:
 @query("d4_ordered_lists", "SELECT peak_label, ms_file_label, len(scan_time) AS n, array_to_string(list_transform(intensity, lambda x: CAST(round(x * 100) AS BIGINT)), ',') AS intensities FROM traces", "traces")
 def d4(spark: SparkSession, d: str) -> DataFrame:
     text = F.array_join(F.transform("intensity", lambda x: F.round(x * 100).cast("long").cast("string")), ",")
-    return V.traces(spark, d).select("peak_label", "ms_file_label", F.size("scan_time").alias("n"), text.alias("intensities"))
+    return V.traces(spark, d).select("peak_label", "ms_file_label", F.size("scan_time").cast("long").alias("n"), text.alias("intensities"))
 
 
 SCANS = "SELECT DISTINCT ms_file_label, scan_id, scan_time, 'ms1' AS ms_type FROM points WHERE filterLine LIKE '%O' UNION ALL SELECT DISTINCT ms_file_label, scan_id, scan_time, 'ms2' AS ms_type FROM points WHERE filterLine NOT LIKE '%O'"
@@ -239,7 +239,7 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
     return G.peak_metrics(rows, F.col("rt_min"), F.col("rt_max")).select(*NAMES.split(", "))
 
 
-@query("g1_rt_shift_for_file", "SELECT ms_file_label, CASE WHEN n % 3 = 0 THEN 0.0 WHEN n % 3 = 1 THEN n * 0.5 ELSE 0.0 END AS shift FROM (SELECT ms_file_label, max(length(ms_file_label)) + count(*) AS n FROM trace_points GROUP BY 1)", "trace_points")
+@query("g1_rt_shift_for_file", "SELECT ms_file_label, CASE WHEN n % 3 = 0 THEN 0.0::DOUBLE WHEN n % 3 = 1 THEN n * 0.5::DOUBLE ELSE 0.0::DOUBLE END AS shift FROM (SELECT ms_file_label, max(length(ms_file_label)) + count(*) AS n FROM trace_points GROUP BY 1)", "trace_points")
 def g1(spark: SparkSession, d: str) -> DataFrame:
     rows = V.trace_points(spark, d).groupBy("ms_file_label").agg((F.max(F.length("ms_file_label")) + F.count(F.lit(1))).alias("n"))
     # One in three has no entry, one a number and one something that isn't one.
@@ -247,7 +247,7 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("j", F.coalesce(entry, F.lit('{"other": 1}'))).select("ms_file_label", G.rt_shift_for_file(F.col("j"), F.col("ms_file_label")).alias("shift"))
 
 
-@query("g4_integrate", f"""WITH {CHROM}, src AS (SELECT c.*, t.rt_min, t.rt_max, CASE WHEN t.bookmark THEN 7.0 ELSE 0.0 END AS shift, t.bookmark AS rt_aligned FROM chrom c JOIN targets t USING (peak_label)), w0 AS ({METRICS}), {METRICS2}
+@query("g4_integrate", f"""WITH {CHROM}, src AS (SELECT c.*, t.rt_min, t.rt_max, CASE WHEN t.bookmark THEN 7.0::DOUBLE ELSE 0.0::DOUBLE END AS shift, t.bookmark AS rt_aligned FROM chrom c JOIN targets t USING (peak_label)), w0 AS ({METRICS}), {METRICS2}
     SELECT {NAMES}, rt_aligned, shift AS rt_shift, mz_arr[CAST(list_position(intensity, peak_max) AS BIGINT)] AS peak_mz_of_max FROM metrics""", "points targets samples")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     # Bookmarked targets are aligned: every file has a shift of one scan.

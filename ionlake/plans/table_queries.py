@@ -76,7 +76,7 @@ def b4(spark: SparkSession, d: str) -> DataFrame:
     return checked(spark, d).select(*TIMES)
 
 
-@query("b5_default_target_fields", f"""SELECT row_no, coalesce(mz_width, 10.0) AS mz_width, replace(replace(replace(replace(polarity, '+', 'Positive'), 'positive', 'Positive'), '-', 'Negative'), 'negative', 'Negative') AS polarity,
+@query("b5_default_target_fields", f"""SELECT row_no, coalesce(mz_width, 10.0)::DOUBLE AS mz_width, replace(replace(replace(replace(polarity, '+', 'Positive'), 'positive', 'Positive'), '-', 'Negative'), 'negative', 'Negative') AS polarity,
     CASE WHEN coalesce(filterLine, '') <> '' THEN 'ms2' ELSE 'ms1' END AS ms_type, coalesce(peak_selection, true) AS peak_selection, coalesce(bookmark, false) AS bookmark FROM ({RAW})""")
 def b5(spark: SparkSession, d: str) -> DataFrame:
     return T.default_target_fields(raw(spark, d)).select("row_no", "mz_width", "polarity", "ms_type", "peak_selection", "bookmark")
@@ -254,12 +254,12 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return T.upsert(old, old.filter("bookmark").withColumn("score", F.lit(-1.0)), ["peak_label"]).select("peak_label", "score")
 
 
-@query("a12_upsert_chromatograms", "SELECT peak_label, ms_file_label, CASE WHEN use_for_processing THEN 0 ELSE len(intensity) END AS n FROM traces JOIN users USING (ms_file_label)", "traces users")
+@query("a12_upsert_chromatograms", "SELECT peak_label, ms_file_label, CASE WHEN use_for_processing THEN 0::BIGINT ELSE len(intensity) END AS n FROM traces JOIN users USING (ms_file_label)", "traces users")
 def a12(spark: SparkSession, d: str) -> DataFrame:
     old = V.traces(spark, d)
     used = V.users(spark, d).filter("use_for_processing").select("ms_file_label")
     new = old.join(used, "ms_file_label", "left_semi").select("peak_label", "ms_file_label", F.array().cast("array<double>").alias("scan_time"), F.array().cast("array<double>").alias("intensity"))
-    return T.upsert(old, new, ["peak_label", "ms_file_label"]).select("peak_label", "ms_file_label", F.size("intensity").alias("n"))
+    return T.upsert(old, new, ["peak_label", "ms_file_label"]).select("peak_label", "ms_file_label", F.size("intensity").cast("long").alias("n"))
 
 
 @query("a13_delete_files", "SELECT 'points' AS table_name, count(*) AS n FROM points WHERE ms_file_label NOT IN (SELECT ms_file_label FROM samples WHERE NOT use_for_processing) UNION ALL SELECT 'samples', count(*) FROM samples WHERE use_for_processing", "points samples")
@@ -306,7 +306,7 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
     return R.export_results_long(rows, ["intensity", "secret", "peak_label"], ["intensity", "scan_time"])
 
 
-@query("a21_import_feature_table", "SELECT peak_label, mz, rt, rt_min, rt_max FROM (SELECT 'F' || p_partkey AS peak_label, p_retailprice AS mz, p_size::DOUBLE AS rt, p_size - 1.0 AS rt_min, p_size + 1.0 AS rt_max, (p_partkey % 10) / 10.0 AS c, p_partkey % 7 AS n FROM part) WHERE c >= 0.4 AND n >= 3")
+@query("a21_import_feature_table", "SELECT peak_label, mz, rt, rt_min, rt_max FROM (SELECT 'F' || p_partkey AS peak_label, p_retailprice AS mz, p_size::DOUBLE AS rt, (p_size - 1.0)::DOUBLE AS rt_min, (p_size + 1.0)::DOUBLE AS rt_max, (p_partkey % 10) / 10.0 AS c, p_partkey % 7 AS n FROM part) WHERE c >= 0.4 AND n >= 3")
 def a21(spark: SparkSession, d: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     rows = V.table(spark, d, "part").select(F.concat(F.lit("F"), k).alias("id_number"), F.col("p_retailprice").alias("mz"), size.cast("double").alias("rtime"), (size - 1.0).alias("rtime_left_base"), (size + 1.0).alias("rtime_right_base"), (k % 10 / 10.0).alias("cSelectivity"), (k % 7).alias("detection_counts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ionlake.plans import extract_queries, table_queries  # noqa: F401  (they register)
+from ionlake.plans import analysis_queries, extract_queries, table_queries, trace_queries  # noqa: F401  (they register)
 from ionlake.plans.base import ORACLE, QUERIES, Query
 
 
