@@ -20,7 +20,7 @@ SQL = {
     "targets": """
         SELECT 'P' || p_size AS peak_label, 2000.0::DOUBLE * p_size AS mz_mean, 20000.0::DOUBLE AS mz_width, 20.0::DOUBLE * p_size + 200 AS rt, 20.0::DOUBLE * p_size AS rt_min,
                20.0::DOUBLE * p_size + 400 AS rt_max, 's' AS rt_unit, (p_size % 7 + 1)::DOUBLE AS intensity_threshold, 'ms1' AS ms_type, CAST(NULL AS VARCHAR) AS filterLine,
-               p_size % 3 <> 0 AS peak_selection, p_size % 4 = 0 AS bookmark, min(p_brand) AS category, round(avg(p_retailprice), 2) AS score
+               p_size % 3 <> 0 AS peak_selection, p_size % 4 = 0 AS bookmark, min(p_brand) AS category, max(p_retailprice) AS score
         FROM part GROUP BY p_size
     """,
     "targets2": """
@@ -84,7 +84,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.min("p_brand").alias("category"), F.round(F.avg("p_retailprice"), 2).alias("score"))
+    rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.min("p_brand").alias("category"), F.max("p_retailprice").alias("score"))
     return rows.select(
         F.concat(F.lit("P"), size).alias("peak_label"), (size * 2000.0).alias("mz_mean"), F.lit(20000.0).alias("mz_width"), (size * 20.0 + 200).alias("rt"), (size * 20.0).alias("rt_min"), (size * 20.0 + 400).alias("rt_max"),
         F.lit("s").alias("rt_unit"), (size % 7 + 1).cast("double").alias("intensity_threshold"), F.lit("ms1").alias("ms_type"), F.lit(None).cast("string").alias("filterLine"), (size % 3 != 0).alias("peak_selection"), (size % 4 == 0).alias("bookmark"), "category", "score",
