@@ -10,19 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionlake.sources.staging import shared_folder
+
 #: Bytes of text that one numpy pass looks at; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- staged tables
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` or, where unset, the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    return found.rstrip("/")
-
-
 class Stage:
     """Tables of one query, written to the shared folder so that lineage ends there.
 
@@ -58,6 +52,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and where each begins; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
