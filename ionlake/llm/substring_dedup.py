@@ -21,7 +21,7 @@ starts anywhere else in the corpus too.
    different surroundings) would fill a task. Their windows are counted by content
    instead, with a 128-bit digest as the key: exact, and dealt evenly.
 6. Every segment gets its duplicate starts back, and one pass over the documents
-   removes the covered words.
+   removes the covered words. Staged tables are deleted once nothing reads them.
 
 Edge cases: null text has no words; empty texts and texts shorter than the window
 keep all words; a passage that repeats inside one document counts; repeated rows of
@@ -283,8 +283,11 @@ def duplicate_starts(source: DataFrame, window: int, stage: Stage) -> DataFrame:
     mine = anchors.join(again, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("anchors"))
     segments = source.join(mine, "id").mapInArrow(_segments(window), "anchor long, id long, start int, n short, key binary, segment string")
     segments = stage.keep(segments, "segments")
+    stage.drop("anchors")
     distinct = segments.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("segment").alias("segment"))
     distinct = stage.keep(distinct, "distinct")
+    places = stage.keep(segments.select("anchor", "key", "id", "start"), "places")
+    stage.drop("segments")
     sizes = stage.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")), "sizes")
     crowded = sizes.filter(F.col("size") > REGION).select("anchor")
     calm = distinct.join(crowded, "anchor", "left_anti")
@@ -295,7 +298,9 @@ def duplicate_starts(source: DataFrame, window: int, stage: Stage) -> DataFrame:
     common = windows.groupBy("digest").agg(F.sum("copies").alias("c")).filter("c > 1").select("digest")
     counted = windows.join(common, "digest", "left_semi").groupBy("anchor", "key").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     bits = stage.keep(parsed.unionByName(counted).filter("bits <> 0"), "bits")
-    return segments.select("anchor", "key", "id", "start").join(bits, ["anchor", "key"]).select("id", "start", "bits")
+    for name in ("distinct", "sizes", "windows"):
+        stage.drop(name)
+    return places.join(bits, ["anchor", "key"]).select("id", "start", "bits")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
