@@ -9,13 +9,20 @@
 3. Each tree of the forest is one sorted order: rows (tree, DEPTH minima, id) are
    range-partitioned and sorted. Candidates are longest-common-prefix neighbours.
    The prefix starts at ``SHALLOW`` minima; a region whose prefix group is larger
-   than ``REGION`` goes one minimum deeper, and so on, with the ``NEAR`` next rows of
-   the order linked across the cut. Each row so meets a bounded number of others,
-   and a region of any size spreads over partitions, as ids are part of the order.
-4. Candidates from all trees are made distinct, sketches drop pairs that are far
-   from the threshold (six standard deviations), and the rest is confirmed on the
+   than the pass's ``region`` goes one minimum deeper, and so on, with the ``near`` next
+   rows of the order linked across the cut. Each row so meets a bounded number of
+   others, and a region of any size spreads over partitions, as ids are part of the order.
+4. Candidates from all trees of a pass are made distinct, sketches drop pairs that are
+   far from the threshold (six standard deviations), and the rest is confirmed on the
    full shingle sets.
-5. Links make components (``ionlake.llm.components``).
+5. Links make components (``ionlake.llm.components``). The first pass has few trees,
+   enough to join most groups; the second has the other trees and looks only at pairs
+   that the first did not join, so that a large group of near copies costs little.
+
+Which texts a pass reads again is known by a bitmap of at most ``BITMAP`` bits over hashes
+of ids, a broadcast of bounded size, and then by an exact semi-join. Joins of signatures and
+sets ask for a sort-merge join, so that nothing that grows with the corpus is broadcast and
+a plan tried on a small table is that of a large one.
 
 Recall: a pair at similarity s shares a SHALLOW prefix in a tree with s**SHALLOW, so at
 s = 0.85 all 40 trees miss it with odds of about 1e-13; in a region that goes to
@@ -42,7 +49,11 @@ from ionlake.llm.shared import Stage, grams, lower_ascii, mix, only, passes, tex
 
 TREES, DEPTH, SHALLOW = 40, 8, 4
 BINS = TREES * DEPTH
-REGION, NEAR = 24, 6
+#: (first tree, tree after the last, largest region whose pairs are all candidates, rows linked across a cut) of each pass.
+PASSES = ((0, 8, 12, 3), (8, TREES, 12, 3))
+BITMAP = 1 << 26
+#: Sets smaller than this aren't judged by their sketches.
+SMALL = 48
 #: Tries of a hashed bin before an empty bin takes the filled bin that ranks first for it.
 TRIES = 8
 
@@ -124,85 +135,120 @@ def _describe(width: int):
     return run
 
 
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _orders(first: int, last: int):
     """A row for each tree: the tree's number and its minima as bytes that sort in their order."""
-    for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        sig = np.stack([np.frombuffer(s, np.uint16) for s in batch.column(1).to_pylist()]).astype(">u2").reshape(n * TREES, DEPTH)
-        key = np.zeros((n * TREES, 1 + 2 * DEPTH), np.uint8)
-        key[:, 0] = np.tile(np.arange(TREES, dtype=np.uint8), n)
-        key[:, 1:] = sig.view(np.uint8).reshape(n * TREES, 2 * DEPTH)
-        flat = pa.Array.from_buffers(pa.binary(1 + 2 * DEPTH), n * TREES, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
-        ids = pa.array(np.repeat(batch.column(0).to_numpy(), TREES), pa.int64())
-        for a in range(0, n * TREES, 50_000):
-            yield pa.RecordBatch.from_arrays([flat.slice(a, 50_000), ids.slice(a, 50_000)], ["key", "id"])
-
-
-def _region(keys: np.ndarray, lo: int, hi: int, depth: int, a: list, b: list) -> None:
+    trees = last - first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            sig = np.stack([np.frombuffer(s, np.uint16) for s in batch.column(2).to_pylist()])[:, first * DEPTH : last * DEPTH]
+            sig = np.ascontiguousarray(sig.astype(">u2")).reshape(n * trees, DEPTH)
+            key = np.zeros((n * trees, 1 + 2 * DEPTH), np.uint8)
+            key[:, 0] = np.tile(np.arange(first, last, dtype=np.uint8), n)
+            key[:, 1:] = sig.view(np.uint8).reshape(n * trees, 2 * DEPTH)
+            flat = pa.Array.from_buffers(pa.binary(1 + 2 * DEPTH), n * trees, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
+            ids, group = (pa.array(np.repeat(batch.column(k).to_numpy(), trees), pa.int64()) for k in (0, 1))
+            for a in range(0, n * trees, 50_000):
+                yield pa.RecordBatch.from_arrays([flat.slice(a, 50_000), ids.slice(a, 50_000), group.slice(a, 50_000)], ["key", "id", "component"])
+
+    return run
+
+
+def _region(keys: np.ndarray, lo: int, hi: int, depth: int, region: int, near: int, a: list, b: list) -> None:
     """Candidate index pairs of the sorted rows lo..hi, which share ``depth`` minima."""
     n = hi - lo
     if n < 2:
         return
-    if n <= REGION:
+    if n <= region:
         i, j = np.triu_indices(n, 1)
         a.append(i + lo)
         b.append(j + lo)
         return
-    for d in range(1, NEAR + 1):
+    for d in range(1, near + 1):
         a.append(np.arange(lo, hi - d))
         b.append(np.arange(lo + d, hi))
     if depth == DEPTH:
         head = np.full(n - 1, lo)
         a.append(head)
         b.append(np.arange(lo + 1, hi))
-        for x in range(lo, hi, REGION):
-            _region(keys, x, min(x + REGION, hi), depth, a, b)
+        for x in range(lo, hi, region):
+            _region(keys, x, min(x + region, hi), depth, region, near, a, b)
         return
     at = keys[lo:hi, 1 + 2 * depth : 3 + 2 * depth]
     cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1 + lo
     for x, y in zip([lo, *cuts], [*cuts, hi], strict=True):
-        _region(keys, x, y, depth + 1, a, b)
+        _region(keys, x, y, depth + 1, region, near, a, b)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a sorted partition; rows of a region may come in several batches."""
-    kept: tuple[np.ndarray, np.ndarray] | None = None
+def _neighbours(region: int, near: int):
+    """Candidate pairs of a sorted partition that aren't in one component yet; rows of a region may come in several batches."""
     prefix = 1 + 2 * SHALLOW
 
-    def emit(keys: np.ndarray, ids: np.ndarray, to: int) -> Iterator[pa.RecordBatch]:
+    def emit(keys: np.ndarray, ids: np.ndarray, group: np.ndarray, to: int) -> Iterator[pa.RecordBatch]:
         change = (keys[1:to, :prefix] != keys[: to - 1, :prefix]).any(axis=1)
         first = np.r_[0, np.flatnonzero(change) + 1]
         size = np.diff(np.r_[first, to])
         a, b = [], []
         for lo, n in zip(first[size > 1], size[size > 1], strict=True):
-            _region(keys, int(lo), int(lo + n), SHALLOW, a, b)
+            if (group[lo : lo + n] != group[lo]).any():
+                _region(keys, int(lo), int(lo + n), SHALLOW, region, near, a, b)
         if a:
-            x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+            i, j = np.concatenate(a), np.concatenate(b)
+            apart = group[i] != group[j]
+            x, y = ids[i[apart]], ids[j[apart]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        raw = batch.column(0).cast(pa.binary(1 + 2 * DEPTH))
-        keys = np.frombuffer(raw.buffers()[1], np.uint8).reshape(-1, 1 + 2 * DEPTH)[raw.offset : raw.offset + len(raw)]
-        ids = batch.column(1).to_numpy()
-        if kept is not None:
-            keys, ids = np.concatenate([kept[0], keys]), np.concatenate([kept[1], ids])
-        last = keys[-1, :prefix]
-        to = int(np.flatnonzero((keys[:, :prefix] != last).any(axis=1))[-1]) + 1 if (keys[0, :prefix] != last).any() else 0
-        if to:
-            yield from emit(keys, ids, to)
-        kept = (keys[to:].copy(), ids[to:].copy())
-    if kept is not None and len(kept[0]) > 1:
-        yield from emit(*kept, len(kept[0]))
-
-
-def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw = batch.column(0).cast(pa.binary(1 + 2 * DEPTH))
+            now = (
+                np.frombuffer(raw.buffers()[1], np.uint8).reshape(-1, 1 + 2 * DEPTH)[raw.offset : raw.offset + len(raw)],
+                batch.column(1).to_numpy(),
+                batch.column(2).to_numpy(),
+            )
+            keys, ids, group = now if kept is None else (np.concatenate([k, n]) for k, n in zip(kept, now, strict=True))
+            last = keys[-1, :prefix]
+            to = int(np.flatnonzero((keys[:, :prefix] != last).any(axis=1))[-1]) + 1 if (keys[0, :prefix] != last).any() else 0
+            if to:
+                yield from emit(keys, ids, group, to)
+            kept = (keys[to:].copy(), ids[to:].copy(), group[to:].copy())
+        if kept is not None and len(kept[0]) > 1:
+            yield from emit(*kept, len(kept[0]))
+
+    return run
+
+
+def _place(column: F.Column, bits: int) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """(64-bit words, number of bits) of a bitmap over hashes of the ids; at most BITMAP bits, whatever their number."""
+    bits = 1 << 16
+    n = ids.count()
+    while bits < min(16 * n, BITMAP):
+        bits *= 2
+    at = _place(F.col("id"), bits)
+    rows = ids.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    words_ = np.zeros(bits >> 6, np.int64)
+    words_[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words_.view(np.uint64), bits
+
+
+def _sets(width: int, bitmap: np.ndarray):
+    """Sorted shingle hashes of the documents whose place in the bitmap is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
             data, at = text_bytes(batch.column(1))
             for a, b in passes(at):
                 g, doc = shingles(lower_ascii(data[at[a] : at[b]]), at[a : b + 1] - at[a], width)
@@ -231,7 +277,21 @@ def _confirm(similarity: float):
     return run
 
 
+def spread(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """Standard deviation of the share of equal bins of two sets whose similarity is the threshold.
+
+    Filled bins hold a sample without replacement of the union, which for small unions is
+    nearly all of it; bins that borrow repeat filled ones at random.
+    """
+    union = (na + nb) / (1 + similarity)
+    filled = 0.95 * BINS * -np.expm1(-union / BINS)
+    sampled = np.maximum(union - filled, 0) / np.maximum(union - 1, 1) / filled
+    return np.sqrt(similarity * (1 - similarity) * (sampled + (BINS - filled) / BINS**2))
+
+
 def _plausible(similarity: float):
+    """Pairs whose sketches are at most six standard deviations under the threshold; of small sets, all pairs of fitting sizes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -239,52 +299,60 @@ def _plausible(similarity: float):
             x = np.stack([np.frombuffer(s, np.uint16) for s in batch.column("sa").to_pylist()])
             y = np.stack([np.frombuffer(s, np.uint16) for s in batch.column("sb").to_pylist()])
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            # Of a set smaller than BINS, so many minima only are independent.
-            spread = 6 * np.sqrt(similarity * (1 - similarity) / np.minimum(BINS, np.maximum(1, 0.6 * np.minimum(na, nb))))
-            ok = ((x == y).mean(axis=1) >= similarity - spread) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9)
+            small = np.minimum(na, nb) < SMALL
+            ok = small | ((x == y).mean(axis=1) >= similarity - 6 * spread(na, nb, similarity))
+            ok &= np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
-def near_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): id, n_shingles, rep for every document; confirmed pairs a < b of class representatives."""
+def near_components(docs: DataFrame, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, components): id, n_shingles, rep for every document; vertex, component for representatives with links."""
     spark = docs.sparkSession
-    stage = stage or Stage(spark, "minhash")
+    stage = Stage(spark, "minhash")
     source = only(docs, id_col, text_col).toDF("id", "text").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("long"))
     described = stage.keep(source.mapInArrow(_describe(width), "id long, n_shingles long, same binary, signature binary"), "described")
     firsts = described.filter("n_shingles > 0").groupBy("same").agg(F.min("id").alias("rep"))
     members = described.select("id", "n_shingles", "same").join(firsts, "same", "left")
     members = stage.keep(members.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
     reps = members.filter("n_shingles > 0 AND id = rep").select("id").distinct()
-    reps = stage.keep(described.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "signature", "n_shingles"), "reps")
-
-    orders = reps.select("id", "signature").mapInArrow(_orders, "key binary, id long")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    pairs = orders.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours, "a long, b long")
-    pairs = stage.keep(pairs.distinct(), "pairs")
-    one = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
-    two = reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-    likely = stage.keep(pairs.join(one, "a").join(two, "b").mapInArrow(_plausible(similarity), "a long, b long"), "likely")
-
-    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    sets = stage.keep(source.join(ends, "id", "left_semi").mapInArrow(_sets(width), "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    checked = likely.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    checked = checked.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    return members, stage.keep(checked.mapInArrow(_confirm(similarity), "a long, b long"), "links")
+    reps = stage.keep(described.join(reps.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", "signature", "n_shingles"), "reps")
+
+    found = None
+    links: list[DataFrame] = []
+    for k, (first, last, region, near) in enumerate(PASSES):
+        component = F.col("id").alias("component")
+        rows = reps.select("id", component, "signature")
+        if found is not None:
+            rows = reps.join(found.hint("shuffle_merge"), reps["id"] == found["vertex"], "left").select("id", F.coalesce("component", "id").alias("component"), "signature")
+        orders = rows.mapInArrow(_orders(first, last), "key binary, id long, component long")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        pairs = orders.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours(region, near), "a long, b long")
+        pairs = stage.keep(pairs.distinct(), f"pairs{k}")
+        one = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
+        two = reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
+        likely = pairs.hint("shuffle_merge").join(one, "a").hint("shuffle_merge").join(two, "b")
+        likely = stage.keep(likely.mapInArrow(_plausible(similarity), "a long, b long"), f"likely{k}")
+
+        ends = stage.keep(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct(), f"ends{k}")
+        bitmap, bits = _bitmap(ends)
+        sets = source.select("id", "text", _place(F.col("id"), bits).alias("place")).mapInArrow(_sets(width, bitmap), "id long, hashes binary")
+        sets = stage.keep(sets.join(ends.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]), f"sets{k}")
+        checked = likely.hint("shuffle_merge").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+        checked = checked.hint("shuffle_merge").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+        links.append(stage.keep(checked.mapInArrow(_confirm(similarity), "a long, b long"), f"links{k}"))
+        for name in ("pairs", "sets"):
+            stage.drop(f"{name}{k}")
+        found = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]), Stage(spark, f"minhash-components{k}"))
+    return members, found
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest reachable id), kept, n_links (of its class to other classes)."""
-    stage = Stage(docs.sparkSession, "minhash")
-    members, links = near_links(docs, similarity, width, id_col, text_col, stage)
-    found = components(links, stage)
-    ends = links.select(F.col("a").alias("vertex")).unionByName(links.select(F.col("b").alias("vertex"))).groupBy("vertex").count()
-    found = found.join(ends, "vertex").select(F.col("vertex").alias("rep"), "component", F.col("count").alias("n_links"))
-    out = members.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    """Per document: id, n_shingles, component_id (smallest reachable id), kept."""
+    members, found = near_components(docs, similarity, width, id_col, text_col)
+    out = members.join(found, members["rep"] == found["vertex"], "left").withColumn("component_id", F.coalesce("component", "rep"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
