@@ -12,12 +12,18 @@
    than the pass's ``region`` goes one minimum deeper, and so on, with the ``near`` next
    rows of the order linked across the cut. Each row so meets a bounded number of
    others, and a region of any size spreads over partitions, as ids are part of the order.
+   These passes find most links, but not all pairs of a large region.
 4. Candidates from all trees of a pass are made distinct, sketches drop pairs that are
    far from the threshold (six standard deviations), and the rest is confirmed on the
    full shingle sets.
 5. Links make components (``ionlake.llm.components``). The first pass has few trees,
    enough to join most groups; the second has the other trees and looks only at pairs
    that the first did not join, so that a large group of near copies costs little.
+6. Regions of any tree whose pairs were not all candidates (larger than ``region``, or
+   touching the edge of a partition) and that still hold more than one component are
+   compared in full: rows outside the region's largest component with all its rows, in
+   block pairs dealt to tasks, by sketch. A pair is looked at in the first tree whose
+   SHALLOW prefix it shares. Sets of what is likely go to blocks of pairs, not to each pair.
 
 Which texts a pass reads again is known by a bitmap of at most ``BITMAP`` bits over hashes
 of ids, a broadcast of bounded size, and then by an exact semi-join. Joins of signatures and
@@ -25,8 +31,7 @@ sets ask for a sort-merge join, so that nothing that grows with the corpus is br
 a plan tried on a small table is that of a large one.
 
 Recall: a pair at similarity s shares a SHALLOW prefix in a tree with s**SHALLOW, so at
-s = 0.85 all 40 trees miss it with odds of about 1e-13; in a region that goes to
-six minima with 1e-8, to eight with 1e-5 per pair. Components need one path only.
+s = 0.85 all 40 trees miss it with odds of about 1e-13, in a region of any size.
 
 Edge cases: a null or word-less text has no shingles and links with nothing (its
 component is itself); a text shorter than the shingle has its whole sequence as
@@ -37,10 +42,13 @@ table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +58,9 @@ from ionlake.llm.shared import Stage, grams, lower_ascii, mix, only, passes, tex
 TREES, DEPTH, SHALLOW = 40, 8, 4
 BINS = TREES * DEPTH
 #: (first tree, tree after the last, largest region whose pairs are all candidates, rows linked across a cut) of each pass.
-PASSES = ((0, 8, 12, 3), (8, TREES, 12, 3))
+PASSES = ((0, 8, 24, 6), (8, TREES, 24, 6))
+#: Rows of a block of a large region, and likely pairs whose sets one task gets at once.
+BLOCK, PAIRS = 384, 1 << 14
 BITMAP = 1 << 26
 #: Sets smaller than this aren't judged by their sketches.
 SMALL = 48
@@ -184,7 +194,10 @@ def _region(keys: np.ndarray, lo: int, hi: int, depth: int, region: int, near: i
 
 
 def _neighbours(region: int, near: int):
-    """Candidate pairs of a sorted partition that aren't in one component yet; rows of a region may come in several batches."""
+    """Candidate pairs of a sorted partition that aren't in one component yet; rows of a region may come in several batches.
+
+    Rows with ``cut`` name the first and the last region, which may go on in another partition.
+    """
     prefix = 1 + 2 * SHALLOW
 
     def emit(keys: np.ndarray, ids: np.ndarray, group: np.ndarray, to: int) -> Iterator[pa.RecordBatch]:
@@ -200,7 +213,11 @@ def _neighbours(region: int, near: int):
             apart = group[i] != group[j]
             x, y = ids[i[apart]], ids[j[apart]]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], ["a", "b", "cut"])
+
+    def edge(key: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array([key[:prefix].tobytes()], pa.binary())], ["a", "b", "cut"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -213,18 +230,71 @@ def _neighbours(region: int, near: int):
                 batch.column(1).to_numpy(),
                 batch.column(2).to_numpy(),
             )
+            if kept is None:
+                yield edge(now[0][0])
             keys, ids, group = now if kept is None else (np.concatenate([k, n]) for k, n in zip(kept, now, strict=True))
             last = keys[-1, :prefix]
             to = int(np.flatnonzero((keys[:, :prefix] != last).any(axis=1))[-1]) + 1 if (keys[0, :prefix] != last).any() else 0
             if to:
                 yield from emit(keys, ids, group, to)
             kept = (keys[to:].copy(), ids[to:].copy(), group[to:].copy())
-        if kept is not None and len(kept[0]) > 1:
-            yield from emit(*kept, len(kept[0]))
+        if kept is not None:
+            yield edge(kept[0][0])
+            if len(kept[0]) > 1:
+                yield from emit(*kept, len(kept[0]))
+
+    return run
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tree: the tree's number and its SHALLOW first minima, which name the region."""
+    for batch in _orders(0, TREES)(batches):
+        yield pa.RecordBatch.from_arrays([pc.binary_slice(batch.column(0), 0, 1 + 2 * SHALLOW), batch.column(1), batch.column(2)], ["region", "id", "component"])
+
+
+def _across(similarity: float):
+    """Likely pairs of one block pair of a large region that aren't in one component and share no earlier tree's prefix."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        tree = table.column("region")[0].as_py()[0]
+        sig = np.stack([np.frombuffer(s, np.uint16) for s in table.column("signature").to_pylist()])
+        first = np.ascontiguousarray(sig.reshape(len(sig), TREES, DEPTH)[:, :tree, :SHALLOW]).view(np.uint64)[:, :, 0]
+        ids, group, n, rest, left = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "rest", "left"))
+        right = np.flatnonzero(~left)
+        sig_right, first_right = sig[right], first[right]
+        a, b = [], []
+        for i in np.flatnonzero(left):
+            # Two rows outside the largest component meet twice; the smaller id's turn counts.
+            ok = (group[right] != group[i]) & (~rest[right] | (ids[right] > ids[i]))
+            at = np.flatnonzero(ok)
+            at = at[likely_pairs(sig[i], sig_right[at], n[i], n[right[at]], similarity)]
+            at = at[~(first_right[at] == first[i]).any(axis=1)]
+            a.append(np.full(len(at), ids[i]))
+            b.append(ids[right[at]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return run
 
 
+def _large_regions(rows: DataFrame, cuts: DataFrame, region: int, similarity: float) -> DataFrame:
+    """a, b: likely pairs of the regions whose pairs were not all candidates; ``rows`` has id, component, signature, n_shingles."""
+    prefixes = rows.select("id", "component", "signature").mapInArrow(_prefixes, "region binary, id long, component long")
+    parts = prefixes.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    full = parts.groupBy("region").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    full = full.join(F.broadcast(cuts.withColumn("is_cut", F.lit(True))), "region", "left").filter((F.col("rows") > region) | F.col("is_cut"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    full = full.select("region", F.col("top.component").alias("top"), blocks(F.col("rows")).alias("ys"), blocks(F.col("rows") - F.col("top.n")).alias("xs"))
+    inside = prefixes.hint("shuffle_merge").join(full, "region").withColumn("rest", F.col("component") != F.col("top"))
+    mine = F.xxhash64("id", F.lit("block"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lefts = inside.filter("rest").select("region", "id", "component", "rest", F.lit(True).alias("left"), F.pmod(mine, F.col("xs")).alias("x"), all_of("ys").alias("y"))
+    rights = inside.select("region", "id", "component", "rest", F.lit(False).alias("left"), all_of("xs").alias("x"), F.pmod(mine, F.col("ys")).alias("y"))
+    posted = lefts.unionByName(rights).hint("shuffle_merge").join(rows.select("id", "signature", "n_shingles"), "id")
+    return posted.groupBy("region", "x", "y").applyInArrow(_across(similarity), "a long, b long")
+
+
 def _place(column: F.Column, bits: int) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
@@ -277,6 +347,44 @@ def _confirm(similarity: float):
     return run
 
 
+def _confirm_blocks(similarity: float):
+    """The pairs of one block pair whose sets reach the threshold; each set comes once."""
+    percent = round(similarity * 10000)
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        if not len(pairs):
+            return pairs.select(["a", "b"])
+        ids = sets.column("id").to_numpy()
+        order = np.argsort(ids)
+        hashes = [np.frombuffer(sets.column("hashes")[int(k)].as_py(), np.uint64) for k in order]
+        size = np.array([len(h) for h in hashes])
+        a, b = (np.searchsorted(ids[order], pairs.column(c).to_numpy()) for c in ("a", "b"))
+        keep = np.zeros(len(a), bool)
+        by_a = np.argsort(a, kind="stable")
+        for run_ in np.split(by_a, np.flatnonzero(np.diff(a[by_a])) + 1):
+            one = hashes[a[run_[0]]]
+            for k in range(0, len(run_), 256):
+                some = run_[k : k + 256]
+                other = np.concatenate([hashes[j] for j in b[some]])
+                ends = np.cumsum(size[b[some]])
+                at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+                shared = np.add.reduceat((one[at] == other).astype(np.int64), ends - size[b[some]])
+                keep[some] = 10000 * shared >= percent * (len(one) + size[b[some]] - shared)
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _checked_in_blocks(likely: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``likely`` (a written table) that reach the threshold; a set goes once to each block pair that needs it."""
+    k = math.isqrt(likely.count() // PAIRS) + 1
+    x, y = (F.pmod(F.xxhash64(c, F.lit("pairs")), F.lit(k)) for c in "ab")
+    pairs = likely.withColumns({"x": x, "y": y})
+    needs = pairs.select(F.col("a").alias("id"), "x", "y").unionByName(pairs.select(F.col("b").alias("id"), "x", "y")).distinct()
+    sent = needs.hint("shuffle_merge").join(sets, "id").select("id", "hashes", F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    return pairs.groupBy("x", "y").cogroup(sent.groupBy("to_x", "to_y")).applyInArrow(_confirm_blocks(similarity), "a long, b long")
+
+
 def spread(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     """Standard deviation of the share of equal bins of two sets whose similarity is the threshold.
 
@@ -289,8 +397,14 @@ def spread(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     return np.sqrt(similarity * (1 - similarity) * (sampled + (BINS - filled) / BINS**2))
 
 
+def likely_pairs(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches are at most six standard deviations under the threshold; of small sets, all pairs of fitting sizes."""
+    small = np.minimum(na, nb) < SMALL
+    ok = small | ((x == y).mean(axis=1) >= similarity - 6 * spread(na, nb, similarity))
+    return ok & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9)
+
+
 def _plausible(similarity: float):
-    """Pairs whose sketches are at most six standard deviations under the threshold; of small sets, all pairs of fitting sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,9 +413,7 @@ def _plausible(similarity: float):
             x = np.stack([np.frombuffer(s, np.uint16) for s in batch.column("sa").to_pylist()])
             y = np.stack([np.frombuffer(s, np.uint16) for s in batch.column("sb").to_pylist()])
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            small = np.minimum(na, nb) < SMALL
-            ok = small | ((x == y).mean(axis=1) >= similarity - 6 * spread(na, nb, similarity))
-            ok &= np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
+            ok = likely_pairs(x, y, na, nb, similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -319,32 +431,48 @@ def near_components(docs: DataFrame, similarity: float, width: int, id_col: str
     reps = members.filter("n_shingles > 0 AND id = rep").select("id").distinct()
     reps = stage.keep(described.join(reps.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", "signature", "n_shingles"), "reps")
 
+    def sets_of(likely: DataFrame, k: int) -> DataFrame:
+        ends = stage.keep(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct(), f"ends{k}")
+        bitmap, bits = _bitmap(ends)
+        sets = source.select("id", "text", _place(F.col("id"), bits).alias("place")).mapInArrow(_sets(width, bitmap), "id long, hashes binary")
+        return stage.keep(sets.join(ends.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]), f"sets{k}")
+
+    def joined(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return reps.withColumn("component", F.col("id"))
+        rows = reps.join(found.hint("shuffle_merge"), reps["id"] == found["vertex"], "left")
+        return rows.select("id", F.coalesce("component", "id").alias("component"), "signature", "n_shingles")
+
     found = None
     links: list[DataFrame] = []
+    cuts: list[DataFrame] = []
     for k, (first, last, region, near) in enumerate(PASSES):
-        component = F.col("id").alias("component")
-        rows = reps.select("id", component, "signature")
-        if found is not None:
-            rows = reps.join(found.hint("shuffle_merge"), reps["id"] == found["vertex"], "left").select("id", F.coalesce("component", "id").alias("component"), "signature")
-        orders = rows.mapInArrow(_orders(first, last), "key binary, id long, component long")
+        orders = joined(found).select("id", "component", "signature").mapInArrow(_orders(first, last), "key binary, id long, component long")
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        pairs = orders.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours(region, near), "a long, b long")
+        pairs = orders.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours(region, near), "a long, b long, cut binary")
         pairs = stage.keep(pairs.distinct(), f"pairs{k}")
+        cuts.append(stage.keep(pairs.filter("cut IS NOT NULL").select(F.col("cut").alias("region")), f"cuts{k}"))
+        pairs = pairs.filter("cut IS NULL").select("a", "b")
         one = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
         two = reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
         likely = pairs.hint("shuffle_merge").join(one, "a").hint("shuffle_merge").join(two, "b")
         likely = stage.keep(likely.mapInArrow(_plausible(similarity), "a long, b long"), f"likely{k}")
 
-        ends = stage.keep(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct(), f"ends{k}")
-        bitmap, bits = _bitmap(ends)
-        sets = source.select("id", "text", _place(F.col("id"), bits).alias("place")).mapInArrow(_sets(width, bitmap), "id long, hashes binary")
-        sets = stage.keep(sets.join(ends.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]), f"sets{k}")
+        sets = sets_of(likely, k)
         checked = likely.hint("shuffle_merge").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
         checked = checked.hint("shuffle_merge").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
         links.append(stage.keep(checked.mapInArrow(_confirm(similarity), "a long, b long"), f"links{k}"))
         for name in ("pairs", "sets"):
             stage.drop(f"{name}{k}")
-        found = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]), Stage(spark, f"minhash-components{k}"))
+        found = components(reduce(DataFrame.unionByName, links), Stage(spark, f"minhash-components{k}"))
+
+    k = len(PASSES)
+    region = min(p[2] for p in PASSES)
+    likely = stage.keep(_large_regions(stage.keep(joined(found), "joined"), reduce(DataFrame.unionByName, cuts).distinct(), region, similarity), f"likely{k}")
+    stage.drop("joined")
+    links.append(stage.keep(_checked_in_blocks(likely, sets_of(likely, k), similarity), f"links{k}"))
+    stage.drop(f"sets{k}")
+    found = components(reduce(DataFrame.unionByName, links), Stage(spark, f"minhash-components{k}"))
     return members, found
 
 

@@ -86,6 +86,16 @@ def test_minhash_large_group_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in wanted.items()}
 
 
+def test_minhash_large_region_is_compared_in_full(spark):
+    # All share 220 words, so that unlinked pairs are at 0.846 and fill regions of any depth; pairs with one more word are at 0.853.
+    own = [[f"d{k}o{j}" for j in range(20)] for k in range(400)]
+    for k in range(60):
+        own[k + 200][0] = own[k][0]
+    texts = [" ".join([f"c{j}" for j in range(220)] + o) for o in own]
+    got = minhash_dedup.near_duplicates(frame(spark, texts, extra=False), 0.85, 1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - 200 if 200 <= k < 260 else k for k in range(400)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     chain = [(k, k + 1) for k in range(100)] + [(500, k) for k in range(600, 700)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (150, 2))] + [(None, 3), (7, 7)]
