@@ -2,6 +2,8 @@
 
 1. Pivots (reference points) are a bounded sample of the vectors; their number grows
    with the square root of the table up to ``most_pivots``, so the broadcast is bounded.
+   Those near another are left out, so that a dense group has few pivots, which all its
+   vectors share, and not more than fit in a prefix.
 2. Every vector is described by its nearest pivots in order (its permutation prefix)
    and posted in the inverted list of each of them, within its label.
 3. A pair is looked at in one list only, that of the first pivot both prefixes have;
@@ -53,6 +55,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def spread_out(pivots: np.ndarray, cosine: float) -> np.ndarray:
+    """The pivots, in order, that are farther from each one before than twice the angle of ``cosine`` (60 degrees at most)."""
+    most = max(0.5, 2 * cosine * cosine - 1)
+    kept = np.zeros(len(pivots), bool)
+    for k, p in enumerate(pivots):
+        kept[k] = (pivots[kept] @ p).max(initial=-1.0) < most
+    return pivots[kept]
+
+
 def _describe(pivots: np.ndarray, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +131,7 @@ def near_vectors(
     wanted = min(most_pivots, max(16, math.isqrt(n)))
     sample = good.select("vector").orderBy(F.xxhash64("id", F.lit(seed))).limit(wanted).collect()
     width = len(sample[0]["vector"])
-    pivots = unit(np.array([r["vector"] for r in sample if len(r["vector"]) == width], np.float64))
+    pivots = spread_out(unit(np.array([r["vector"] for r in sample if len(r["vector"]) == width], np.float64)), cosine)
 
     described = good.filter(F.size("vector") == width).dropDuplicates(["id"])
     described = stage.keep(described.mapInArrow(_describe(pivots, prefix), "id long, label string, vector array<double>, nearest array<int>"), "described")

@@ -194,6 +194,14 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(df.limit(0), 0.93).count() == 0
 
 
+def test_embedding_pivots_of_a_hot_group_are_spread(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    data = [(k, [float(x) for x in centre + rng.normal(size=64) * 0.25], 1) for k in range(700)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), 0.93, prefix=3).collect()}
+    assert got == brute.cosine_links(data, 0.93)
+
+
 def test_embedding_query_against_brute_force(spark):
     data = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in queries.table(spark, DATA, "embeddings").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op4_embedding_dedup(spark, DATA).collect()}
