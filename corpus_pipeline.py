@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ionlake.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
-from ionlake.llm.queries import MIX, domains, table, tokenizer_path
+from ionlake.llm.queries import AT_MOST, MIX, domains, table, tokenizer_path
 from ionlake.llm.shared import Stage
 
 
@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to the target weights asks for."""
     model = mixing.train(docs, domains(table(spark, sf_dir, "labels")))
-    return mixing.apply(docs, mixing.mix(docs, model, MIX))
+    return mixing.apply(docs, mixing.mix(docs, model, MIX, at_most=AT_MOST))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@
    posteriors and nothing per document is carried: a lost executor costs a re-read.
 3. A rate becomes a number of copies by a hash of the id: floor(rate + u).
 
-Without a total, the largest one is aimed at that no domain has to be repeated for.
+Without a total, the largest one is aimed at that no domain has to be repeated for. Domains
+named in ``at_most`` have no say in it: their share is an upper bound, and where there is
+less of them all of it is the target, so scarce unwanted text takes no other text away.
 
 Edge cases: null text has no tokens and the uniform posterior; a domain with a target but
 no documents keeps its shortfall; without labelled rows all rates are 1; repeated rows get
@@ -74,7 +76,7 @@ def rate_after(steps: list[np.ndarray], p: Column) -> Column:
     return F.aggregate(all_, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - dot(v)))
 
 
-def fit_rates(scored: DataFrame, domains: tuple[str, ...], weights: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 1e-4) -> tuple[Column, dict[str, float], dict[str, float]]:
+def fit_rates(scored: DataFrame, domains: tuple[str, ...], weights: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 1e-4, at_most: tuple[str, ...] = ()) -> tuple[Column, dict[str, float], dict[str, float]]:
     """(rate column, target tokens, expected tokens reached); ``scored`` should be a written table."""
     d = len(domains)
     if d == 0:
@@ -91,9 +93,9 @@ def fit_rates(scored: DataFrame, domains: tuple[str, ...], weights: dict[str, fl
     share = np.array([max(0.0, weights.get(x, 0.0)) for x in domains])
     share = share / share.sum() if share.sum() > 0 else np.full(d, 1.0 / d)
     if total is None:
-        have = [supply[i] / share[i] for i in range(d) if share[i] > 0 and supply[i] > 0]
-        total = min(have, default=0.0)
-    target = share * total
+        have = [supply[i] / share[i] for i in range(d) if share[i] > 0 and supply[i] > 0 and domains[i] not in at_most]
+        total = min(have, default=float(supply.sum()))
+    target = np.array([min(share[i] * total, supply[i]) if x in at_most else share[i] * total for i, x in enumerate(domains)])
     got, taken = supply, []
     for _ in range(steps):
         residual = got - target
@@ -116,10 +118,10 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + u).cast("long")
 
 
-def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", at_most: tuple[str, ...] = ()) -> DataFrame:
     """id, n_tokens, p_<domain> for each domain, rate, copies for every document."""
     scored = Stage(docs.sparkSession, "mixing").keep(posteriors(docs, model, id_col, text_col), "scored")
-    rate, _, _ = fit_rates(scored, model.labels, weights, total)
+    rate, _, _ = fit_rates(scored, model.labels, weights, total, at_most=at_most)
     out = scored.select("id", "n_tokens", "p", rate.alias("rate"))
     return out.select(
         F.col("id").alias(id_col), "n_tokens", *[F.col("p")[i].alias(f"p_{x}") for i, x in enumerate(model.labels)], "rate", copies(F.col("rate"), F.col("id")).alias("copies")

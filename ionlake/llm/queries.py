@@ -40,12 +40,14 @@ def domains(labels: DataFrame) -> DataFrame:
 
 #: Shares of tokens that the mix aims at.
 MIX = {"good": 0.87, "plain": 0.1, "toxic": 0.03}
+#: Domains whose share is an upper bound.
+AT_MOST = ("plain", "toxic")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.train(docs, domains(table(spark, sf_dir, "labels")))
-    return mixing.mix(docs, model, MIX)
+    return mixing.mix(docs, model, MIX, at_most=AT_MOST)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,17 @@ def test_mixing_reaches_targets(spark):
     assert mixing.apply(df, mixing.mix(df, model, {"x": 1.0})).columns == df.columns
 
 
+def test_mixing_scarce_unwanted_text_takes_nothing_away(spark):
+    scored = spark.createDataFrame([(100, [0.995, 0.004, 0.001])] * 200 + [(100, [0.1, 0.5, 0.4])], "n_tokens long, p array<double>")
+    rate, target, got = mixing.fit_rates(scored, ("good", "plain", "toxic"), queries.MIX, at_most=queries.AT_MOST)
+    rates = [r["r"] for r in scored.select(rate.alias("r")).collect()]
+    assert all(0.99 < r < 1.01 for r in rates) and abs(got["good"] - 19_910) < 20
+    # Much unwanted text is held to its share of the total that the wanted text allows.
+    scored = spark.createDataFrame([(100, [0.9, 0.07, 0.03])] * 100 + [(100, [0.1, 0.8, 0.1])] * 100, "n_tokens long, p array<double>")
+    _, target, _ = mixing.fit_rates(scored, ("good", "plain", "toxic"), queries.MIX, at_most=queries.AT_MOST)
+    assert abs(target["good"] - 10_000) < 1 and abs(target["plain"] - 10_000 * 0.1 / 0.87) < 1
+
+
 def test_mixing_without_labels(spark):
     df = frame(spark, TEXTS)
     lab = spark.createDataFrame([], "doc_id long, domain string")
