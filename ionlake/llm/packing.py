@@ -21,6 +21,7 @@ sequences; other columns of the input are not looked at.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,14 +43,17 @@ def encoder(path: str):
     """text -> uint32 ids of the byte-level BPE in a ``tokenizers`` JSON file.
 
     The file's vocabulary and merge order are handed to ``tiktoken``, whose merge
-    loop is several times faster on one core and gives the same ids. Strings of
-    special tokens inside a text are ordinary text.
+    loop is several times faster on one core and gives the same ids. The file's added
+    tokens get their own ids wherever they stand in a text, as in ``Tokenizer.encode``;
+    the text between them is encoded apart. Files whose added tokens take in spaces or
+    stand for whole words only go to ``tokenizers`` itself.
     """
     if path not in _encoders:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model, added = content["model"], {t["content"]: t for t in content.get("added_tokens") or []}
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -60,9 +64,25 @@ def encoder(path: str):
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(text: str) -> np.ndarray:
+        def plain_text(text: str) -> np.ndarray:
             return core.encode_to_numpy(text, disallowed_special=())
 
+        own = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+        def encode(text: str) -> np.ndarray:
+            if own is None or not own.search(text):
+                return plain_text(text)
+            parts, at = [], 0
+            for m in own.finditer(text):
+                parts += [plain_text(text[at : m.start()]), np.array([added[m.group()]["id"]], np.uint32)]
+                at = m.end()
+            return np.concatenate([*parts, plain_text(text[at:])])
+
+        if any(t.get(flag) for t in added.values() for flag in ("lstrip", "rstrip", "single_word")):
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            encode = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
         _encoders[path] = encode
     return _encoders[path]
 

@@ -389,6 +389,14 @@ def test_packing_edges(spark):
     assert all(len(r["ids"]) == sum(r["lengths"]) <= 64 for r in whole)
 
 
+def test_packing_ids_are_those_of_the_plain_call():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(queries.tokenizer_path()), packing.encoder(queries.tokenizer_path())
+    for text in ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", "<|endoftext| >", "it's  12 "]:
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bins_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert [bins.put(n) for n in (7, 6, 4, 3, 8)] == [(0, 0), (1, 0), (1, 6), (0, 7), (2, 0)]
