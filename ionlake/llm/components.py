@@ -8,7 +8,7 @@ deleted. The number of rounds grows with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ionlake.llm.shared import Stage
@@ -30,17 +30,15 @@ def components(links: DataFrame, stage: Stage | None = None) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage.keep(large.filter("u <> v").distinct(), f"large{turn}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = large.filter("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        small = stage.keep(small.filter("u <> v").distinct(), f"edges{turn}")
-        stage.drop(f"large{turn}")
+        seen = Observation()
+        small = small.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        edges = stage.keep(small, f"edges{turn}")
         stage.drop(f"edges{turn - 1}")
-        now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small
-        if now == state:
+        if seen.get == state:
             break
-        state = now
+        state = seen.get
     stars = edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component"))).distinct()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,18 @@ PASS_BYTES = 1 << 20
 class Stage:
     """Tables of one query, written to the shared folder so that lineage ends there.
 
-    A lost executor costs only a re-read. ``drop`` removes a table that no later
-    step reads, which keeps iterative jobs at a bounded size on disk.
+    A lost executor costs only a re-read. ``drop`` empties a table that no later step reads,
+    which keeps iterative jobs at a bounded size on disk; ``clear`` does so for all that are left.
     """
 
+    _open: list[list[Stage]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.live: dict[str, None] = {}
+        for stages in Stage._open:
+            stages.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -34,12 +41,35 @@ class Stage:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
+        self.live[name] = None
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Remove the tables; a plan that still reads one fails, as its files are gone."""
+        for name in names:
+            if name in self.live:
+                del self.live[name]
+                try:
+                    files, path = fs.FileSystem.from_uri(self.path(name))
+                    files.delete_dir(path)
+                except (pa.ArrowException, OSError):  # a store that only Spark reaches
+                    self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(self.path(name))
+
+    def clear(self) -> None:
+        self.drop(*self.live)
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Clears, at the end, every Stage made inside: for callers that have written down what they need."""
+    stages: list[Stage] = []
+    Stage._open.append(stages)
+    try:
+        yield
+    finally:
+        Stage._open.remove(stages)
+    for stage in stages:
+        stage.clear()
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
