@@ -1,6 +1,7 @@
 """Tables written to the folder all executors share, where lineage should end.
 
-The folder is ``spark.checkpoint.dir``; where it is unset (as in tests), the warehouse.
+The folder is ``spark.checkpoint.dir``. Where it is unset, a local session (as in tests) takes
+its warehouse; on a cluster that could be a folder of one machine, so it is an error there.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     return found.rstrip("/")
 
 
