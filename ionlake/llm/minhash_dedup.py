@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionlake.llm.components import components
-from ionlake.llm.shared import Stage, grams, lower_ascii, mix, only, passes, text_bytes, words
+from ionlake.llm.shared import Stage, bitmap_of, fresh, grams, in_bitmap, lower_ascii, mix, only, passes, text_bytes, words
 
 TREES, DEPTH, SHALLOW = 40, 8, 4
 BINS = TREES * DEPTH
@@ -357,24 +357,8 @@ def _neighbours(similarity: float):
     return run
 
 
-def _place(column: F.Column, bits: int) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(bits))
-
-
-def _in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def _bitmap(places: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """(64-bit words, number of bits) of a bitmap over n hashes ``place`` (long); at most BITMAP bits, whatever their number."""
-    bits = 1 << 16
-    while bits < min(16 * n, BITMAP):
-        bits *= 2
-    at = F.pmod(F.col("place"), F.lit(bits))
-    rows = places.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-    words_ = np.zeros(bits >> 6, np.int64)
-    words_[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return words_.view(np.uint64), bits
+def _place(column: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP))
 
 
 def _sets(width: int, bitmap: np.ndarray):
@@ -382,7 +366,7 @@ def _sets(width: int, bitmap: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_in_bitmap(bitmap, batch.column(1).to_numpy())))
+            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(1).to_numpy())))
             data, at = text_bytes(batch.column(0))
             for a, b in passes(at):
                 raw = data[at[a] : at[b]].tobytes()
@@ -419,14 +403,13 @@ def _members(bitmap: np.ndarray):
     shapes = [(t, d) for t in range(TREES) for d in range(SHALLOW, DEPTH + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.uint64(64 * len(bitmap) - 1)
         for batch in batches:
             if not len(batch):
                 continue
             sig, vertex, group = signature_of(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             chain = region_hashes(sig)
             for t, d in shapes:
-                here = np.flatnonzero(_in_bitmap(bitmap, (chain[t, d - SHALLOW] & bits).astype(np.int64)))
+                here = np.flatnonzero(in_bitmap(bitmap, (chain[t, d - SHALLOW] & np.uint64(BITMAP - 1)).astype(np.int64)))
                 if len(here):
                     keys = keys_of(sig[here], t, t + 1)[:, : 1 + 2 * d]
                     yield pa.RecordBatch.from_arrays([binaries(keys), pa.array(vertex[here]), pa.array(group[here])], ["region", "vertex", "component"])
@@ -525,8 +508,8 @@ def near_components(docs: DataFrame, similarity: float, width: int, id_col: str
     def sets_of(vertices: DataFrame, name: str) -> DataFrame:
         """vertex, hashes for the given vertices, from the texts of their classes' first rows."""
         wanted = stage.keep(classes.join(vertices.distinct().hint("shuffle_merge"), "vertex"), f"wanted_{name}")
-        bitmap, bits = _bitmap(wanted.select(_place(F.col("rep"), BITMAP).alias("place")), wanted.count())
-        sets = source.select("text", _place(F.col("id"), bits).alias("place")).mapInArrow(_sets(width, bitmap), "same binary, hashes binary")
+        bitmap = bitmap_of(wanted.select(_place(F.col("rep")).alias("place")), BITMAP)
+        sets = source.select("text", _place(F.col("id")).alias("place")).mapInArrow(_sets(width, bitmap), "same binary, hashes binary")
         return stage.keep(sets.join(wanted.hint("shuffle_merge"), "same").dropDuplicates(["vertex"]).select("vertex", "hashes"), f"sets_{name}")
 
     def joined(found: DataFrame) -> DataFrame:
@@ -585,7 +568,7 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_leaves(rows: DataFrame, leaves: DataFrame, stage: Stage) -> DataFrame:
     """region, vertex, component, rest, left, x, y: who meets whom in the leaves that are compared in full."""
     places = stage.keep(leaves.mapInArrow(_region_place, "place long"), "places")
-    bitmap, _ = _bitmap(places, places.count())
+    bitmap = bitmap_of(places, BITMAP)
     members = rows.select("vertex", "component", "signature").mapInArrow(_members(bitmap), "region binary, vertex long, component long")
     members = stage.keep(members.join(leaves.hint("shuffle_merge"), "region").join(rows.select("vertex", "n_shingles").hint("shuffle_merge"), "vertex"), "members_of_leaves")
     parts = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
@@ -618,6 +601,6 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: s
 
     Of rows that share an id all stay if one of them stands for its component, so that no text without a copy is lost.
     """
-    by_id = near_duplicates(docs, similarity, width, id_col, text_col).groupBy(F.col(id_col).alias("_gone_id")).agg(F.max("kept").alias("_kept"))
-    gone = by_id.filter("NOT _kept").select("_gone_id")
-    return docs.join(gone, F.col(f"`{id_col}`") == gone["_gone_id"], "left_anti")
+    gone, kept = fresh(docs, "_gone_id", "_kept")
+    by_id = near_duplicates(docs, similarity, width, id_col, text_col).groupBy(F.col(id_col).alias(gone)).agg(F.max("kept").alias(kept))
+    return docs.join(by_id.filter(~F.col(kept)).select(gone), F.col(f"`{id_col}`") == F.col(gone), "left_anti")

@@ -77,6 +77,17 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones, that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- Arrow batches
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and where each begins; null reads as empty."""
@@ -102,6 +113,25 @@ def passes(at: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]
         row = to
 
 
+# ---------------------------------------------------------------- bitmaps
+def in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bits that the places (int64, not negative) fall on are set; a bitmap has a power of two of bits."""
+    at = place & (64 * len(bitmap) - 1)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def bitmap_of(places: DataFrame, most: int) -> np.ndarray:
+    """A bitmap, as 64-bit words, of a written table of hashes ``place`` (long); at most ``most`` bits, however many there are."""
+    n, bits = places.count(), 1 << 16
+    while bits < min(16 * n, most):
+        bits *= 2
+    at = F.pmod(F.col("place"), F.lit(bits))
+    rows = places.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    found = np.zeros(bits >> 6, np.int64)
+    found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return found.view(np.uint64)
+
+
 # ---------------------------------------------------------------- word hashes
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
