@@ -9,23 +9,27 @@ starts anywhere else in the corpus too.
 2. An anchor hash that occurs once can't hold a duplicate. The others are found by
    counting (combined on the map side), and only documents that have one are read
    again; each of their anchors becomes a segment, the words its windows cover.
-3. Equal segments of an anchor are one row with a count, so that a passage in a third
-   of all documents is one row per task.
-4. Segments are dealt by anchor hash into reference blocks of bounded size. A task
-   indexes a block (a suffix array over word numbers, by prefix doubling) and parses
-   every segment against it greedily: a factor is the longest match with any other
-   place of the block. A factor of a window and more is a duplicate span. Windows
-   across factor boundaries may match yet another place and are looked up there.
-   Words are compared, never their hashes.
-5. Anchors with more than ``region`` distinct segments (a common passage in ever
-   different surroundings) would fill a task. Their windows are counted by content
-   instead, with a 128-bit digest as the key: exact, and dealt evenly.
+3. Equal segments of an anchor (by a 128-bit digest) are one row with a count, so that a
+   passage in a third of all documents is one row per task.
+4. Segments are dealt by anchor hash into reference blocks of bounded size. A block that
+   shares no anchor with a document holds none of its windows, so each segment meets
+   every block that can match it. A task indexes a block (a suffix array over word numbers,
+   by prefix doubling) and parses every segment against it greedily: a factor is the longest
+   match with any other place of the block. A factor of a window and more is a duplicate span.
+   Windows across factor boundaries may match yet another place and are looked up there.
+   Here words are compared, not hashes.
+5. An anchor with more than ``REGION`` distinct segments (a common passage in ever different
+   surroundings) would fill a task. Its windows are dealt anew by more of their words: those
+   around the gram that all windows of a range of places of the gram share (``WIDTHS`` such
+   places, at last one, where the shared words are the window). Pieces of the segment are
+   then merged, dealt and parsed like segments, so nothing is compared pair by pair.
 6. Every segment gets its duplicate starts back, and one pass over the documents
    removes the covered words. Staged tables are deleted once nothing reads them.
 
 Edge cases: null text has no words; empty texts and texts shorter than the window
-keep all words; a passage that repeats inside one document counts; repeated rows of
-one id are merged (the row whose text sorts first is parsed); rows without an id are
+keep all words; a passage that repeats inside one document counts; rows are told apart by
+id and text (a 64-bit hash), so rows that share an id but not a text are documents of their
+own, and repeated rows of one id and text are copies of each other; rows without an id are
 left out; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -42,8 +46,10 @@ from pyspark.sql import functions as F
 from ionlake.llm.shared import Stage, grams, only, passes, text_bytes, words
 
 SEED = 8
-#: Distinct segments of one anchor beyond which its windows are counted by content.
+#: Distinct segments of one anchor beyond which its windows are dealt by more of their words.
 REGION = 2000
+#: Places of the gram in a window that share a piece, for each time that an anchor is dealt anew.
+WIDTHS = (7, 1)
 #: Segments that a reference block holds on average.
 BLOCK = 20_000
 
@@ -97,16 +103,16 @@ def anchors_of(h: np.ndarray, doc: np.ndarray, window: int, seed: int = SEED) ->
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, at = text_bytes(batch.column(1))
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, at = text_bytes(batch.column(2))
             for a, b in passes(at):
                 h, word_at, _ = words(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 doc = np.repeat(np.arange(b - a), np.diff(word_at))
                 anchor, first, size, weight = anchors_of(h, doc, window)
                 of = doc[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(ids[a:b][of], pa.int64()), pa.array(first - word_at[of], pa.int32()), pa.array(size, pa.int16()), pa.array(weight, pa.int16())],
-                    ["anchor", "id", "start", "n", "weight"],
+                    [pa.array(anchor.view(np.int64)), pa.array(ids[a:b][of], pa.int64()), pa.array(hashes[a:b][of], pa.int64()), pa.array(first - word_at[of], pa.int32()), pa.array(size, pa.int16()), pa.array(weight, pa.int16())],
+                    ["anchor", "id", "th", "start", "n", "weight"],
                 )
 
     return run
@@ -117,28 +123,20 @@ def _segments(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, doc, start, n, key, text = [], [], [], [], [], []
-            for i, t, found in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for i, h, t, found in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "anchors")), strict=True):
                 w = (t or "").encode().split()
                 for f in found:
                     s = b" ".join(w[f["start"] : f["start"] + f["n"] + window - 1])
-                    anchor.append(f["anchor"])
-                    doc.append(i)
-                    start.append(f["start"])
-                    n.append(f["n"])
-                    key.append(hashlib.blake2b(s, digest_size=16).digest())
-                    text.append(s)
-                if len(text) >= 4096:
-                    yield batch_of(anchor, doc, start, n, key, text)
-                    anchor, doc, start, n, key, text = [], [], [], [], [], []
-            yield batch_of(anchor, doc, start, n, key, text)
-
-    def batch_of(anchor: list, doc: list, start: list, n: list, key: list, text: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int16()), pa.array(key, pa.binary()), pa.array(text, pa.string())],
-            ["anchor", "id", "start", "n", "key", "segment"],
-        )
-
+                    for column, value in zip(rows, (f["anchor"], i, h, f["start"], hashlib.blake2b(s, digest_size=16).digest(), s), strict=True):
+                        column.append(value)
+                if len(rows[0]) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+                    rows = ([], [], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+
+    names = ["anchor", "id", "th", "start", "key", "segment"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
     return run
 
 
@@ -226,25 +224,46 @@ def _parse_block(window: int):
     return run
 
 
-def _windows(window: int):
-    """Digest of every window of a segment, for anchors with too many segments for a block."""
+def pieces_of(segment: bytes, anchor: int, window: int, width: int, seed: int = SEED) -> list[tuple[int, int, bytes, bytes]]:
+    """(first start, number of starts, core, words) of the pieces of a segment.
+
+    A window's place is where the anchor's gram first is in it. Starts in a row whose places fall
+    in one range of ``width`` places of the same gram share a piece; the core is the words that
+    all windows of the range have around the gram, so equal windows have equal cores.
+    """
+    w = segment.split()
+    h, _, _ = words(np.frombuffer(segment, np.uint8), np.array([0, len(segment)]))
+    at = np.flatnonzero(grams(h, seed).view(np.int64) == anchor)
+    starts = np.arange(len(w) - window + 1)
+    gram = at[np.searchsorted(at, starts)]
+    low = (gram - starts) // width * width
+    high = np.minimum(low + width - 1, window - seed)
+    new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (low[1:] != low[:-1])])
+    out = []
+    for j, end in zip(new, [*new[1:], len(starts)], strict=True):
+        core = w[gram[j] - low[j] : gram[j] + window - high[j]]
+        out.append((int(j), int(end - j), b" ".join(core), b" ".join(w[j : end + window - 1])))
+    return out
+
+
+def _pieces(window: int, width: int):
+    """The pieces of the segments of crowded anchors, which are dealt by their cores; a piece's own gram stays its anchor's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, key, bit, copies, digest = [], [], [], [], []
-            for a, k, s, c in zip(*(batch.column(x).to_pylist() for x in ("anchor", "key", "segment", "copies")), strict=True):
-                w = s.encode().split()
-                for j in range(len(w) - window + 1):
-                    anchor.append(a)
-                    key.append(k)
-                    bit.append(j)
-                    copies.append(c)
-                    digest.append(hashlib.blake2b(b" ".join(w[j : j + window]), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(key, pa.binary()), pa.array(bit, pa.int32()), pa.array(copies, pa.int64()), pa.array(digest, pa.binary())],
-                ["anchor", "key", "bit", "copies", "digest"],
-            )
-
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            for a, g, k, s, c in zip(*(batch.column(x).to_pylist() for x in ("anchor", "gram", "key", "segment", "copies")), strict=True):
+                for at, _, core, piece in pieces_of(s.encode(), g, window, width):
+                    sub = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=g.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+                    for column, value in zip(rows, (a, k, at, sub, g, hashlib.blake2b(piece, digest_size=16).digest(), c, piece), strict=True):
+                        column.append(value)
+                if len(rows[0]) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+                    rows = ([], [], [], [], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+
+    names = ["anchor", "key", "at", "sub_anchor", "gram", "sub_key", "copies", "piece"]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
     return run
 
 
@@ -275,43 +294,58 @@ def _remove(window: int):
     return run
 
 
+def _parsed(distinct: DataFrame, window: int, stage: Stage, widths: tuple[int, ...], level: int = 0) -> DataFrame:
+    """(anchor, key, bits) of the segments in ``distinct`` (anchor, gram, key, copies, segment; a written table) that have duplicate windows."""
+    name = f"level{level}"
+    blocks = max(1, -(-distinct.count() // BLOCK))
+    calm = distinct
+    if widths:
+        crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > REGION).select("anchor")
+        crowded = stage.keep(crowded, f"crowded_{name}")
+        calm = distinct.join(crowded, "anchor", "left_anti")
+    dealt = calm.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
+    out = dealt.groupBy("block").applyInArrow(_parse_block(window), "anchor long, key binary, bits long").filter("bits <> 0")
+    if not widths or crowded.isEmpty():
+        return out
+    pieces = distinct.join(crowded, "anchor", "left_semi").mapInArrow(_pieces(window, widths[0]), "anchor long, key binary, at int, sub_anchor long, gram long, sub_key binary, copies long, piece string")
+    pieces = stage.keep(pieces, f"pieces_{name}")
+    merged = pieces.groupBy(F.col("sub_anchor").alias("anchor"), F.col("sub_key").alias("key")).agg(F.first("gram").alias("gram"), F.sum("copies").alias("copies"), F.first("piece").alias("segment"))
+    merged = stage.keep(merged, f"merged_{name}")
+    found = _parsed(merged, window, stage, widths[1:], level + 1).toDF("sub_anchor", "sub_key", "bits")
+    again = pieces.join(found, ["sub_anchor", "sub_key"]).groupBy("anchor", "key").agg(F.expr("bit_or(shiftleft(bits, at))").alias("bits"))
+    return out.unionByName(again)
+
+
 def duplicate_starts(source: DataFrame, window: int, stage: Stage) -> DataFrame:
-    """(id, start, bits): bit j says that the window from word start + j is a duplicate."""
-    anchors = source.mapInArrow(_anchors(window), "anchor long, id long, start int, n short, weight short")
+    """(id, th, start, bits): bit j says that the window from word start + j is a duplicate."""
+    anchors = source.mapInArrow(_anchors(window), "anchor long, id long, th long, start int, n short, weight short")
     anchors = stage.keep(anchors, "anchors")
     again = anchors.groupBy("anchor").agg(F.sum("weight").alias("c")).filter("c > 1").select("anchor")
-    mine = anchors.join(again, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("anchors"))
-    segments = source.join(mine, "id").mapInArrow(_segments(window), "anchor long, id long, start int, n short, key binary, segment string")
+    mine = anchors.join(again, "anchor", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("anchors"))
+    segments = source.join(mine, ["id", "th"]).mapInArrow(_segments(window), "anchor long, id long, th long, start int, key binary, segment string")
     segments = stage.keep(segments, "segments")
     stage.drop("anchors")
-    distinct = segments.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("segment").alias("segment"))
+    distinct = segments.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("segment").alias("segment")).withColumn("gram", F.col("anchor"))
     distinct = stage.keep(distinct, "distinct")
-    places = stage.keep(segments.select("anchor", "key", "id", "start"), "places")
+    places = stage.keep(segments.select("anchor", "key", "id", "th", "start"), "places")
     stage.drop("segments")
-    sizes = stage.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    crowded = sizes.filter(F.col("size") > REGION).select("anchor")
-    calm = distinct.join(crowded, "anchor", "left_anti")
-    blocks = max(1, -(-distinct.count() // BLOCK))
-    parsed = calm.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).groupBy("block").applyInArrow(_parse_block(window), "anchor long, key binary, bits long")
-    windows = distinct.join(crowded, "anchor", "left_semi").mapInArrow(_windows(window), "anchor long, key binary, bit int, copies long, digest binary")
-    windows = stage.keep(windows, "windows")
-    common = windows.groupBy("digest").agg(F.sum("copies").alias("c")).filter("c > 1").select("digest")
-    counted = windows.join(common, "digest", "left_semi").groupBy("anchor", "key").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    bits = stage.keep(parsed.unionByName(counted).filter("bits <> 0"), "bits")
-    for name in ("distinct", "sizes", "windows"):
-        stage.drop(name)
-    return places.join(bits, ["anchor", "key"]).select("id", "start", "bits")
+    bits = stage.keep(_parsed(distinct, window, stage, WIDTHS), "bits")
+    stage.drop(*(x for x in [*stage.live] if x not in ("places", "bits")))
+    return places.join(bits, ["anchor", "key"]).select("id", "th", "start", "bits")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_words, n_removed, kept_text (kept words joined by one space), spans (word ranges removed).
+    """Per row: id, n_words, n_removed, kept_text (kept words joined by one space), spans (word ranges removed).
 
     ``window`` is from SEED to 62 words.
     """
     if not SEED <= window <= 62:
         raise ValueError("window must be from 8 to 62 words")
     stage = Stage(docs.sparkSession, "substring")
-    source = only(docs, id_col, text_col).toDF("id", "text").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("long"))
-    found = duplicate_starts(source, window, stage).groupBy("id").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
-    out = source.join(found, "id", "left").mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>")
+    source = only(docs, id_col, text_col).toDF("id", "text").filter("id IS NOT NULL")
+    source = source.select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    found = stage.keep(duplicate_starts(source, window, stage).groupBy("id", "th").agg(F.collect_set(F.struct("start", "bits")).alias("found")), "found")
+    stage.drop("places", "bits")
+    out = source.join(found, ["id", "th"], "left").select("id", "text", "found")
+    out = out.mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>")
     return out.withColumnRenamed("id", id_col)
