@@ -13,9 +13,11 @@ member or the end of the file, and owns the records that start inside its range;
 reads past the range's end only to finish the last of them. Any archive written so,
 one member a record, can be read, whoever wrote it.
 
-Edge cases: a null payload is empty; a null id or url is kept as null; repeated rows are
-records like any others (the first is the response for all if ids tie); an empty table
-gives no archives and no records; other columns are not looked at.
+Edge cases: a null payload is empty; a null id or url is kept as null, and a page without an
+id is always a response and none that others refer to; repeated rows are records like any others,
+told apart by id and payload: of equal payloads all rows with the smallest id are responses, and
+rows of one id with other payloads have nothing to do with them; an empty table gives no archives
+and no records; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from ionlake.llm.shared import Stage, only
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 20
+#: What the inflater is fed at once.
+FEED_BYTES = 1 << 15
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, offset long, header string"
 
 
@@ -44,12 +48,6 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [(digest_of(p := (t or "").encode()), len(p)) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["id", "digest", "n"])
-
-
 def urn(page: int | None) -> str:
     return f"<urn:x-page:{'null' if page is None else page}>"
 
@@ -101,19 +99,23 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write ``pages`` under ``folder``, a URI all executors share; returns the written manifest: file, bytes, records."""
     stage = Stage(pages.sparkSession, "warc")
-    source = only(pages, id_col, url_col, payload_col).toDF("id", "url", "text")
-    described = stage.keep(source.select("id", "text").mapInArrow(_digests, "id long, digest string, n long"), "digests")
+    source = only(pages, id_col, url_col, payload_col).toDF("id", "url", "text").withColumn("id", F.col("id").cast("long"))
+    payload = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    source = source.withColumns({"digest": F.sha1(payload), "n": F.octet_length(payload)})
+    described = stage.keep(source.select("id", "digest", "n"), "digests")
     firsts = described.filter((F.col("n") >= least_bytes) & F.col("id").isNotNull()).groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    revisits = described.join(firsts, ["digest", "n"]).filter(F.col("id") != F.col("first")).select("id", F.col("first").alias("refers_to")).distinct()
-    rows = source.join(revisits, "id", "left").select("id", "url", "text", "refers_to")
-    return stage.keep(rows.mapInArrow(_write(folder), "file string, bytes long, records long"), "manifest")
+    revisits = described.join(firsts, ["digest", "n"]).filter(F.col("id") != F.col("first")).select("id", "digest", "n", F.col("first").alias("refers_to")).distinct()
+    rows = source.join(revisits, ["id", "digest", "n"], "left").select("id", "url", "text", "refers_to")
+    manifest = stage.keep(rows.mapInArrow(_write(folder), "file string, bytes long, records long"), "manifest")
+    stage.drop("digests")
+    return manifest
 
 
 class Window:
-    """A file read forward in blocks, with the bytes from ``at`` on at hand."""
+    """A file read forward in blocks, with the bytes from ``at`` on at hand; what is used up goes once a block is."""
 
     def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at, self.held = file, at, b""
+        self.file, self.at, self.held = file, at, bytearray()
 
     def more(self) -> bool:
         got = self.file.read_at(READ_BYTES, self.at + len(self.held))
@@ -121,26 +123,28 @@ class Window:
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        del self.held[:n]
+        self.at += n
 
 
 def inflate(window: Window, skip: int) -> tuple[bytes, int] | None:
     """The member at ``skip`` and its compressed length, or None if no WARC record is there."""
-    gz, out, fed = zlib.decompressobj(31), io.BytesIO(), skip
-    checked = False
+    gz, out, fed, start = zlib.decompressobj(31), io.BytesIO(), skip, b""
     try:
         while not gz.eof:
             if fed >= len(window.held) and not window.more():
                 return None
-            out.write(gz.decompress(window.held[fed:]))
-            fed = len(window.held)
-            if not checked and out.tell() >= 5:
-                if not out.getvalue()[:5] == b"WARC/":
+            piece = bytes(window.held[fed : fed + FEED_BYTES])
+            got = gz.decompress(piece)
+            fed += len(piece)
+            out.write(got)
+            if len(start) < 5:
+                start += got[: 5 - len(start)]
+                if not b"WARC/".startswith(start):
                     return None
-                checked = True
     except zlib.error:
         return None
-    if not checked:
+    if len(start) < 5:
         return None
     used = fed - len(gz.unused_data) - skip
     while len(window.held) < skip + used + 3 and window.more():
@@ -176,22 +180,25 @@ def parse(data: bytes) -> dict:
 
 def records_in(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of every record that starts in [start, end)."""
-    window = Window(file, start)
+    window, seen = Window(file, start), 0
     while True:
-        skip = window.held.find(MAGIC)
+        skip = window.held.find(MAGIC, seen)
         while skip < 0:
             window.drop(max(0, len(window.held) - len(MAGIC) + 1))
+            seen = 0
             if window.at >= end or not window.more():
                 return
             skip = window.held.find(MAGIC)
         if window.at + skip >= end:
             return
         found = inflate(window, skip)
-        if found is None:
-            window.drop(skip + 1)
-            continue
-        yield window.at + skip, found[0]
-        window.drop(skip + found[1])
+        seen = skip + 1
+        if found is not None:
+            yield window.at + skip, found[0]
+            seen = skip + found[1]
+        if seen >= READ_BYTES:
+            window.drop(seen)
+            seen = 0
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
