@@ -9,7 +9,7 @@ with one pattern give pieces and matches in turn.
 Kinds: email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15
 digits), and, added by the validators, iban (mod-97). A span's score starts from its
 kind's base, gains from a validator that few random strings pass and from context words
-in the ``NEAR`` code points around it. Spans of the first four kinds are always reported;
+in the ``NEAR`` code points on both sides, up to the next match of its kind. Spans of the first four kinds are always reported;
 an iban is reported from ``LEAST`` on.
 
 Edge cases: null and empty texts have no spans; texts of any length are read whole;
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR, LEAST = 40, 0.5
+#: Matches that are placed together.
+RUN = 128
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: kind -> pattern, the code point or string without which no match exists, base score, gain by validation, context words.
 KINDS = {
@@ -60,39 +62,49 @@ def confirmed(kind: str, match: Column) -> Column:
     }[kind]
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """array<struct<start, rank, kind, end, score>> of the confirmed spans of one kind."""
-    pattern, needed, base, gain, context = KINDS[kind]
-    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
+def proposals(kind: str, text: Column) -> Column:
+    """array<struct<gap, before, match, after>> of a kind's matches: code points since the match before, and what is near on both sides."""
+    pattern, needed, *_ = KINDS[kind]
+    may = F.contains(text, F.lit(needed)) if needed else text.rlike("[0-9][ -]?[0-9]" if kind == "card" else "[A-Z]{2}[0-9]{2}")
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,match:string>>").alias("found"))
+    gaps = F.transform(pieces, lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(NEAR)).alias("before"), F.left(p, F.lit(NEAR)).alias("after")))
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g["gap"].alias("gap"), g["before"].alias("before"), m.alias("match")))
+    out = F.zip_with(pairs, F.slice(gaps, 2, 1 << 30), lambda p, g: F.struct(p["gap"].alias("gap"), p["before"].alias("before"), p["match"].alias("match"), g["after"].alias("after")))
+    return F.when(may, F.filter(out, lambda p: p["match"].isNotNull()))
 
-    def place(state: Column, pair: Column) -> Column:
-        start = (state["at"] + F.length(pair["piece"])).cast("long")
-        mine = F.array(F.struct(start.alias("start"), pair["match"].alias("match")))
-        return F.struct((start + F.length(pair["match"])).cast("long").alias("at"), F.when(confirmed(kind, pair["match"]), F.concat(state["found"], mine)).otherwise(state["found"]).alias("found"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    found = F.aggregate(pairs, zero, place)["found"]
+def spans_of(kind: str, proposed: Column) -> Column:
+    """array<struct<start, rank, kind, end, score>> of the confirmed spans of one kind; ``proposed`` should be a column, as it is read often."""
+    _, _, base, gain, context = KINDS[kind]
+    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
+    # Matches are placed run by run, so that no list of a whole text's matches is copied for each of them.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(proposed) - 1) / RUN).cast("int")), lambda k: F.slice(proposed, k * RUN + 1, RUN))
+    lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda n, p: n + p["gap"] + F.length(p["match"])))
+    begins = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
 
-    def scored(s: Column) -> Column:
-        end = s["start"] + F.length(s["match"])
-        low = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.lower(F.substring(text, (low + 1).cast("int"), (end + NEAR - low).cast("int")))
+    def span(start: Column, p: Column) -> Column:
+        around = F.lower(F.concat(p["before"], p["match"], p["after"]))
         score = F.least(F.lit(1.0), F.lit(base + gain) + F.when(around.rlike(rf"\b(?:{context})"), F.lit(0.2)).otherwise(F.lit(0.0)))
-        return F.struct(s["start"].alias("start"), F.lit([*KINDS].index(kind)).cast("int").alias("rank"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), score.alias("score"))
+        end = (start + F.length(p["match"])).cast("long")
+        return F.struct(start.alias("start"), F.lit([*KINDS].index(kind)).cast("int").alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), score.alias("score"))
 
-    out = F.transform(found, scored)
+    def place(state: Column, p: Column) -> Column:
+        start = (state["at"] + p["gap"]).cast("long")
+        found = F.when(confirmed(kind, p["match"]), F.concat(state["found"], F.array(span(start, p)))).otherwise(state["found"])
+        return F.struct((start + F.length(p["match"])).cast("long").alias("at"), found.alias("found"))
+
+    placed = F.zip_with(runs, begins, lambda r, at: F.aggregate(F.coalesce(r, F.slice(proposed, 1, 0)), F.struct(at.alias("at"), empty.alias("found")), place)["found"])
+    out = F.flatten(placed)
     if kind not in BASE:
         out = F.filter(out, lambda s: s["score"] >= LEAST)
-    may = F.contains(text, F.lit(needed)) if needed else text.rlike("[0-9][ -]?[0-9]" if kind == "card" else "[A-Z]{2}[0-9]{2}")
-    return F.coalesce(F.when(may, out), empty)
+    return F.when(F.size(proposed) > 0, out).otherwise(empty)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, text and spans (start, rank, kind, end, score) by start, then kind as listed."""
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = rows.select(id_col, "text", *[spans_of(kind, F.col("text")).alias(f"_{kind}") for kind in KINDS])
+    near = rows.select(id_col, "text", *[proposals(kind, F.col("text")).alias(f"_{kind}") for kind in KINDS])
+    found = near.select(id_col, "text", *[spans_of(kind, F.col(f"_{kind}")).alias(f"_{kind}") for kind in KINDS])
     return found.select(id_col, "text", F.sort_array(F.concat(*[f"_{kind}" for kind in KINDS])).alias("spans"))
 
 
@@ -102,16 +114,17 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and text with every span replaced by its kind in square brackets; of overlapping spans the first counts."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>").alias("own"))
 
     def step(state: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        added = F.struct(s["end"].alias("at"), F.concat(state["out"], before, F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        return F.when(s["start"] < state["at"], state).otherwise(added)
-
-    done = F.aggregate("spans", zero, step)
-    tail = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))
-    return find(docs, id_col, text_col).select(id_col, F.concat(done["out"], tail).alias(text_col))
+        mine = F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+        return F.when(s["start"] < state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["own"], mine).alias("own")))
+
+    own = find(docs, id_col, text_col).select(id_col, "text", F.aggregate("spans", zero, step)["own"].alias("own"))
+    parts = own.select(id_col, "text", "own", F.when(F.size("own") > 0, F.split("text", "")).alias("points"), F.concat(F.array(F.lit(0).cast("long")), F.col("own.end")).alias("after"))
+    said = lambda a, b: F.array_join(F.slice("points", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "")
+    pieces = F.zip_with("after", "own", lambda a, s: F.when(s.isNull(), said(a, F.length("text"))).otherwise(F.concat(said(a, s["start"]), F.lit("["), s["kind"], F.lit("]"))))
+    return parts.select(id_col, F.when(F.size("own") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias(text_col))
 
 
 def of_kinds(spans: Column, *kinds: str) -> Column:
