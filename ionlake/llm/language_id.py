@@ -1,25 +1,26 @@
 """Language identification on TF-IDF character n-grams (see ``linear_text``).
 
 Document frequencies come from all training rows; weights and temperature from a sample
-of at most ``per_language`` rows of each language, chosen by a hash of the id.
+of at most ``per_language`` rows of each language, chosen by a hash of the id. Where the column
+holds more values, the ``most_languages`` commonest are learned.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is any text
-where no labelled row exists; texts of any length are read whole; rows with a null label
-are not learned from; repeated rows get the same answer; an empty table gives an empty
+where no labelled row exists; of equally likely languages the first in order of name is given; texts
+of any length are read whole; rows with a null label are not learned from; repeated rows get the same
+answer, and of those that share an id the sample takes the text that sorts first; an empty table gives an empty
 result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.linear_text import Features, Model, bounded_sample, document_frequency, fit, idf_of
+from ionlake.llm.linear_text import Features, Model, bounded_sample, document_frequency, fit, idf_of, sampled
 from ionlake.llm.shared import only
 
 FEATURES = Features(orders=(1, 2, 3), bits=15)
@@ -31,16 +32,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, most_languages: int = 200) -> Model:
     rows = only(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     rows = rows.filter(F.col("lang").isNotNull() & ~held_out("id"))
-    tops = bounded_sample(rows, "lang", "id", per_language)
-    if not tops:
-        return fit(rows.limit(0).select(F.col("lang").cast("string").alias("label"), "text", F.lit(0).cast("long").alias("order")), FEATURES)
+    tops = bounded_sample(rows, "lang", "id", per_language, most_languages)
     idf = idf_of(document_frequency(rows.select("text"), FEATURES))
-    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & (F.xxhash64("id") <= top) for lang, top in tops])
-    sample = rows.filter(chosen).select(F.col("lang").cast("string").alias("label"), "text", F.xxhash64("id").alias("order"))
-    return fit(sample, FEATURES, idf)
+    return fit(sampled(rows.select("id", F.col("lang").alias("label"), "text"), tops), FEATURES, idf)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,9 +59,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose language is determined with a score of ``least`` or more, with their columns."""
-    columns = docs.columns
+def keep_identified(docs: DataFrame, model: Model, above_chance: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose language is determined, with their columns.
+
+    The score must lie ``above_chance`` of the way from that of a guess (1 / number of languages) to 1.
+    """
+    columns, guess = docs.columns, 1 / max(1, len(model.labels))
+    least = guess + above_chance * (1 - guess)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

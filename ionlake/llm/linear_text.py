@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from ionlake.llm.shared import text_bytes, words
 
 #: Characters that one numpy pass looks at.
 PASS_CHARS = 1 << 18
+#: Bits of a hash that one count looks at.
+DIGIT = 8
 
 
 #: ASCII that is neither letter nor digit; it ends a word.
@@ -96,7 +99,10 @@ def document_frequency(texts: DataFrame, features: Features) -> np.ndarray:
             for a, b in text_runs(all_):
                 bucket, at = features.buckets(all_[a:b])
                 for x, y in zip(at[:-1], at[1:], strict=True):
-                    df[:-1] += np.bincount(bucket[x:y], minlength=features.size) > 0
+                    if y - x < features.size >> 4:
+                        df[np.unique(bucket[x:y])] += 1
+                    else:
+                        df[:-1] += np.bincount(bucket[x:y], minlength=features.size) > 0
             df[-1] += len(all_)
         have = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(df[have])], ["bucket", "df"])
@@ -220,13 +226,45 @@ def fit(sample: DataFrame, features: Features, idf: np.ndarray | None = None, ft
     return Model(labels, np.frombuffer(rows[0]["weights"], np.float32).reshape(features.size, len(labels)), rows[0]["temperature"], features)
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int = 800) -> list[tuple[str, int]]:
-    """For each label, the hash below which its first ``per_label`` rows lie: (label, xxhash64 of key).
+def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int = 800, most_labels: int = 200) -> dict[str, tuple[int, int]]:
+    """For each label, (its number of keys, the hash up to which its sample reaches): xxhash64 of key, in signed order.
 
-    At most 1000 a label, so that tasks keep only that many rows of a label each.
+    A sample is the first ``per_label`` keys of a label, or all if it has no more; of rows that
+    share a key ``sampled`` takes one. The ``most_labels`` commonest labels count.
+    The hash is found digit by digit from counts, so no label's rows are gathered anywhere.
     """
-    from pyspark.sql import Window
-
-    h = rows.select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"))
-    first = h.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("n") <= min(per_label, 1000))
-    return [(r["label"], r["top"]) for r in first.groupBy("label").agg(F.max("h").alias("top")).collect()]
+    h = rows.select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h")).filter("label IS NOT NULL").distinct()
+    sizes = {r["label"]: r["count"] for r in h.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()}
+    top = {x: (1 << 63) - 1 for x, n in sizes.items() if n <= per_label}
+    open_: dict[str, tuple[int, int]] = {x: (0, per_label) for x in sizes if x not in top}  # digits so far, rows still wanted
+    shift = 64
+    while open_:
+        shift -= DIGIT
+        if shift == 64 - DIGIT:
+            mine = F.col("label").isin(*open_)
+        else:
+            mine = reduce(lambda a, b: a | b, [(F.col("label") == x) & (F.shiftright("h", shift + DIGIT) == digits) for x, (digits, _) in open_.items()])
+        counts: dict[str, list[tuple[int, int]]] = {}
+        for r in h.filter(mine).groupBy("label", F.shiftright("h", shift).alias("digits")).count().collect():  # 2**DIGIT rows a label at most
+            counts.setdefault(r["label"], []).append((r["digits"], r["count"]))
+        for x, found in counts.items():
+            wanted = open_.pop(x)[1]
+            for digits, n in sorted(found):
+                if n >= wanted:
+                    if n == wanted or shift == 0:
+                        top[x] = (digits + 1 << shift) - 1
+                    else:
+                        open_[x] = (digits, wanted)
+                    break
+                wanted -= n
+    return {x: (sizes[x], top[x]) for x in sizes}
+
+
+def sampled(rows: DataFrame, tops: dict[str, tuple[int, int]]) -> DataFrame:
+    """label, text, order of the sample's rows; ``rows`` has id, label, text."""
+    if not tops:
+        mine = F.lit(False)
+    else:
+        mine = reduce(lambda a, b: a | b, [(F.col("label") == x) & (F.col("order") <= top) for x, (_, top) in tops.items()])
+    named = rows.select(F.col("label").cast("string").alias("label"), "text", F.xxhash64("id").alias("order"))
+    return named.filter(mine).groupBy("label", "order").agg(F.min("text").alias("text"))
