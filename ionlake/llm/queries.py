@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionlake.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, pii, substring_dedup, warc
+from ionlake.llm.oracle import ORACLE
 from ionlake.llm.shared import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,14 +117,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op5_exact_dedup": """
-            WITH d AS (
-              SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
-              FROM documents
-            )
-            SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-                   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-            FROM d
-        """,
-    }
+    return dict(ORACLE)
