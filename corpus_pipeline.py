@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ionlake.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
 from ionlake.llm.queries import AT_MOST, MIX, domains, table, tokenizer_path
-from ionlake.llm.shared import Stage
+from ionlake.llm.shared import Stage, releasing
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be determined go."""
-    return language_id.keep_identified(docs, language_id.train(docs), least=0.3)
+    return language_id.keep_identified(docs, language_id.train(docs), above_chance=0.1)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, step) in enumerate(STAGES):
-        docs = stage.keep(step(spark, docs, sf_dir), f"stage{k}")
+        with releasing():
+            docs = stage.keep(step(spark, docs, sf_dir), f"stage{k}")
         if k:
             stage.drop(f"stage{k - 1}")
     return docs
