@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(frame: pd.DataFrame) -> list[str]:
     columns = sorted(frame.columns)
-    return sorted(frame[columns].astype(str).agg("|".join, axis=1)) if len(frame) else []
+    return sorted(frame[columns].convert_dtypes().astype(str).agg("|".join, axis=1)) if len(frame) else []
 
 
 def by_duckdb(sql: str, folder: str = DATA) -> pd.DataFrame:
