@@ -24,7 +24,9 @@ starts anywhere else in the corpus too.
    places, at last one, where the shared words are the window). Pieces of the segment are
    then merged, dealt and parsed like segments, so nothing is compared pair by pair.
 6. Every segment gets its duplicate starts back, and one pass over the documents
-   removes the covered words. Staged tables are deleted once nothing reads them.
+   removes the covered words. Staged tables are deleted once nothing reads them. Which documents
+   have repeated anchors or duplicates is known by a bitmap of at most ``BITMAP`` bits, a
+   broadcast of bounded size, and then by an exact join, so other texts are not shuffled.
 
 Edge cases: null text has no words; empty texts and texts shorter than the window
 keep all words; a passage that repeats inside one document counts; rows are told apart by
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.shared import Stage, grams, only, passes, text_bytes, words
+from ionlake.llm.shared import Stage, bitmap_of, grams, in_bitmap, only, passes, text_bytes, words
 
 SEED = 8
 #: Distinct segments of one anchor beyond which its windows are dealt by more of their words.
@@ -51,7 +53,8 @@ REGION = 2000
 #: Places of the gram in a window that share a piece, for each time that an anchor is dealt anew.
 WIDTHS = (7, 1)
 #: Segments that a reference block holds on average.
-BLOCK = 20_000
+BLOCK = 5_000
+BITMAP = 1 << 26
 
 
 def slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -294,6 +297,21 @@ def _remove(window: int):
     return run
 
 
+def _place() -> F.Column:
+    return F.pmod(F.xxhash64("id", "th"), F.lit(BITMAP)).alias("place")
+
+
+def _with_place(source: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
+    """The rows of ``source`` whose place in the bitmap is set, or isn't: texts that a join has nothing for are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = in_bitmap(bitmap, batch.column(3).to_numpy())
+            yield batch.select(["id", "th", "text"]).filter(pa.array(found == inside))
+
+    return source.select("id", "th", "text", _place()).mapInArrow(run, "id long, th long, text string")
+
+
 def _parsed(distinct: DataFrame, window: int, stage: Stage, widths: tuple[int, ...], level: int = 0) -> DataFrame:
     """(anchor, key, bits) of the segments in ``distinct`` (anchor, gram, key, copies, segment; a written table) that have duplicate windows."""
     name = f"level{level}"
@@ -322,9 +340,10 @@ def duplicate_starts(source: DataFrame, window: int, stage: Stage) -> DataFrame:
     anchors = stage.keep(anchors, "anchors")
     again = anchors.groupBy("anchor").agg(F.sum("weight").alias("c")).filter("c > 1").select("anchor")
     mine = anchors.join(again, "anchor", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("anchors"))
-    segments = source.join(mine, ["id", "th"]).mapInArrow(_segments(window), "anchor long, id long, th long, start int, key binary, segment string")
+    mine = stage.keep(mine, "mine")
+    segments = _with_place(source, bitmap_of(mine.select(_place()), BITMAP), True).join(mine, ["id", "th"]).mapInArrow(_segments(window), "anchor long, id long, th long, start int, key binary, segment string")
     segments = stage.keep(segments, "segments")
-    stage.drop("anchors")
+    stage.drop("anchors", "mine")
     distinct = segments.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("segment").alias("segment")).withColumn("gram", F.col("anchor"))
     distinct = stage.keep(distinct, "distinct")
     places = stage.keep(segments.select("anchor", "key", "id", "th", "start"), "places")
@@ -346,6 +365,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     source = source.select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
     found = stage.keep(duplicate_starts(source, window, stage).groupBy("id", "th").agg(F.collect_set(F.struct("start", "bits")).alias("found")), "found")
     stage.drop("places", "bits")
-    out = source.join(found, ["id", "th"], "left").select("id", "text", "found")
-    out = out.mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("id", id_col)
+    bitmap, kept = bitmap_of(found.select(_place()), BITMAP), "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
+    whole = _with_place(source, bitmap, False).select("id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    cut = _with_place(source, bitmap, True).join(found, ["id", "th"], "left").select("id", "text", "found")
+    return whole.mapInArrow(_remove(window), kept).unionByName(cut.mapInArrow(_remove(window), kept)).withColumnRenamed("id", id_col)
