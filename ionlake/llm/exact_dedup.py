@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionlake.llm.shared import Stage, bitmap_of, fresh, in_bitmap, only
 
@@ -146,7 +147,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = lambda i, sha: dict(zip(keys, (F.coalesce(i, F.lit(0)).cast("long"), i.isNull(), sha), strict=True))
     kept = exact_classes(docs, id_col, text_col).filter("kept")
     kept = kept.select(*[c.alias(k) for k, c in named(F.col(id_col), F.col("sha256")).items()])
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    lowered = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), upper, upper.lower())
-    rows = docs.withColumns(named(F.col(f"`{id_col}`"), F.sha2(lowered.cast("binary"), 256)))
+    place = docs.columns.index(text_col)
+
+    def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in batch.column(place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, keys[2]])
+
+    rows = docs.mapInArrow(with_digest, T.StructType([*docs.schema.fields, T.StructField(keys[2], T.StringType())]))
+    rows = rows.withColumns({k: c for k, c in named(F.col(f"`{id_col}`"), F.col(keys[2])).items() if k != keys[2]})
     return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
