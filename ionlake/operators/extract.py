@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.operators.traces import ordered_lists
+from ionlake.operators.traces import lttb, ordered_lists
 
 #: Scans this many seconds outside the target's window are extracted too.
 RT_MARGIN = 30.0
@@ -27,8 +27,8 @@ PAIR = ["peak_label", "ms_file_label"]
 # ------------------------------------------------------------------ targets and pairs
 def selected_or_all(targets: DataFrame) -> DataFrame:
     """The selected targets; of a type where none is selected, all."""
-    some = F.max(F.coalesce("peak_selection", F.lit(False))).over(Window.partitionBy("ms_type"))
-    return targets.withColumn("_some", some).filter(F.col("peak_selection") | ~F.col("_some")).drop("_some")
+    some = targets.groupBy(F.col("ms_type").alias("_type")).agg(F.max(F.coalesce("peak_selection", F.lit(False))).alias("_some"))  # a row a type
+    return targets.join(some, F.col("ms_type").eqNullSafe(F.col("_type"))).filter(F.col("peak_selection") | ~F.col("_some")).drop("_type", "_some")
 
 
 def rt_in_seconds(column: str, unit: str = "rt_unit") -> Column:
@@ -97,13 +97,28 @@ def scan_lookup_stats(scans: DataFrame) -> DataFrame:
     return per_file.agg(F.sum("n").alias("n_entries"), F.count(F.lit(1)).alias("n_files"), F.round(F.avg("n"), 4).alias("avg_scans"))
 
 
+#: Widths in seconds of the time bins that a window is joined by: the first that holds it, so that it meets two bins at most.
+TIME_BINS = (128.0, 2048.0, 1 << 21)
+
+
 def rt_range_join(pairs: DataFrame, scans: DataFrame, margin: float = RT_MARGIN) -> DataFrame:
-    """The scans of a pair's file inside its window and margin; open ends are 0 and 999999."""
+    """The scans of a pair's file inside its window and margin; open ends are 0 and 999999.
+
+    An equi-join on file and time bin with the exact window as a residual: a file's scans are
+    dealt by time, and a window meets only those near it.
+    """
     low = F.coalesce("rt_min", F.lit(0.0)) - margin
     high = F.coalesce("rt_max", F.lit(999999.0)) + margin
-    pairs = pairs.select(*PAIR, low.alias("_from"), high.alias("_to"))
-    joined = pairs.join(scans.select("ms_file_label", "scan_id", "scan_time").distinct(), "ms_file_label")
-    return joined.filter(F.col("scan_time").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    pairs = pairs.select(*PAIR, low.alias("_from"), high.alias("_to")).filter("_from <= _to")
+    width = F.col("_to") - F.col("_from")
+    size = F.when(width <= TIME_BINS[0], TIME_BINS[0]).when(width <= TIME_BINS[1], TIME_BINS[1]).otherwise(TIME_BINS[2])
+    bin_of = lambda t, w: F.floor(t / w).cast("long")
+    windows = pairs.withColumn("_size", size.cast("double"))
+    windows = windows.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from"), F.col("_size")), bin_of(F.col("_to"), F.col("_size")))))
+    places = scans.select("ms_file_label", "scan_id", "scan_time").distinct()
+    places = places.withColumn("_size", F.explode(F.array(*[F.lit(float(w)) for w in TIME_BINS]))).withColumn("_bin", bin_of(F.col("scan_time"), F.col("_size")))
+    joined = windows.join(places, ["ms_file_label", "_size", "_bin"])
+    return joined.filter(F.col("scan_time").between(F.col("_from"), F.col("_to"))).select(*PAIR, "scan_id", "scan_time")
 
 
 def filterline_join(points: DataFrame, targets: DataFrame) -> DataFrame:
@@ -141,6 +156,22 @@ def extract_ms1(points: DataFrame, targets: DataFrame, pairs: DataFrame, scans:
     return ordered_lists(rows, PAIR, ["scan_time", "scan_id"], ["scan_time", "intensity", "mz"]).withColumnRenamed("mz", "mz_arr").withColumn("ms_type", F.lit("ms1"))
 
 
+def pending_full_range(chromatograms: DataFrame, targets: DataFrame) -> DataFrame:
+    """The ms1 pairs without full-range arrays whose target's m/z window is known."""
+    known = targets.filter("mz_mean IS NOT NULL AND mz_width IS NOT NULL").select("peak_label")
+    rows = chromatograms.filter("ms_type = 'ms1'")
+    if "scan_time_full_ds" in rows.columns:
+        rows = rows.filter("scan_time_full_ds IS NULL")
+    return rows.select(*PAIR).join(known, "peak_label", "left_semi")
+
+
+def extract_full_range(points: DataFrame, targets: DataFrame, pairs: DataFrame, scans: DataFrame, n: int = 1000) -> DataFrame:
+    """scan_time_full_ds and intensity_full_ds of the pairs: all ms1 scans of the file, filled, then downsampled to n points (F1)."""
+    scans = scans.filter("ms_type = 'ms1'") if "ms_type" in scans.columns else scans
+    whole = extract_ms1(points, targets, pairs, scans, margin=None).select(*PAIR, "scan_time", "intensity")
+    return lttb(whole, n).select(*PAIR, F.col("scan_time").alias("scan_time_full_ds"), F.col("intensity").alias("intensity_full_ds"))
+
+
 def extract_ms2(points: DataFrame, targets: DataFrame, pairs: DataFrame, scans: DataFrame, margin: float = RT_MARGIN) -> DataFrame:
     """Every point of the filter line, filled; ties in time by intensity."""
     wanted = targets.join(pairs.select("peak_label").distinct(), "peak_label", "left_semi")

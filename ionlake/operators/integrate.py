@@ -61,20 +61,31 @@ def peak_metrics(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     return out.drop("_w", "_t", "_i", "_n", "_at", "_max")
 
 
-def integrate(chromatograms: DataFrame, targets: DataFrame) -> DataFrame:
+def file_shifts(targets: DataFrame) -> DataFrame:
+    """(peak_label, ms_file_label, shift) of targets with ``rt_align_shifts``, a map or a JSON object of file -> shift; what isn't a number goes."""
+    shifts = F.col("rt_align_shifts") if dict(targets.dtypes)["rt_align_shifts"].startswith("map") else F.from_json("rt_align_shifts", "map<string,string>")
+    rows = targets.select("peak_label", F.explode(shifts).alias("ms_file_label", "_text"))
+    return rows.select("peak_label", "ms_file_label", F.col("_text").try_cast("double").alias("shift")).filter("shift IS NOT NULL")
+
+
+def integrate(chromatograms: DataFrame, targets: DataFrame, shifts: DataFrame | None = None) -> DataFrame:
     """Metrics of every chromatogram in its target's window, moved by the file's shift.
 
-    ``targets`` has peak_label, rt_min, rt_max and, if aligned, rt_align_enabled and
-    rt_align_shifts (JSON).
+    ``targets`` has peak_label, rt_min, rt_max and, if aligned, rt_align_enabled; the shifts are
+    ``shifts`` (peak_label, ms_file_label, shift) or else the targets' rt_align_shifts. They are
+    joined as rows, so a chromatogram carries its own shift only. A file without one has 0.
     """
     columns = targets.columns
-    chosen = targets.select("peak_label", "rt_min", "rt_max", *[c for c in ("rt_align_enabled", "rt_align_shifts") if c in columns])
+    if shifts is None and "rt_align_shifts" in columns:
+        shifts = file_shifts(targets)
+    aligned = F.coalesce("rt_align_enabled", F.lit(False)) if "rt_align_enabled" in columns else F.lit(shifts is not None)
+    chosen = targets.select("peak_label", "rt_min", "rt_max", aligned.alias("rt_aligned"))
     rows = chromatograms.join(chosen, "peak_label")
-    if "rt_align_shifts" in columns:
-        aligned = F.coalesce("rt_align_enabled", F.lit(False)) if "rt_align_enabled" in columns else F.lit(True)
-        rows = rows.withColumn("rt_aligned", aligned).withColumn("rt_shift", F.when(aligned, rt_shift_for_file(F.col("rt_align_shifts"), F.col("ms_file_label"))).otherwise(F.lit(0.0)))
+    if shifts is None:
+        rows = rows.withColumns({"rt_aligned": F.lit(False), "rt_shift": F.lit(0.0)})
     else:
-        rows = rows.withColumn("rt_aligned", F.lit(False)).withColumn("rt_shift", F.lit(0.0))
+        moved = shifts.select(*PAIR, F.col("shift").alias("_shift"))
+        rows = rows.join(moved, PAIR, "left").withColumn("rt_shift", F.when(F.col("rt_aligned"), F.coalesce("_shift", F.lit(0.0))).otherwise(F.lit(0.0))).drop("_shift")
     return peak_metrics(rows, F.col("rt_min") - F.col("rt_shift"), F.col("rt_max") - F.col("rt_shift"))
 
 
@@ -94,9 +105,11 @@ def peak_properties(chromatograms: DataFrame, targets: DataFrame, samples: DataF
     top3 = F.col("i") + F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0))
     best = F.max(F.when(F.col("inside"), F.struct("i", (-F.col("t")).alias("nt"), (-F.col("pos")).alias("np"), top3.alias("top3"))))
     win = lambda c: F.when(F.col("inside"), c)
+    # Summed to six decimals, so that the order of the rows doesn't decide how a mean halfway is rounded.
+    mean = F.sum(win(F.col("i").cast("decimal(28,6)"))).cast("double") / F.count(win(F.col("i")))
     out = points.groupBy(*PAIR).agg(
         F.sum("i").alias("total_intensity"), F.round(F.sum(win(area)), 0).alias("peak_area"), F.round(F.max(win(F.col("i"))), 0).alias("peak_max"), F.round(F.min(win(F.col("i"))), 0).alias("peak_min"),
-        F.round(F.avg(win(F.col("i"))), 0).alias("peak_mean"), F.round(F.median(win(F.col("i"))), 0).alias("peak_median"), F.count(win(F.col("i"))).alias("peak_n_datapoints"), best.alias("_best"),
+        F.round(mean, 0).alias("peak_mean"), F.round(F.median(win(F.col("i"))), 0).alias("peak_median"), F.count(win(F.col("i"))).alias("peak_n_datapoints"), best.alias("_best"),
     )
     out = out.withColumns({"peak_area_top3": F.round("_best.top3", 0), "peak_rt_of_max": -F.col("_best.nt")})
     return out.filter("peak_n_datapoints > 0").drop("_best")

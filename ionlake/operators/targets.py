@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionlake.operators.extract import selected_or_all
+
 #: Half a window, in the list's own unit, where only a retention time is given.
 HALF_WINDOW = 5.0
 
@@ -92,8 +94,7 @@ def choose_targets(targets: DataFrame, ms_type: str, bookmark: bool | None = Non
         out = out.filter(F.coalesce("bookmark", F.lit(False)) == bookmark)
     if labels:
         out = out.filter(F.col("peak_label").isin(*labels))
-    some = F.max(F.coalesce("peak_selection", F.lit(False))).over(Window.partitionBy("ms_type"))
-    out = out.withColumn("_some", some).filter(F.col("peak_selection") | ~F.col("_some")).drop("_some")
+    out = selected_or_all(out)
     if chromatograms is not None:
         out = out.join(chromatograms.filter(F.col("ms_type") == ms_type).select("peak_label").distinct(), "peak_label", "left_semi")
     return out
