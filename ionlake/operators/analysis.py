@@ -10,11 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ionlake.operators.ranks import rank_in_group
 
-def sample_matrix(results: DataFrame, samples: DataFrame, metric: str, labels: list[str], meta: tuple[str, ...] = ("ms_file_label", "sample_type")) -> DataFrame:
-    """A row per analysed file, a column per peak label; labels are given, so no extra pass finds them."""
-    rows = results.join(samples.filter(F.coalesce("use_for_analysis", F.lit(True))) if "use_for_analysis" in samples.columns else samples, "ms_file_label")
-    return rows.groupBy(*meta).pivot("peak_label", labels).agg(F.first(metric))
+
+#: What a row of the sample matrix says of its file, as far as the samples have it.
+META = ("ms_file_label", "ms_type", "sample_type", "group_1", "group_2", "group_3", "group_4", "group_5")
+
+
+def columns_by_type(targets: DataFrame) -> list[str]:
+    """Peak labels in order of ms_type, then label: the matrix's columns (one row a target)."""
+    return [r["peak_label"] for r in targets.select("ms_type", "peak_label").distinct().orderBy(F.asc_nulls_last("ms_type"), "peak_label").collect()]
+
+
+def sample_matrix(results: DataFrame, samples: DataFrame, metric: str, labels: list[str], meta: tuple[str, ...] = META) -> DataFrame:
+    """A row per analysed file, a column per peak label; labels are given (``columns_by_type``), so no extra pass finds them."""
+    used = samples.filter(F.coalesce("use_for_analysis", F.lit(True))) if "use_for_analysis" in samples.columns else samples
+    meta = tuple(c for c in meta if c in samples.columns)
+    values = results.groupBy("ms_file_label").pivot("peak_label", labels).agg(F.first(metric, ignorenulls=True))
+    return used.select(*meta).join(values, "ms_file_label").select(*meta, *[F.col(f"`{x}`") for x in labels])
 
 
 def clean_long(rows: DataFrame, metric: str) -> DataFrame:
@@ -54,34 +67,36 @@ def group_label(column: Column, field: str) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(f"{field} (unset)"))
 
 
-def pca(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def pca(rows: DataFrame, key: str, vector: str, k: int, most_width: int = 2000) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """I8: (scores, loadings, explained-variance ratio) of centred vectors; signs make the largest loading positive.
 
-    The covariance is summed over partitions (width * width numbers), never the rows.
+    The covariance is summed over partitions, never the rows: half of width * width numbers reach
+    the driver, and a width over ``most_width`` is an error.
     """
-    width = rows.select(F.size(vector)).first()[0]
-    schema = "n long, total array<double>, square array<double>"
+    first = rows.select(vector).first()
+    if first is None:
+        raise ValueError("no rows")
+    width = len(first[0])
+    if width > most_width:
+        raise ValueError(f"{width} columns; their covariance is computed for {most_width} at most")
+    origin = np.asarray(first[0], float)  # near the data, so that the sums of squares keep their digits
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, square = 0, np.zeros(width), np.zeros((width, width))
         for b in batches:
             if len(b):
-                x = np.stack(b[vector].to_numpy()).astype(float)
+                x = np.stack(b[vector].to_numpy()).astype(float) - origin
                 n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
-        yield pd.DataFrame({"n": [n], "total": [total], "square": [square.ravel()]})
-
-    sums = rows.select(vector).mapInPandas(partial, schema)
-    add = lambda c, size: [F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(size)]
-    if width <= 16:
-        row = sums.agg(F.sum("n").alias("n"), *add("total", width), *add("square", width * width)).first()
-        n, total = row["n"], np.array([row[f"total{i}"] for i in range(width)])
-        square = np.array([row[f"square{i}"] for i in range(width * width)]).reshape(width, width)
-    else:
-        cells = sums.select("n", F.posexplode(F.concat("total", "square")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
-        n, flat = cells[0]["n"], np.array([c["x"] for c in cells])
-        total, square = flat[:width], flat[width:].reshape(width, width)
-    mean = total / n
-    cov = (square - n * np.outer(mean, mean)) / max(n - 1, 1)
+        cells = np.concatenate([[n], total, square[np.triu_indices(width)]])
+        yield pd.DataFrame({"i": np.arange(len(cells)), "x": cells})
+
+    cells = rows.select(vector).mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow()
+    flat = cells.column("x").to_numpy()
+    n, total, square = int(flat[0]), flat[1 : width + 1], np.zeros((width, width))
+    square[np.triu_indices(width)] = flat[width + 1 :]
+    square = square + np.triu(square, 1).T
+    cov = (square - np.outer(total, total) / n) / max(n - 1, 1)
+    mean = origin + total / n
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[: min(k, width, n)]
     values_kept, parts = np.maximum(values[order], 0), vectors[:, order]
@@ -97,6 +112,20 @@ def pca(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, np.n
     return scores, parts * np.sqrt(values_kept), ratio
 
 
+def matrix_pca(rows: DataFrame, metric: str, labels: list[str], k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I8, I9 on the sample-by-target matrix in long form: (scores by file, components with ratio and cumulative ratio, loadings ranked).
+
+    Missing and non-finite cells are 0. At most min(files, targets, k) components.
+    """
+    spark = rows.sparkSession
+    clean = rows.withColumn(metric, F.when(~F.isnan(metric) & (F.abs(metric) != float("inf")), F.col(metric)))
+    wide = clean.groupBy("ms_file_label").pivot("peak_label", labels).agg(F.first(metric, ignorenulls=True))
+    vectors = wide.select("ms_file_label", F.array(*[F.coalesce(F.col(f"`{x}`").cast("double"), F.lit(0.0)) for x in labels]).alias("v"))
+    scores, loadings, ratio = pca(vectors, "ms_file_label", "v", k)
+    parts = [(j + 1, float(r), float(c)) for j, (r, c) in enumerate(zip(ratio, np.cumsum(ratio), strict=True))]
+    return scores, spark.createDataFrame(parts, "component int, ratio double, cumulative double"), rank_by_loading(labels, loadings, spark)
+
+
 def group_summary(rows: DataFrame, metric: str, keys: list[str]) -> DataFrame:
     """Mean, SEM (n - 1) and count."""
     return rows.groupBy(*keys).agg(F.avg(metric).alias("mean"), (F.stddev_samp(metric) / F.sqrt(F.count(metric))).alias("sem"), F.count(metric).alias("n"))
@@ -186,8 +215,7 @@ def distribution_span(rows: DataFrame, metric: str, keys: list[str]) -> DataFram
 def qc_series(results: DataFrame, samples: DataFrame, metric: str, mode: str = "zscore") -> DataFrame:
     """For every peak its files in order of acquisition (nulls last, then label), numbered, with the normalised metric."""
     rows = results.join(samples.select("ms_file_label", "acquisition_datetime", group_label(F.col("group_1"), "group_1").alias("group")), "ms_file_label")
-    order = Window.partitionBy("peak_label").orderBy(F.asc_nulls_last("acquisition_datetime"), "ms_file_label")
-    return normalize(rows.withColumn("number", F.row_number().over(order)), metric, mode)
+    return normalize(rank_in_group(rows, ["peak_label"], [F.asc_nulls_last("acquisition_datetime"), F.col("ms_file_label")], "number"), metric, mode)
 
 
 def color_map(samples: DataFrame, group: str, palette: list[str], grey_largest: bool = False) -> DataFrame:
@@ -204,14 +232,16 @@ def color_map(samples: DataFrame, group: str, palette: list[str], grey_largest:
 def sample_distances(rows: DataFrame, left: str, along: str, metric: str) -> DataFrame:
     """I16: Euclidean distance of every two ``left`` keys over ``along``; the result is as large as the question asks.
 
-    Both sides meet on ``along``; missing cells are 0 through the squared norms.
+    Both sides meet on ``along``; missing cells are 0 through the squared norms, so keys that share
+    nothing are as far apart as their norms say. ``left`` may be peaks (over files) or files (over peaks).
     """
     a = rows.select(F.col(left).alias("a"), along, F.col(metric).alias("x"))
     b = rows.select(F.col(left).alias("b"), along, F.col(metric).alias("y"))
     dots = a.join(b, along).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     norms = rows.groupBy(F.col(left).alias("k")).agg(F.sum(F.col(metric) * F.col(metric)).alias("nn"))
-    out = dots.join(norms.select(F.col("k").alias("a"), F.col("nn").alias("na")), "a").join(norms.select(F.col("k").alias("b"), F.col("nn").alias("nb")), "b")
-    return out.select("a", "b", F.sqrt(F.greatest(F.col("na") + F.col("nb") - 2 * F.col("dot"), F.lit(0.0))).alias("distance"))
+    every = norms.select(F.col("k").alias("a"), F.col("nn").alias("na")).join(norms.select(F.col("k").alias("b"), F.col("nn").alias("nb")), F.col("a") < F.col("b"))
+    out = every.join(dots, ["a", "b"], "left")
+    return out.select("a", "b", F.sqrt(F.greatest(F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))).alias("distance"))
 
 
 def rank_by_loading(labels: list[str], loadings: np.ndarray, spark) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionlake.operators.ranks import rank_in_group
+
 
 def keyword_filter(rows: DataFrame, contains: dict[str, str] | None = None, isin: dict[str, list] | None = None) -> DataFrame:
     """Case-insensitive contains, and membership, joined by AND; empty conditions and unknown columns don't filter."""
@@ -74,9 +76,9 @@ def quota_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 1234
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).crossJoin(total)
     quota = F.when(F.col("_total") <= n, F.col("_size")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / F.col("_total")))))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    placed = rank_in_group(rows, [group], [F.xxhash64(key, F.lit(seed)), F.col(key)], "_place")
     sizes = sizes.select(F.col(group).alias("_g"), quota.cast("int").alias("_quota"))
-    return rows.withColumn("_place", place).join(sizes, F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _quota").drop("_place", "_quota", "_g")
+    return placed.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _quota").drop("_place", "_quota", "_g")
 
 
 def table_summary(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Calibration curves and concentrations (section J).
 
-A peak's standards are a small sorted array inside one row; the linear range is a fold that
-drops the worse end until the fit is good, in expressions, with no grouped Python.
+A peak's standards are a sorted array inside one row, as many as the standards table has for the
+peak; the linear range is a fold that drops the worse end until the fit is good, in expressions,
+linear in the array, with no grouped Python.
 """
 
 from __future__ import annotations
@@ -64,16 +65,54 @@ def fit(points: Column, mode: str = FIXED, interval: tuple[float, float] = (0.85
 
 
 def linear_range(points: Column, mode: str = FIXED, interval: tuple[float, float] = (0.85, 1.15)) -> Column:
-    """struct(points, fit) after dropping the worse end while the fit is poor and over 3 points are left; ``points`` are sorted by y, then x."""
-    start = F.struct(points.alias("points"), fit(points, mode, interval).alias("fit"))
+    """struct(points, fit) after dropping the worse end while the fit is poor and over 3 points are left; ``points`` are sorted by y, then x.
 
-    def step(state: Column, _: Column) -> Column:
-        p, f = state["points"], state["fit"]
-        poor = ((f["residual"] > RESIDUAL) | (f["first"] > END) | (f["last"] > END)) & (F.size(p) > 3)
-        fewer = F.when(f["first"] > f["last"], F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))))
-        return F.when(poor, F.get(F.transform(F.array(fewer), lambda q: F.struct(q.alias("points"), fit(q, mode, interval).alias("fit"))), F.lit(0))).otherwise(state)
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(points), F.lit(1))), start, step)
+    The search carries the ends and the sums of what is left, about the mean of all points, so a
+    drop costs one subtraction and the whole search is linear in the points.
+    """
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[c]) / F.greatest(F.size(points), F.lit(1))
+    names = ("sx", "sy", "sxx", "sxy", "syy")
+
+    def terms(p: Column, m: Column) -> list[Column]:
+        x, y = p["x"] - m["x"], p["y"] - m["y"]
+        return [x, y, x * x, x * y, y * y]
+
+    def search(m: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("lo"), (F.size(points) - 1).alias("hi"), *[F.lit(0.0).alias(c) for c in names])
+        start = F.aggregate(points, zero, lambda s, p: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), *[(s[c] + v).alias(c) for c, v in zip(names, terms(p, m), strict=True)]))
+
+        def line(s: Column) -> Column:
+            k = (s["hi"] - s["lo"] + 1).cast("double")
+            var, cov = s["sxx"] - s["sx"] * s["sx"] / k, s["sxy"] - s["sx"] * s["sy"] / k
+            slope = F.lit(1.0) if mode == FIXED else F.when(var <= 1e-12 * F.greatest(F.lit(1e-12), s["sxx"]), 1.0).otherwise(cov / var)
+            if mode == BOUNDED:
+                slope = F.greatest(F.least(slope, F.lit(max(interval))), F.lit(min(interval)))
+            return F.struct(k.alias("k"), slope.alias("slope"))
+
+        def step(s: Column, _: Column) -> Column:
+            def judged(f: Column) -> Column:
+                b = (s["sy"] - f["slope"] * s["sx"]) / f["k"]
+                return F.struct(f["k"].alias("k"), f["slope"].alias("slope"), b.alias("b"))
+
+            def moved(f: Column) -> Column:
+                m1, b, k = f["slope"], f["b"], f["k"]
+                sse = s["syy"] + k * b * b + m1 * m1 * s["sxx"] - 2 * b * s["sy"] - 2 * m1 * s["sxy"] + 2 * m1 * b * s["sx"]
+                error = lambda p: (p["y"] - m["y"] - b - m1 * (p["x"] - m["x"])) * (p["y"] - m["y"] - b - m1 * (p["x"] - m["x"]))
+                first, last = error(F.get(points, s["lo"])), error(F.get(points, s["hi"]))
+                poor = ((sse / (k if mode == FREE else k * k) > RESIDUAL) | (first > END) | (last > END)) & (k > 3)
+                gone = F.when(first > last, F.get(points, s["lo"])).otherwise(F.get(points, s["hi"]))
+                at = F.when(first > last, 1).otherwise(0)
+                less = F.struct((s["lo"] + at).alias("lo"), (s["hi"] - 1 + at).alias("hi"), *[(s[c] - v).alias(c) for c, v in zip(names, terms(gone, m), strict=True)])
+                return F.when(poor, less).otherwise(s)
+
+            return bind(bind(line(s), judged), moved)
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(points), F.lit(1))), start, step)
+
+    ends = bind(F.struct(mean("x").alias("x"), mean("y").alias("y")), search)
+    kept = bind(ends, lambda e: F.slice(points, e["lo"] + 1, F.greatest(e["hi"] - e["lo"] + 1, F.lit(0))))
+    return bind(kept, lambda q: F.struct(q.alias("points"), fit(q, mode, interval).alias("fit")))
 
 
 def calibration_curves(training: DataFrame, mode: str = FIXED, interval: tuple[float, float] = (0.85, 1.15)) -> DataFrame:

@@ -36,3 +36,14 @@ def global_rank(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
     sizes = numbered.groupBy("_part").agg(F.max("_own").alias("_size")).select(F.col("_part").alias("_other"), "_size")  # a row a partition
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b._other") < F.col("a._other"), "left").groupBy(F.col("a._other").alias("_other")).agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_before"))
     return numbered.join(before, F.col("_part") == F.col("_other")).withColumn(name, F.col("_own") + F.col("_before")).select(*columns, name)
+
+
+def rank_in_group(rows: DataFrame, groups: list[str], keys: list[Column], name: str) -> DataFrame:
+    """``name`` is each row's place (from 1) among the rows of its group, a null being a group; a group may span partitions.
+
+    The place in the whole table less that of the group's first row, so no window gathers a group.
+    """
+    placed = global_rank(rows, [*[F.col(g).asc_nulls_first() for g in groups], *keys], "_place")
+    first = placed.groupBy(*[F.col(g).alias(f"_of_{g}") for g in groups]).agg(F.min("_place").alias("_first"))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]
+    return placed.join(first, same).withColumn(name, (F.col("_place") - F.col("_first") + 1).cast("int")).select(*rows.columns, name)

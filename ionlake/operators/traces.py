@@ -149,11 +149,55 @@ def group_neighbors(samples: DataFrame, group: str, n: int = 10, seed: int = 0)
     Each group is ranked once by hash; a file's neighbours are the n after it in that order,
     wrapping round, so the work is n per file whatever the group's size.
     """
-    ranked = Window.partitionBy(group).orderBy(F.xxhash64("ms_file_label", F.lit(seed)), "ms_file_label")
+    from ionlake.operators.ranks import rank_in_group
+
     rows = samples.select("ms_file_label", F.col(group).alias("_g")).withColumnRenamed("_g", group)
-    rows = rows.withColumn("_k", F.row_number().over(ranked) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rank_in_group(rows, [group], [F.xxhash64("ms_file_label", F.lit(seed)), F.col("ms_file_label")], "_at1")
+    rows = rows.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).withColumn("_k", F.col("_at1") - 1).drop("_of", "_at1")
     steps = F.explode(F.sequence(F.lit(1), F.least(F.lit(n), (F.col("_n") - 1).cast("int"))))
     asks = rows.filter("_n > 1").select(F.col("ms_file_label").alias("of"), F.col(group).alias("_g"), "_k", "_n", steps.alias("_step"))
     asks = asks.select("of", "_g", ((F.col("_k") + F.col("_step")) % F.col("_n")).alias("_at"))
     answers = rows.select(F.col(group).alias("_h"), F.col("_k").alias("_there"), F.col("ms_file_label").alias("neighbor"))
     return asks.join(answers, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_at") == F.col("_there"))).select("of", "neighbor")
+
+
+def preview_slice(traces: DataFrame, targets: DataFrame, samples: DataFrame, around: float = 2.0) -> DataFrame:
+    """the traces of the given targets and samples, cut to the target's window and ``around`` seconds on both sides; empty ones go.
+
+    ``targets`` may be one page of a list; its other columns stay.
+    """
+    rows = traces.join(targets.select("peak_label", "rt_min", "rt_max"), "peak_label").join(samples.select("ms_file_label").distinct(), "ms_file_label", "left_semi")
+    rows = rows.withColumn("_w", slice_window(F.col("rt_min") - around, F.col("rt_max") + around)).filter(F.size("_w") > 0)
+    return rows.withColumns({"scan_time": F.col("_w.t"), "intensity": F.col("_w.i")}).drop("_w")
+
+
+def preview_traces(traces: DataFrame, targets: DataFrame, samples: DataFrame, shifts: DataFrame | None = None, ms_type: str = "ms1", around: float = 2.0, n: int = 100) -> DataFrame:
+    """what a preview draws: traces moved by their stored shift, cut to the window, thinned (ms1 to n points, ms2 sparsified).
+
+    Adds for each target ``top`` and ``least_positive`` (for the axis) and orders files by ``place``:
+    larger sample types first, then by type and file. ``shifts`` has peak_label, ms_file_label, shift.
+    """
+    if shifts is not None:
+        rows = traces.join(shifts.select("peak_label", "ms_file_label", F.col("shift").alias("_shift")), ["peak_label", "ms_file_label"], "left")
+        traces = rows.withColumn("scan_time", shift_trace(F.col("scan_time"), F.col("_shift"))).drop("_shift")
+    cut = preview_slice(traces, targets, samples, around).select("peak_label", "ms_file_label", "scan_time", "intensity")
+    if ms_type == "ms1":
+        thin = lttb(cut, n)
+    else:
+        thin = cut.withColumn("_s", sparsify(pairs(), baseline=10.0, width=1)).withColumns({"scan_time": F.col("_s.t"), "intensity": F.col("_s.i")}).drop("_s")
+    own = samples.select("ms_file_label", "sample_type").distinct()
+    thin = thin.join(own, "ms_file_label")
+    sizes = thin.groupBy("peak_label", "sample_type").agg(F.count(F.lit(1)).alias("n_of_type"))
+    axis = thin.groupBy("peak_label").agg(F.max(F.array_max("intensity")).alias("top"), F.min(F.array_min(F.filter("intensity", lambda x: x > 0))).alias("least_positive"))
+    out = thin.join(sizes, (thin["peak_label"] == sizes["peak_label"]) & thin["sample_type"].eqNullSafe(sizes["sample_type"])).drop(sizes["peak_label"]).drop(sizes["sample_type"])
+    place = F.struct((-F.col("n_of_type")).alias("n"), "sample_type", "ms_file_label")
+    return out.join(axis, "peak_label").withColumn("place", place).drop("n_of_type")
+
+
+def build_traces(traces: DataFrame, shift: Column | None = None, n: int | None = None, baseline: float = 1.0, width: int = 1) -> DataFrame:
+    """F16: traces for line plots: thinned to n points if asked, sparsified, then moved by ``shift``; traces with nothing left go."""
+    rows = traces if n is None else lttb(traces, n)
+    rows = rows.withColumn("_s", sparsify(pairs(), baseline=baseline, width=width)).filter(F.size("_s") > 0)
+    rows = rows.withColumns({"scan_time": F.col("_s.t"), "intensity": F.col("_s.i")}).drop("_s")
+    return rows if shift is None else rows.withColumn("scan_time", shift_trace(F.col("scan_time"), shift))
