@@ -1,21 +1,24 @@
 """mzML and mzXML files as point rows (A2).
 
-Files are read whole by ``binaryFile`` and parsed in tasks, many files a task; a file's points
-are yielded scan by scan in batches, so memory holds one file and one batch. A file that
-isn't valid XML gives no rows, and its name with the error from ``ingest_errors``.
+Files of at most ``WHOLE_BYTES`` come through ``binaryFile``, from any store that Spark reads, many
+files a task. Larger ones, also those over the 2 GB that a row can hold, are handed out by path and
+streamed in the task. Either way a file is parsed scan by scan and its points are yielded in batches,
+and a scan's elements are dropped once they are read. A file that isn't valid XML gives no rows, and
+its name with the error from ``ingest_errors``.
 """
 
 from __future__ import annotations
 
 import base64
-import io
 import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from ionlake.sources.readers import POINTS2
 
 SPECTRA = POINTS2 + ", ms_level int, polarity string, acquisition_datetime string, error string"
 ROWS = 100_000
+WHOLE_BYTES = 256 << 20
 _SECONDS = re.compile(r"^P(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)$", re.I)
 # Controlled-vocabulary accessions.
 LEVEL, POSITIVE, NEGATIVE, START = "MS:1000511", "MS:1000130", "MS:1000129", "MS:1000016"
@@ -83,25 +87,40 @@ def _mzxml_scan(e: ET.Element) -> dict:
     }
 
 
-def scans(content: bytes) -> Iterator[dict]:
-    """Scans with points, in document order, and a first item with the acquisition time."""
+def scans(content: IO[bytes]) -> Iterator[dict]:
+    """Scans with points, in document order: a scan that holds others comes before them."""
     when, kind = None, None
-    for event, e in ET.iterparse(io.BytesIO(content), events=("start", "end")):
+    above: list[ET.Element] = []
+    open_: list[list] = []  # element of each scan that we are in, and whether it is done
+    for event, e in ET.iterparse(content, events=("start", "end")):
         name = _name(e.tag)
+        ours = (name == "spectrum" and kind is _mzml_scan) or (name == "scan" and kind is _mzxml_scan)
         if event == "start":
             if kind is None and name in ("mzML", "indexedmzML", "mzXML", "msRun"):
                 kind = _mzml_scan if "mzML" in name else _mzxml_scan
             if name == "run":
                 when = e.get("startTimeStamp")
+            if ours:
+                if open_ and not open_[-1][1]:
+                    scan = kind(open_[-1][0])
+                    if len(scan["mz"]):
+                        open_[-1][1] = True
+                        yield scan | {"when": when}
+                open_.append([e, False])
+            above.append(e)
             continue
-        if (name == "spectrum" and kind is _mzml_scan) or (name == "scan" and kind is _mzxml_scan):
-            scan = kind(e)
-            if len(scan["mz"]):
-                yield scan | {"when": when}
+        above.pop()
+        if ours:
+            done = open_.pop()[1]
+            scan = None if done else kind(e)
             e.clear()
+            if above:
+                above[-1].remove(e)
+            if scan is not None and len(scan["mz"]):
+                yield scan | {"when": when}
 
 
-def points_of(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+def points_of(path: str, content: IO[bytes]) -> Iterator[pa.RecordBatch]:
     """Batches of one file's points; level and polarity are those of its first scan with points."""
     label = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
     level = polarity = None
@@ -139,16 +158,26 @@ def points_of(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def ingest_spectra(spark: SparkSession, path: str) -> DataFrame:
+def ingest_spectra(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """A2: the points of every mzML and mzXML file under ``path`` (columns of SPECTRA)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{mzML,mzXML,mzml,mzxml}").option("recursiveFileLookup", True).load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                yield from points_of(file.as_py(), content.as_py())
+                yield from points_of(file.as_py(), pa.BufferReader(content.as_buffer()))
 
-    return files.select("path", "content").mapInArrow(run, SPECTRA)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with store.open_input_stream(at) as content:
+                    yield from points_of(file, content)
+
+    small = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(read, SPECTRA)
+    large = files.filter(F.col("length") > whole_bytes).select("path")  # the contents are not read here
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return small.unionByName(large.repartition(n, "path").mapInArrow(stream, SPECTRA))
 
 
 def good_points(spectra: DataFrame) -> DataFrame:
