@@ -54,10 +54,15 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"rt": F.round("rt", 0), "mean_int": F.round("mean_int", 9)})
 
 
-@query("h1_combine_traces")
+@query("h1_combine_traces", """WITH k AS (SELECT *, row_number() OVER w AS k, lead(scan_time) OVER w AS t1, lead(intensity) OVER w AS y1, count(*) OVER (PARTITION BY peak_label, ms_file_label) AS size FROM trace_points WINDOW w AS (PARTITION BY peak_label, ms_file_label ORDER BY scan_time, event_id)),
+    grid AS (SELECT DISTINCT peak_label, scan_time AS t FROM trace_points), usable AS (SELECT peak_label, count(DISTINCT ms_file_label) AS usable FROM k WHERE size > 1 GROUP BY 1),
+    on_grid AS (SELECT g.peak_label, g.t, CASE WHEN k.t1 > k.scan_time THEN k.intensity + (k.y1 - k.intensity) * ((g.t - k.scan_time) / (k.t1 - k.scan_time)) ELSE k.y1 END AS y FROM grid g LEFT JOIN k ON k.peak_label = g.peak_label AND k.size > 1 AND k.t1 IS NOT NULL AND g.t >= k.scan_time AND (g.t < k.t1 OR g.t = k.t1 AND k.k = k.size - 1)),
+    top AS (SELECT o.peak_label, t, CASE WHEN count(y) < any_value(usable) THEN greatest(coalesce(max(y), 0), 0) ELSE max(y) END AS y FROM on_grid o JOIN usable USING (peak_label) GROUP BY 1, 2)
+    SELECT peak_label, count(*) AS n, max(y) AS top, round(sum(y), 2) AS total FROM top GROUP BY 1""", "trace_points")
 def h1(spark: SparkSession, d: str) -> DataFrame:
     out = H.combine_traces(V.traces(spark, d), "max")
-    return out.select("peak_label", F.size("scan_time").alias("n"), F.array_max("intensity").alias("top"))
+    total = F.aggregate("intensity", F.lit(0.0), lambda s, x: s + x)
+    return out.select("peak_label", F.size("scan_time").cast("long").alias("n"), F.array_max("intensity").alias("top"), F.round(total, 2).alias("total"))
 
 
 @query("h2_h3_optimize_rt_spans")
@@ -84,9 +89,19 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("i1_sample_matrix", "SELECT ms_file_label, sample_type, " + ", ".join(f"max(CASE WHEN peak_label = '{k}' THEN m END) AS \"{k}\"" for k in KINDS) + " FROM long_results JOIN users USING (ms_file_label) GROUP BY 1, 2", "long_results users")
+ANALYSED = "analysed AS (SELECT *, CASE sample_type WHEN 'T0' THEN 'ms2' ELSE 'ms1' END AS ms_type, ms_file_label || '2' AS group_2, CAST(NULL AS VARCHAR) AS group_3, group_1 AS group_4, 'x' AS group_5, use_for_processing AS use_for_analysis FROM users)"
+
+
+def analysed(spark: SparkSession, d: str) -> DataFrame:
+    return V.users(spark, d).withColumns({
+        "ms_type": F.when(F.col("sample_type") == "T0", "ms2").otherwise("ms1"), "group_2": F.concat("ms_file_label", F.lit("2")), "group_3": F.lit(None).cast("string"), "group_4": F.col("group_1"), "group_5": F.lit("x"), "use_for_analysis": F.col("use_for_processing"),
+    })
+
+
+@query("i1_sample_matrix", f"WITH {ANALYSED} SELECT ms_file_label, ms_type, sample_type, group_1, group_2, group_3, group_4, group_5, " + ", ".join(f"max(CASE WHEN peak_label = '{k}' THEN m END) AS \"{k}\"" for k in KINDS) + " FROM long_results JOIN analysed USING (ms_file_label) WHERE use_for_analysis GROUP BY 1, 2, 3, 4, 5, 6, 7, 8", "long_results users")
 def i1(spark: SparkSession, d: str) -> DataFrame:
-    return A.sample_matrix(V.long_results(spark, d), V.users(spark, d), "m", KINDS)
+    targets = V.trace_targets(spark, d).withColumn("ms_type", F.when(F.col("peak_label") < "d", "ms2").otherwise("ms1"))
+    return A.sample_matrix(V.long_results(spark, d), analysed(spark, d), "m", A.columns_by_type(targets))
 
 
 SPARSE = "sparse AS (SELECT peak_label, ms_file_label, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 4 = 1 THEN 'inf'::DOUBLE ELSE m END AS m FROM long_results)"
@@ -144,6 +159,26 @@ def i9(spark: SparkSession, d: str) -> DataFrame:
     return A.rank_by_loading([f"d{k}" for k in range(len(loadings))], loadings, spark)
 
 
+# The components of a whole matrix share out its variance.
+@query("i8_matrix_variance", "WITH cells AS (SELECT f.ms_file_label, p.peak_label, coalesce(m, 0) AS m FROM (SELECT DISTINCT ms_file_label FROM long_results) f CROSS JOIN (SELECT DISTINCT peak_label FROM long_results) p LEFT JOIN long_results r ON r.ms_file_label = f.ms_file_label AND r.peak_label = p.peak_label) SELECT round(sum(v), 4) AS variance, 1.0::DOUBLE AS ratio FROM (SELECT peak_label, var_samp(m) AS v FROM cells GROUP BY 1)", "long_results")
+def i8m(spark: SparkSession, d: str) -> DataFrame:
+    scores, parts, _ = A.matrix_pca(V.long_results(spark, d), "m", KINDS)
+    own = scores.select(F.posexplode("scores").alias("k", "x")).groupBy("k").agg(F.var_samp("x").alias("v"))
+    return own.agg(F.round(F.sum("v"), 4).alias("variance")).crossJoin(parts.agg(F.round(F.max("cumulative"), 9).alias("ratio")))
+
+
+@query("i8_matrix_pca")
+def i8p(spark: SparkSession, d: str) -> DataFrame:
+    scores, parts, _ = A.matrix_pca(V.long_results(spark, d), "m", KINDS)
+    rows = scores.select("ms_file_label", F.posexplode("scores").alias("k", "score"))
+    return rows.join(parts, F.col("k") + 1 == F.col("component")).select("ms_file_label", "component", F.round("score", 6).alias("score"), F.round("ratio", 9).alias("ratio"), F.round("cumulative", 9).alias("cumulative"))
+
+
+@query("i9_matrix_loading")
+def i9m(spark: SparkSession, d: str) -> DataFrame:
+    return A.matrix_pca(V.long_results(spark, d), "m", KINDS)[2]
+
+
 @query("i10_group_summary", "SELECT peak_label, sample_type, round(avg(v), 4) AS mean, round(stddev_samp(v) / sqrt(count(v)), 4) AS sem, count(v) AS n FROM long_results JOIN users USING (ms_file_label) GROUP BY 1, 2", "long_results users")
 def i10(spark: SparkSession, d: str) -> DataFrame:
     out = A.group_summary(V.long_results(spark, d).join(V.users(spark, d), "ms_file_label"), "v", ["peak_label", "sample_type"])
@@ -192,9 +227,9 @@ def i15(spark: SparkSession, d: str) -> DataFrame:
     return A.color_map(rows, "group_1", ["red", "green", "blue"], grey_largest=True).withColumnRenamed("group", "grp")
 
 
-@query("i16_sample_distances", "WITH r AS (SELECT peak_label, ms_file_label, n::DOUBLE AS n FROM long_results), s AS (SELECT peak_label, sum(n * n) AS nn FROM r GROUP BY 1) SELECT x.peak_label AS a, y.peak_label AS b, round(sqrt(greatest(any_value(sa.nn) + any_value(sb.nn) - 2 * sum(x.n * y.n), 0)), 6) AS distance FROM r x JOIN r y ON x.ms_file_label = y.ms_file_label AND x.peak_label < y.peak_label JOIN s sa ON sa.peak_label = x.peak_label JOIN s sb ON sb.peak_label = y.peak_label GROUP BY 1, 2", "long_results")
+@query("i16_sample_distances", "WITH r AS (SELECT peak_label, ms_file_label, n::DOUBLE AS n FROM long_results WHERE peak_label < 'p' OR ms_file_label < 'U5'), l AS (SELECT peak_label, sum(n * n) AS nn FROM r GROUP BY 1), dots AS (SELECT x.peak_label AS a, y.peak_label AS b, sum(x.n * y.n) AS dot FROM r x JOIN r y ON x.ms_file_label = y.ms_file_label AND x.peak_label < y.peak_label GROUP BY 1, 2) SELECT x.peak_label AS a, y.peak_label AS b, round(sqrt(greatest(x.nn + y.nn - 2 * coalesce(dot, 0), 0)), 6) AS distance FROM l x JOIN l y ON x.peak_label < y.peak_label LEFT JOIN dots ON dots.a = x.peak_label AND dots.b = y.peak_label", "long_results")
 def i16(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.long_results(spark, d).withColumn("n", F.col("n").cast("double"))
+    rows = V.long_results(spark, d).filter("peak_label < 'p' OR ms_file_label < 'U5'").withColumn("n", F.col("n").cast("double"))
     return A.sample_distances(rows, "peak_label", "ms_file_label", "n").withColumn("distance", F.round("distance", 6))
 
 
@@ -253,20 +288,52 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return _fit(spark, d, J.BOUNDED)
 
 
-@query("j7_linear_range")
+def _range_sql(mode: str, low: float = 0.0, high: float = 0.0) -> str:
+    """CTEs of the linear range: points with running sums, the search as a recursion over the ends, and each peak's last state."""
+    slope = {"free": "CASE WHEN var = 0 THEN 1 ELSE cov / var END", "bounded": f"greatest(least(CASE WHEN var = 0 THEN 1 ELSE cov / var END, {high}), {low})"}[mode]
+    over = "k" if mode == "free" else "k * k"
+    return f"""
+        pts AS (SELECT peak_label, ln(value) AS x, ln(std_conc) AS y FROM train WHERE value > 1e-11 AND std_conc > 1e-11),
+        mid AS (SELECT peak_label, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pts GROUP BY 1),
+        c AS (SELECT peak_label, row_number() OVER w AS i, x - mx AS x, y - my AS y, x AS x0, y AS y0, sum(x - mx) OVER w AS sx, sum(y - my) OVER w AS sy, sum((x - mx) * (x - mx)) OVER w AS sxx, sum((x - mx) * (y - my)) OVER w AS sxy, sum((y - my) * (y - my)) OVER w AS syy
+              FROM pts JOIN mid USING (peak_label) WINDOW w AS (PARTITION BY peak_label ORDER BY y, x ROWS UNBOUNDED PRECEDING)),
+        ends(peak_label, lo, hi) AS (
+          SELECT peak_label, CAST(1 AS BIGINT), n FROM mid WHERE n > 2
+          UNION ALL
+          SELECT peak_label, CASE WHEN e1 > e2 THEN lo + 1 ELSE lo END, CASE WHEN e1 > e2 THEN hi ELSE hi - 1 END FROM (
+            SELECT *, (a_y - icpt - slope * a_x) * (a_y - icpt - slope * a_x) AS e1, (b_y - icpt - slope * b_x) * (b_y - icpt - slope * b_x) AS e2,
+                   (syy + k * icpt * icpt + slope * slope * sxx - 2 * icpt * sy - 2 * slope * sxy + 2 * slope * icpt * sx) / ({over}) AS residual FROM (
+              SELECT *, (sy - slope * sx) / k AS icpt FROM (SELECT *, {slope} AS slope FROM (SELECT *, sxx - sx * sx / k AS var, sxy - sx * sy / k AS cov FROM (
+                SELECT e.peak_label, lo, hi, CAST(hi - lo + 1 AS DOUBLE) AS k, a.x AS a_x, a.y AS a_y, b.x AS b_x, b.y AS b_y, b.sx - a.sx + a.x AS sx, b.sy - a.sy + a.y AS sy, b.sxx - a.sxx + a.x * a.x AS sxx, b.sxy - a.sxy + a.x * a.y AS sxy, b.syy - a.syy + a.y * a.y AS syy
+                FROM ends e JOIN c a ON a.peak_label = e.peak_label AND a.i = lo JOIN c b ON b.peak_label = e.peak_label AND b.i = hi)))))
+          WHERE (residual > 0.01 OR e1 > 0.2 OR e2 > 0.2) AND k > 3
+        ),
+        last AS (SELECT peak_label, max(lo) AS lo, min(hi) AS hi FROM ends GROUP BY 1),
+        kept AS (SELECT c.peak_label, x0 AS x, y0 AS y FROM c LEFT JOIN last USING (peak_label) WHERE lo IS NULL OR i BETWEEN lo AND hi),
+        sums AS (SELECT peak_label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS var, covar_pop(x, y) AS cov, min(y) AS y_min, max(y) AS y_max FROM kept GROUP BY 1),
+        lines AS (SELECT *, CASE WHEN n > 2 THEN {slope} ELSE 1 END AS slope FROM sums),
+        fitted AS (SELECT *, CASE WHEN n > 2 THEN my - slope * mx ELSE 0 END AS intercept FROM lines),
+        errors AS (SELECT k.peak_label, sum((y - intercept - slope * x) * (y - intercept - slope * x)) AS sse FROM kept k JOIN fitted USING (peak_label) GROUP BY 1),
+        found AS (SELECT peak_label, slope, intercept, y_min AS lin_range_min, y_max AS lin_range_max, n AS n_points, CASE WHEN n > 2 THEN sse / ({over.replace("k", "n")}) ELSE 0 END AS residual FROM fitted JOIN errors USING (peak_label))
+    """
+
+
+@query("j7_linear_range", f"WITH RECURSIVE {STD}, {_range_sql('free')} SELECT peak_label, m.n, n_points AS n_kept, round(residual, 8) AS residual FROM found JOIN mid m USING (peak_label)", "long_results")
 def j7(spark: SparkSession, d: str) -> DataFrame:
     point = F.struct(F.log("std_conc").alias("y"), F.log("value").alias("x"))
     rows = training(spark, d).groupBy("peak_label").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    return rows.select("peak_label", F.size("p").alias("n"), J.linear_range(F.col("p"), J.FREE).alias("r")).select("peak_label", "n", F.size("r.points").alias("n_kept"), F.round("r.fit.residual", 8).alias("residual"))
+    rows = rows.select("peak_label", F.size("p").cast("long").alias("n"), J.linear_range(F.col("p"), J.FREE).alias("r"))
+    return rows.select("peak_label", "n", F.size("r.points").cast("long").alias("n_kept"), F.round("r.fit.residual", 8).alias("residual"))
 
 
 def curves(spark: SparkSession, d: str) -> DataFrame:
     return J.calibration_curves(training(spark, d), J.FREE)
 
 
-@query("j8_calibration_curves")
+@query("j8_calibration_curves", f"WITH RECURSIVE {STD}, {_range_sql('free')} SELECT peak_label, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(lin_range_min, 8) AS lin_range_min, round(lin_range_max, 8) AS lin_range_max, n_points, round(residual, 8) AS residual, round(exp(lin_range_min), 4) AS lloq, round(exp(lin_range_max), 4) AS uloq FROM found", "long_results")
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    return curves(spark, d)
+    out = curves(spark, d).withColumn("n_points", F.col("n_points").cast("long"))
+    return out.withColumns({c: F.round(c, n) for c, n in (("slope", 6), ("intercept", 6), ("lin_range_min", 8), ("lin_range_max", 8), ("residual", 8), ("lloq", 4), ("uloq", 4))})
 
 
 # Curves that SQL knows too: slope 1, intercept and range from a peak's own values.
@@ -300,7 +367,19 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return J.concentration_table(J.predict_concentration(values, plain_curves(spark, d)), units).select("peak_label", "ms_file_label", F.round("pred_conc", 6).alias("pred_conc"), "unit")
 
 
-@query("j12_calibrate")
+# All outputs of the job in one long table: curves, concentrations and the training frame.
+J12 = f"""WITH RECURSIVE {STD}, {_range_sql('bounded', 0.85, 1.15)},
+    pred AS (SELECT peak_label, ms_file_label, exp(slope * ln(v + 1e-12) + intercept) AS p, exp(lin_range_min) AS lo, exp(lin_range_max) AS hi FROM long_results LEFT JOIN found USING (peak_label)),
+    seen AS (SELECT t.peak_label, ms_file, std_conc, exp(slope * ln(value + 1e-12) + intercept) AS p, exp(lin_range_min - 1e-8) AS lo, exp(lin_range_max + 1e-8) AS hi FROM train t LEFT JOIN found USING (peak_label) WHERE value > 0)
+    SELECT 'curve' AS kind, peak_label, 'n' || n_points AS name, round(slope, 5) AS a, round(intercept, 5) AS b FROM found
+    UNION ALL SELECT 'concentration', peak_label, ms_file_label, round(p, 4), CASE WHEN p IS NULL THEN NULL WHEN p < lo OR p > hi THEN 0.0 ELSE 1.0 END FROM pred
+    UNION ALL SELECT 'training', peak_label, ms_file, round(CASE WHEN std_conc BETWEEN lo AND hi THEN std_conc END, 4), round(p, 4) FROM seen"""
+
+
+@query("j12_calibrate", J12, "long_results")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     done = J.calibrate(V.long_results(spark, d), standards(spark, d), "v", J.BOUNDED, (0.85, 1.15))
-    return done["concentrations"].select("peak_label", "ms_file_label", F.round("pred_conc", 6).alias("pred_conc"), "in_range")
+    curve = done["curves"].select(F.lit("curve").alias("kind"), "peak_label", F.concat(F.lit("n"), "n_points").alias("name"), F.round("slope", 5).alias("a"), F.round("intercept", 5).alias("b"))
+    concentration = done["concentrations"].select(F.lit("concentration"), "peak_label", "ms_file_label", F.round("pred_conc", 4), F.col("in_range").cast("double"))
+    seen = done["training"].select(F.lit("training"), "peak_label", "ms_file", F.round("true_conc", 4), F.round("pred_conc", 4))
+    return curve.union(concentration).union(seen)

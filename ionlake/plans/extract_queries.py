@@ -200,15 +200,25 @@ def e5(spark: SparkSession, d: str) -> DataFrame:
     return digest(E.extract_matched_only_ms2(V.points(spark, d), V.targets2(spark, d)))
 
 
-@query("e6_extract_full_range", f"""WITH matched AS ({MATCHED}), top1 AS ({TOP1}), filled AS (
+# Pairs that have a chromatogram but no full-range arrays: those of files with an even name.
+@query("e6_extract_full_range", f"""WITH matched AS ({MATCHED}), top1 AS ({TOP1}), pairs AS (SELECT peak_label, ms_file_label FROM ({EXISTING}) WHERE length(ms_file_label) % 2 = 0), filled AS (
     SELECT t.peak_label, s.ms_file_label, s.scan_id, s.scan_time, coalesce(round(m.intensity, 0), 1) AS intensity, m.mz
-    FROM (SELECT * FROM targets WHERE bookmark) t CROSS JOIN (SELECT DISTINCT ms_file_label, scan_id, scan_time FROM points) s LEFT JOIN top1 m ON m.peak_label = t.peak_label AND m.ms_file_label = s.ms_file_label AND m.scan_id = s.scan_id)
-    SELECT peak_label, ms_file_label, count(*) AS n, sum(intensity) AS total, max(scan_time) AS t_last, count(mz) AS n_matched FROM filled GROUP BY 1, 2""", "points targets")
+    FROM pairs t JOIN (SELECT DISTINCT ms_file_label, scan_id, scan_time FROM points) s USING (ms_file_label) LEFT JOIN top1 m ON m.peak_label = t.peak_label AND m.ms_file_label = s.ms_file_label AND m.scan_id = s.scan_id)
+    SELECT peak_label, ms_file_label, count(*) AS n, sum(intensity) AS total, max(scan_time) AS t_last, max(intensity) AS top FROM filled GROUP BY 1, 2""", "points targets samples")
 def e6(spark: SparkSession, d: str) -> DataFrame:
-    points, targets = V.points(spark, d), V.targets(spark, d).filter("bookmark")
-    files = points.select("ms_file_label").distinct()
-    out = E.extract_ms1(points, targets, E.pair_grid(targets, files), E.scan_lookup(points), margin=None)
-    return out.select("peak_label", "ms_file_label", F.size("scan_time").cast("long").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("scan_time").alias("t_last"), F.size(F.filter("mz_arr", lambda x: x.isNotNull())).cast("long").alias("n_matched"))
+    points, targets = V.points(spark, d), V.targets(spark, d)
+    have = existing(spark, d).withColumn("scan_time_full_ds", F.when(F.length("ms_file_label") % 2 == 1, F.array(F.lit(0.0))))
+    # A file has fewer scans than are downsampled, so all of them come out.
+    out = E.extract_full_range(points, targets, E.pending_full_range(have, targets), E.scan_lookup(points), n=1000)
+    total = F.aggregate("intensity_full_ds", F.lit(0.0), lambda s, x: s + x)
+    return out.select("peak_label", "ms_file_label", F.size("scan_time_full_ds").cast("long").alias("n"), total.alias("total"), F.array_max("scan_time_full_ds").alias("t_last"), F.array_max("intensity_full_ds").alias("top"))
+
+
+@query("e8_recompute", f"WITH {PENDING}, again AS (SELECT c.peak_label, s.ms_file_label, c.ms_type FROM chosen c, samples s WHERE s.use_for_processing) SELECT peak_label, count(*) AS n_recomputed, count(*) FILTER (EXISTS (SELECT 1 FROM pending p WHERE p.peak_label = again.peak_label AND p.ms_file_label = again.ms_file_label)) AS n_pending FROM again GROUP BY 1", "targets samples")
+def e8(spark: SparkSession, d: str) -> DataFrame:
+    again = E.pending_pairs(V.targets(spark, d), V.samples(spark, d), existing(spark, d), recompute=True).select("peak_label", "ms_file_label")
+    waiting = pending(spark, d).select("peak_label", "ms_file_label", F.lit(True).alias("waiting"))
+    return again.join(waiting, ["peak_label", "ms_file_label"], "left").groupBy("peak_label").agg(F.count(F.lit(1)).alias("n_recomputed"), F.count_if(F.col("waiting").isNotNull()).alias("n_pending"))
 
 
 @query("e7_slice_raw", f"SELECT m.peak_label, m.ms_file_label, count(*) AS n, round(max(m.intensity) * 1.10, 4) AS y_max, min(m.intensity) AS y_min, min(m.scan_time) AS t_min, max(m.scan_time) AS t_max FROM ({MATCHED}) m JOIN targets t USING (peak_label) WHERE m.scan_time BETWEEN t.rt_min AND t.rt_max GROUP BY 1, 2", "points targets")
@@ -251,16 +261,15 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     SELECT {NAMES}, rt_aligned, shift AS rt_shift, mz_arr[CAST(list_position(intensity, peak_max) AS BIGINT)] AS peak_mz_of_max FROM metrics""", "points targets samples")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     # Bookmarked targets are aligned: every file has a shift of one scan.
-    chosen = V.targets(spark, d)
-    files = V.samples(spark, d).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ms_file_label", F.lit(7.0))))).alias("rt_align_shifts"))
-    aligned = chosen.crossJoin(files).withColumn("rt_align_enabled", F.col("bookmark"))
-    return G.integrate(chromatograms(spark, d), aligned).select(*NAMES.split(", "), "rt_aligned", "rt_shift", "peak_mz_of_max")
+    chosen = V.targets(spark, d).withColumn("rt_align_enabled", F.col("bookmark"))
+    shifts = E.pair_grid(chosen.filter("bookmark"), V.samples(spark, d)).select("peak_label", "ms_file_label", F.lit(7.0).alias("shift"))
+    return G.integrate(chromatograms(spark, d), chosen, shifts).select(*NAMES.split(", "), "rt_aligned", "rt_shift", "peak_mz_of_max")
 
 
 @query("g5_peak_properties", """WITH p AS (SELECT t.peak_label, t.ms_file_label, t.scan_time AS t, t.intensity AS i, t.event_id, g.rt_min, g.rt_max FROM trace_points t JOIN trace_targets g USING (peak_label) JOIN (SELECT ms_file_label FROM users WHERE use_for_processing) u USING (ms_file_label)),
     tot AS (SELECT peak_label, ms_file_label, sum(i) AS total_intensity FROM p GROUP BY 1, 2),
     f AS (SELECT *, lag(i) OVER w AS b, lead(i) OVER w AS a, lead(t) OVER w AS next_t, row_number() OVER (PARTITION BY peak_label, ms_file_label ORDER BY i DESC, t) AS rn FROM p WHERE t BETWEEN rt_min AND rt_max WINDOW w AS (PARTITION BY peak_label, ms_file_label ORDER BY t, event_id))
-    SELECT f.peak_label, f.ms_file_label, round(max(total_intensity), 4) AS total_intensity, round(sum(CASE WHEN next_t IS NOT NULL THEN (i + a) / 2.0 * (next_t - t) ELSE 0 END), 0) AS peak_area, round(max(i), 0) AS peak_max, round(min(i), 0) AS peak_min, round(avg(i), 0) AS peak_mean,
+    SELECT f.peak_label, f.ms_file_label, round(max(total_intensity), 4) AS total_intensity, round(sum(CASE WHEN next_t IS NOT NULL THEN (i + a) / 2.0 * (next_t - t) ELSE 0 END), 0) AS peak_area, round(max(i), 0) AS peak_max, round(min(i), 0) AS peak_min, round(CAST(sum(CAST(i AS DECIMAL(28,6))) AS DOUBLE) / count(*), 0) AS peak_mean,
       round(median(i), 0) AS peak_median, count(*) AS peak_n_datapoints, round(max(CASE WHEN rn = 1 THEN i + coalesce(b, 0) + coalesce(a, 0) END), 0) AS peak_area_top3, max(CASE WHEN rn = 1 THEN t END) AS peak_rt_of_max
     FROM f JOIN tot USING (peak_label, ms_file_label) GROUP BY 1, 2""", "trace_points trace_targets users")
 def g5(spark: SparkSession, d: str) -> DataFrame:

@@ -287,9 +287,11 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return R.validate_dataset({"samples": V.samples(spark, d), "targets": V.targets(spark, d), "ms1_data": V.points(spark, d).drop("scan_time")})
 
 
-@query("a17_table_summary", "SELECT 0 AS place, 'samples' AS table_name, (SELECT count(*) FROM samples) AS n_rows UNION ALL SELECT 1, 'targets', (SELECT count(*) FROM targets) UNION ALL SELECT 2, 'ms1_data', (SELECT count(*) FROM points)", "samples targets points")
+@query("a17_table_summary", "SELECT 0 AS place, 'samples' AS table_name, (SELECT count(*) FROM samples) AS n_rows UNION ALL SELECT 1, 'ms1_data', (SELECT count(*) FROM points WHERE filterLine LIKE '%O') UNION ALL SELECT 2, 'ms2_data', (SELECT count(*) FROM points WHERE filterLine NOT LIKE '%O') UNION ALL SELECT 3, 'targets', (SELECT count(*) FROM targets) UNION ALL SELECT 4, 'chromatograms', (SELECT count(*) FROM traces) UNION ALL SELECT 5, 'results', (SELECT count(*) FROM long_results)", "samples targets points traces long_results")
 def a17(spark: SparkSession, d: str) -> DataFrame:
-    return R.table_summary({"samples": V.samples(spark, d), "targets": V.targets(spark, d), "ms1_data": V.points(spark, d)})
+    points, open_ = V.points(spark, d), F.col("filterLine").like("%O")
+    tables = {"samples": V.samples(spark, d), "ms1_data": points.filter(open_), "ms2_data": points.filter(~open_), "targets": V.targets(spark, d), "chromatograms": V.traces(spark, d), "results": V.long_results(spark, d)}
+    return R.table_summary(tables)
 
 
 @query("a17_target_status", f"SELECT ms_type, count(*) AS n_targets, count(*) FILTER (peak_selection) AS n_selected, count(*) FILTER (peak_label IN (SELECT peak_label FROM points JOIN targets2 USING (filterLine))) AS n_extracted FROM ({BOTH}) GROUP BY 1", "targets targets2 points")

@@ -68,10 +68,8 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f7_preview_slice", "SELECT t.peak_label, t.ms_file_label, count(*) AS n, round(sum(intensity), 4) AS total FROM trace_points t JOIN trace_targets g USING (peak_label) JOIN users u USING (ms_file_label) WHERE u.use_for_processing AND g.intensity_threshold >= 5 AND scan_time BETWEEN rt_min - 2 AND rt_max + 2 GROUP BY 1, 2", "trace_points trace_targets users")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    files = V.users(spark, d).filter("use_for_processing").select("ms_file_label")
-    rows = V.traces(spark, d).join(V.trace_targets(spark, d).filter("intensity_threshold >= 5"), "peak_label").join(files, "ms_file_label", "left_semi")
-    rows = rows.withColumn("w", X.slice_window(F.col("rt_min") - 2, F.col("rt_max") + 2)).filter(F.size("w") > 0)
-    return rows.select("peak_label", "ms_file_label", F.size("w").cast("long").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda s, p: s + p["i"]), 4).alias("total"))
+    out = X.preview_slice(V.traces(spark, d), V.trace_targets(spark, d).filter("intensity_threshold >= 5"), V.users(spark, d).filter("use_for_processing"))
+    return out.select("peak_label", "ms_file_label", F.size("scan_time").cast("long").alias("n"), F.round(F.aggregate("intensity", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 SHIFT = "CASE WHEN u.group_1 IS NULL THEN 0 ELSE length(u.group_1) * 0.5 END"
@@ -108,15 +106,19 @@ def f12(spark: SparkSession, d: str) -> DataFrame:
     return V.traces(spark, d).select("peak_label", "ms_file_label", X.array_to_string(F.transform("intensity", lambda x: F.round(x).cast("long"))).alias("text"))
 
 
-@query("f13_preview_traces")
+APEX = "apex AS (SELECT peak_label, ms_file_label, arg_max(scan_time, struct_pack(i := intensity, t := -scan_time)) AS apex FROM trace_points JOIN trace_targets g USING (peak_label) WHERE scan_time BETWEEN g.rt_min AND g.rt_max GROUP BY 1, 2)"
+
+
+# Traces here are shorter than a preview's points, so none is thinned and SQL knows them too.
+@query("f13_preview_traces", f"""WITH {APEX}, ref AS (SELECT peak_label, median(apex) AS reference FROM apex GROUP BY 1),
+    moved AS (SELECT p.peak_label, p.ms_file_label, u.sample_type, scan_time + coalesce(reference - apex, 0) AS t, intensity AS i, rt_min, rt_max FROM trace_points p JOIN trace_targets USING (peak_label) JOIN users u USING (ms_file_label) LEFT JOIN apex a ON a.peak_label = p.peak_label AND a.ms_file_label = p.ms_file_label LEFT JOIN ref r ON r.peak_label = p.peak_label WHERE u.use_for_processing),
+    cut AS (SELECT * FROM moved WHERE t BETWEEN rt_min - 2 AND rt_max + 2), one AS (SELECT DISTINCT peak_label, ms_file_label, sample_type FROM cut), types AS (SELECT peak_label, sample_type, count(*) AS k FROM one GROUP BY 1, 2),
+    first AS (SELECT one.peak_label, ms_file_label AS first_file FROM one JOIN types ON types.peak_label = one.peak_label AND types.sample_type = one.sample_type QUALIFY row_number() OVER (PARTITION BY one.peak_label ORDER BY k DESC, one.sample_type, ms_file_label) = 1)
+    SELECT peak_label, max(i) AS top, min(CASE WHEN i > 0 THEN i END) AS least_positive, count(*) AS n, max(first_file) AS first_file FROM cut JOIN first USING (peak_label) GROUP BY 1""", "trace_points trace_targets users")
 def f13(spark: SparkSession, d: str) -> DataFrame:
-    targets = V.trace_targets(spark, d)
-    rows = V.traces(spark, d).join(H.rt_alignment(V.traces(spark, d), targets).select("peak_label", "ms_file_label", "shift"), ["peak_label", "ms_file_label"]).join(targets, "peak_label")
-    moved = rows.withColumn("scan_time", X.shift_trace(F.col("scan_time"), F.col("shift"))).withColumn("w", X.slice_window(F.col("rt_min") - 2, F.col("rt_max") + 2))
-    small = X.lttb(moved.select("peak_label", "ms_file_label", F.col("w.t").alias("scan_time"), F.col("w.i").alias("intensity")), 100)
-    kept = small.withColumn("s", X.sparsify(X.pairs(), baseline=1.0, width=1)).withColumn("i", F.col("s.i"))
-    positive = F.array_min(F.filter("i", lambda x: x > 0))
-    return kept.groupBy("peak_label").agg(F.max(F.array_max("i")).alias("top"), F.min(positive).alias("least_positive"), F.sum(F.size("i")).alias("n"))
+    targets, users = V.trace_targets(spark, d), V.users(spark, d).filter("use_for_processing")
+    shown = X.preview_traces(V.traces(spark, d), targets, users, H.rt_alignment(V.traces(spark, d), targets), n=10_000)
+    return shown.groupBy("peak_label").agg(F.max("top").alias("top"), F.min("least_positive").alias("least_positive"), F.sum(F.size("intensity")).alias("n"), F.min_by("ms_file_label", "place").alias("first_file"))
 
 
 @query("f14_top_contrast_samples", "SELECT peak_label, ms_file_label, round(contrast, 6) AS contrast, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY peak_label ORDER BY contrast DESC NULLS LAST, ms_file_label) AS place FROM (SELECT peak_label, ms_file_label, max(intensity) - min(intensity) AS contrast FROM trace_points GROUP BY 1, 2)) WHERE place <= 5", "trace_points")
@@ -134,9 +136,8 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f16_build_traces", f"WITH {SPARSE} SELECT k.peak_label, k.ms_file_label, count(*) AS n, round(sum(k.scan_time + {SHIFT}), 2) AS total FROM kept k JOIN users u USING (ms_file_label) WHERE keep GROUP BY 1, 2", "trace_points users")
 def f16(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.traces(spark, d).join(V.users(spark, d), "ms_file_label").withColumn("s", X.sparsify(X.pairs(), baseline=20.0, width=3)).filter(F.size("s") > 0)
-    moved = X.shift_trace(F.col("s.t"), F.length("group_1") * 0.5)
-    return rows.select("peak_label", "ms_file_label", F.size("s").cast("long").alias("n"), F.round(F.aggregate(moved, F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    made = X.build_traces(V.traces(spark, d).join(V.users(spark, d), "ms_file_label"), F.length("group_1") * 0.5, baseline=20.0, width=3)
+    return made.select("peak_label", "ms_file_label", F.size("scan_time").cast("long").alias("n"), F.round(F.aggregate("scan_time", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
 # ------------------------------------------------------------------ files

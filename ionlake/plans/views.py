@@ -65,6 +65,8 @@ def with_views(body: str, *names: str) -> str:
                 order.append(x)
     heads = ", ".join(f"{name} AS ({SQL[name]})" for name in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"

@@ -120,6 +120,128 @@ def test_fit_recovers_a_peak():
     assert H.fit_peak(t, np.zeros(len(t)), 3.0)[0] is False
 
 
+def plain_fit(t, y, expected):
+    """One trace by the same method with numeric derivatives and the library's own error function."""
+
+    def model(p):
+        a, mu, sigma, rate = p
+        out = []
+        for x in t:
+            z = (mu + rate * sigma * sigma - x) / (math.sqrt(2) * sigma)
+            e = rate / 2 * (2 * mu + rate * sigma * sigma - 2 * x)
+            out.append(a * rate / 2 * math.exp(min(e, 700)) * math.erfc(z) if e < 700 and z < 26 else 0.0)
+        return np.array(out)
+
+    low, high = np.array([0, t.min(), 0.01, 0.1]), np.array([1e12, t.max(), 50.0, 20.0])
+    p = np.clip(np.array([y.max() * 2, expected or t[y.argmax()], (t[-1] - t[0]) / 10, 1.0]), low, high)
+    unit = np.array([y.max(), t[-1] - t[0], t[-1] - t[0], 1.0])
+    damping, cost = 1e-2, ((y - model(p)) ** 2).sum()
+    for _ in range(200):
+        f = model(p)
+        j = np.stack([(model(np.where(np.arange(4) == k, p + 1e-6 * unit, p)) - f) / 1e-6 for k in range(4)], axis=1)
+        step = np.linalg.solve(j.T @ j + damping * np.diag(np.maximum(np.diag(j.T @ j), 1e-12)), j.T @ (y - f))
+        q = np.clip(p + step * unit, low, high)
+        new = ((y - model(q)) ** 2).sum()
+        p, cost, damping = (q, new, damping / 5) if new < cost else (p, cost, damping * 4)
+        if damping > 1e8:
+            break
+    return 1 - cost / ((y - y.mean()) ** 2).sum()
+
+
+def test_fits_together_are_as_good_as_one_by_one():
+    rng = np.random.default_rng(11)
+    traces = []
+    for k in range(60):
+        t = np.sort(rng.uniform(0, 40, int(rng.integers(5, 60))))
+        y = H.emg(t, np.array([rng.uniform(100, 1e6), rng.uniform(8, 30), rng.uniform(0.5, 4), rng.uniform(0.2, 3)])) + rng.uniform(0, 5, len(t)) * (k % 3)
+        traces.append((t, y, None if k % 2 else float(t[y.argmax()])))
+    together = H.fit_peaks(traces)
+    for k, (t, y, e) in enumerate(traces):
+        assert np.allclose(together[k][1:], H.fit_peak(t, y, e)[1:], rtol=1e-6, atol=1e-9), k
+        assert together[k][6] >= plain_fit(t, y, e) - 1e-3, k
+
+
+def test_combined_traces_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    own = {f"f{k:02d}": (np.sort(rng.uniform(0, 50, n)), rng.normal(5, 10, n)) for k, n in enumerate([1, 2, 7, 30, 30, 12])}
+    schema = "peak_label string, ms_file_label string, scan_time array<double>, intensity array<double>"
+    rows = spark.createDataFrame([("P", f, t.tolist(), y.tolist()) for f, (t, y) in own.items()] + [("one", "f", [3.0, 1.0], [1.0, 2.0]), ("bare", "f", [1.0], [2.0]), ("bare", "g", [2.0], [2.0])], schema)
+    grid = np.unique(np.concatenate([t for t, _ in own.values()]))
+    values = np.array([np.interp(grid, t, y, left=0, right=0) for t, y in own.values() if len(t) > 1])
+    for values_a_task in (H.TASK_VALUES, 60):
+        monkeypatch.setattr(H, "TASK_VALUES", values_a_task)
+        for method, wanted in (("max", values.max(0)), ("mean", values.mean(0)), ("median", np.median(values, 0))):
+            got = {r["peak_label"]: r for r in H.combine_traces(rows, method).collect()}
+            assert np.allclose(got["P"]["scan_time"], grid) and np.allclose(got["P"]["intensity"], wanted), method
+            assert got["one"]["scan_time"] == [3.0, 1.0] and got["bare"]["scan_time"] == []
+
+
+def test_full_range_of_pending_pairs(spark):
+    points = spark.createDataFrame([("S1", k, 100.0, float(k), float(k)) for k in range(3000)] + [("S2", 1, 300.0, 1.0, 1.0)], POINT)
+    targets = spark.createDataFrame([("T", 100.0, 10.0, 1.0, 0.0, 2.0, "s", "ms1", None, True, False), ("U", None, 10.0, 1.0, 0.0, 2.0, "s", "ms1", None, True, False)], TARGET)
+    have = spark.createDataFrame([("T", "S1", "ms1", None), ("T", "S2", "ms1", [1.0]), ("U", "S1", "ms1", None), ("T", "S1", "ms2", None)], "peak_label string, ms_file_label string, ms_type string, scan_time_full_ds array<double>")
+    pairs = E.pending_full_range(have, targets)
+    out = E.extract_full_range(points, targets, pairs, E.scan_lookup(points)).collect()
+    assert [(r["peak_label"], r["ms_file_label"], len(r["scan_time_full_ds"]), r["scan_time_full_ds"][-1]) for r in out] == [("T", "S1", 1000, 2999.0)]
+
+
+def test_rt_range_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    schema = "peak_label string, ms_file_label string, rt_min double, rt_max double"
+    pairs = [(f"P{k}", f"F{k % 3}", float(a), float(a + w)) for k, (a, w) in enumerate(zip(rng.uniform(-200, 5000, 60), rng.choice([0, 50, 500, 5000], 60)))] + [("N", "F0", None, None), ("X", "F1", 9.0, -90.0)]
+    scans = [(f"F{k % 3}", k, float(t)) for k, t in enumerate(rng.uniform(-100, 6000, 400))]
+    got = {(r["peak_label"], r["scan_id"]) for r in E.rt_range_join(spark.createDataFrame(pairs, schema), spark.createDataFrame(scans, "ms_file_label string, scan_id int, scan_time double")).collect()}
+    assert got == {(p, s) for p, f, a, b in pairs for g, s, t in scans if f == g and (a or 0) - 30 <= t <= (999999.0 if b is None else b) + 30}
+
+
+def test_preview_of_ms2_and_line_plots(spark):
+    rows = trace(spark, [float(k) for k in range(10)], [0.0, 0.0, 12.0, 50.0, 60.0, 12.0, 0.0, 0.0, 0.0, 0.0], file="a")
+    targets = spark.createDataFrame([("P", 2.0, 6.0)], "peak_label string, rt_min double, rt_max double")
+    samples = spark.createDataFrame([("a", "X")], "ms_file_label string, sample_type string")
+    shown = X.preview_traces(rows, targets, samples, ms_type="ms2").first()
+    assert shown["top"] == 60 and shown["least_positive"] == 12 and 2.0 in shown["scan_time"] and 9.0 not in shown["scan_time"]
+    made = X.build_traces(rows, F.lit(0.5), baseline=4.0).first()
+    assert made["scan_time"][0] >= 1.5 and 60.0 in made["intensity"]
+
+
+def test_envelope_of_full_range_and_types(spark):
+    schema = "peak_label string, ms_file_label string, ms_type string, scan_time array<double>, intensity array<double>, scan_time_full_ds array<double>, intensity_full_ds array<double>"
+    rows = spark.createDataFrame([("P", "a", "ms1", [1.0, 2.0], [5.0, 6.0], [0.0, 9.0], [1.0, 2.0]), ("Q", "a", "ms1", [1.0], [7.0], None, None), ("Q", "a", "ms2", [1.0], [8.0], None, None)], schema)
+    targets = spark.createDataFrame([("P", 0.0), ("Q", 0.0)], "peak_label string, intensity_threshold double")
+    samples = spark.createDataFrame([("a", "X", "#1", True), ("b", "X", "#1", False)], "ms_file_label string, sample_type string, color string, use_for_optimization boolean")
+    top = lambda **how: {r["peak_label"]: r["m"] for r in H.envelope(rows, targets, samples, 10, **how).groupBy("peak_label").agg(F.max("max_int").alias("m")).collect()}
+    assert top(ms_type="ms1") == {"P": 6, "Q": 7} and top(ms_type="ms2") == {"P": 6, "Q": 8} and top(ms_type="ms1", full_range=True) == {"P": 2}
+
+
+def test_matrix_components_and_distances(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(100, [5, 1, 20], (30, 3))
+    rows = spark.createDataFrame([(f"f{i:02d}", "abc"[j], float(m[i, j])) for i in range(30) for j in range(3) if (i, j) != (4, 1)], "ms_file_label string, peak_label string, v double")
+    m[4, 1] = 0
+    scores, parts, loadings = A.matrix_pca(rows, "v", ["a", "b", "c"])
+    x = m - m.mean(0)
+    s = np.linalg.svd(x, compute_uv=False)
+    got = np.array([r["scores"] for r in scores.orderBy("ms_file_label").collect()])
+    assert np.allclose(np.linalg.norm(got, axis=0), s) and np.allclose([r["cumulative"] for r in parts.orderBy("component").collect()], np.cumsum(s**2 / (s**2).sum()))
+    assert [r["place"] for r in loadings.collect()] == [1, 2, 3] and {r["peak_label"] for r in loadings.collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        A.pca(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id long, v array<double>"), "id", "v", 2, most_width=2)
+    far = {(r["a"], r["b"]): r["distance"] for r in A.sample_distances(rows, "ms_file_label", "peak_label", "v").collect()}
+    assert len(far) == 30 * 29 // 2 and abs(far["f03", "f04"] - np.linalg.norm(m[3] - m[4])) < 1e-6
+    apart = spark.createDataFrame([("x", "k1", 3.0), ("y", "k2", 4.0)], "a string, along string, v double")
+    assert A.sample_distances(apart, "a", "along", "v").first()["distance"] == 5
+
+
+def test_shifts_as_map_json_and_rows(spark):
+    rows = trace(spark, [1.0, 2.0, 3.0], [1.0, 5.0, 9.0], file="a").union(trace(spark, [1.0, 2.0, 3.0], [1.0, 5.0, 9.0], file="b"))
+    base = spark.createDataFrame([("P", 1.0, 2.0, True)], "peak_label string, rt_min double, rt_max double, rt_align_enabled boolean")
+    as_json = base.withColumn("rt_align_shifts", F.lit('{"a": -1.0, "b": "bad"}'))
+    as_map = base.withColumn("rt_align_shifts", F.create_map(F.lit("a"), F.lit(-1.0)))
+    as_rows = spark.createDataFrame([("P", "a", -1.0)], "peak_label string, ms_file_label string, shift double")
+    for out in (G.integrate(rows, as_json), G.integrate(rows, as_map), G.integrate(rows, base, as_rows)):
+        assert {r["ms_file_label"]: (r["rt_shift"], r["peak_max"], r["rt_aligned"]) for r in out.collect()} == {"a": (-1.0, 9.0, True), "b": (0.0, 5.0, True)}
+
+
 @pytest.mark.parametrize(("mode", "y", "slope", "intercept"), [(J.FIXED, [3.0, 4.0, 5.0], 1, 2), (J.FREE, [3.0, 5.0, 7.0], 2, 1), (J.BOUNDED, [4.0, 7.0, 10.0], 2, 3)])
 def test_linear_fits(spark, mode, y, slope, intercept):
     point = F.array(*[F.struct(F.lit(b).alias("y"), F.lit(a).alias("x")) for a, b in zip([1.0, 2.0, 3.0], y)])
@@ -217,6 +339,20 @@ def test_spectra_files(spark, tmp_path):
     assert out.filter("ms_file_label = 'b'").first()["filterLine_ELMAVEN"] == "Positive 55.500 [100.500]"
 
 
+def test_nested_scans_and_streamed_files(spark, tmp_path):
+    def peaks(values):
+        return f'<peaks precision="64">{base64.b64encode(np.array(values, ">f8").tobytes()).decode()}</peaks>'
+
+    inner = "".join(f'<scan num="{k}" msLevel="2" polarity="-" retentionTime="PT{k}S" filterLine="f{k}"><precursorMz>50</precursorMz>{peaks([10.0 * k, k])}</scan>' for k in (2, 3))
+    (tmp_path / "n.mzXML").write_text(f'<mzXML><msRun><scan num="1" msLevel="1" polarity="+" retentionTime="PT1S">{peaks([100.0, 1, 200.0, 2])}{inner}</scan><scan num="4" msLevel="1" polarity="+" retentionTime="PT4S">{peaks([400.0, 4])}</scan></msRun></mzXML>')
+    with open(tmp_path / "n.mzXML", "rb") as f:
+        assert [s["id"] for s in spectra.scans(f)] == [1, 2, 3, 4]
+    for whole in (spectra.WHOLE_BYTES, 0):
+        rows = spectra.ingest_spectra(spark, str(tmp_path), whole).collect()
+        assert sorted((r["scan_id"], r["mz"]) for r in rows) == [(1, 100.0), (1, 200.0), (2, 20.0), (3, 30.0), (4, 400.0)]
+        assert {r["ms_level"] for r in rows} == {1} and {r["polarity"] for r in rows} == {"Positive"}
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a\tb\n1\t2\n")
     (tmp_path / "u.txt").write_text("a,b\n1,2\n")

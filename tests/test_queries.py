@@ -24,6 +24,13 @@ def test_query(spark, name):
     assert len(found) or name in MAY_BE_EMPTY
 
 
+def test_means_halfway_on_the_larger_tables(spark):
+    # A mean of exactly 19.5 is there, whose rounding must not depend on the order of the rows.
+    larger = "/root/testdata/sf0.01"
+    found = registry.queries()["g5_peak_properties"](spark, larger).toPandas()
+    assert rows(found) == rows(by_duckdb(registry.oracle_sql()["g5_peak_properties"], larger))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
