@@ -65,6 +65,8 @@ REGION, NEAR = 24, 6
 #: Rows and bytes of sets of a block of a leaf that is compared in full.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
 BITMAP = 1 << 26
+#: Bytes of sorted rows of a partition, where the session's own number of partitions would hold more.
+PART_BYTES = 32 << 20
 #: Standard deviations under the threshold from which on a sketch rejects (odds of 3e-7 at the threshold).
 SIGMAS = 5
 #: Sets smaller than this aren't judged by their sketches.
@@ -503,7 +505,7 @@ def near_components(docs: DataFrame, similarity: float, width: int, id_col: str
     firsts = described.join(classes.select("same", F.col("rep").alias("id"), "vertex").hint("shuffle_merge"), ["same", "id"])
     reps = stage.keep(firsts.dropDuplicates(["vertex"]).select("vertex", "signature", "n_shingles"), "reps")
     stage.drop("described")
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_reps, least_parts = reps.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def sets_of(vertices: DataFrame, name: str) -> DataFrame:
         """vertex, hashes for the given vertices, from the texts of their classes' first rows."""
@@ -518,7 +520,8 @@ def near_components(docs: DataFrame, similarity: float, width: int, id_col: str
 
     def sorted_trees(rows: DataFrame, first: int, last: int) -> DataFrame:
         orders = rows.mapInArrow(_orders(first, last), "key binary, vertex long, component long, n long, sketch binary")
-        return orders.repartitionByRange(n_parts, "key", "vertex").sortWithinPartitions("key", "vertex")
+        parts = max(least_parts, -(-n_reps * (last - first) * (KEY + SKETCH + 24) // PART_BYTES))
+        return orders.repartitionByRange(parts, "key", "vertex").sortWithinPartitions("key", "vertex")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         sets = sets_of(pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))), name)
