@@ -1,6 +1,6 @@
 """What the corpus queries return, in DuckDB SQL, where SQL can say it in reasonable time.
 
-Learned models (3, 9), token ids (10), and the bank numbers' possessive patterns (8) have no SQL;
+Learned models (3, 9), token ids (10), all periods of long texts (12) and the bank numbers' possessive patterns (8) have no SQL;
 tests compare those queries with brute force.
 """
 
@@ -85,4 +85,43 @@ ORACLE = {
                CAST(sum(length('<|im_start|>' || {_ESCAPED.format("role")} || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM m GROUP BY conv_id
     """,
+    "op11_line_dedup": """
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+        line AS (SELECT doc_id, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS k FROM l),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+        repeated AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        told AS (SELECT doc_id, k, line, coalesce(keeper <> doc_id, false) AS gone FROM keyed LEFT JOIN repeated USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+        FROM told GROUP BY doc_id
+    """,
+    # CRC-32 takes a byte at a time from a table that the polynomial gives; gains are in doubles.
+    "op13_importance_resampling": """
+        WITH RECURSIVE rest(i, r, k) AS (
+          SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM rest WHERE k < 8
+        ),
+        crc AS (SELECT list(r ORDER BY i) AS t FROM rest WHERE k = 8),
+        w AS (
+          SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark)
+        ),
+        f AS (
+          SELECT kind, id, unnest(w) AS f FROM w
+          UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM w
+          UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) FROM w
+        ),
+        bytes AS (SELECT f, list_prepend(4294967295, list_transform(range(0, CAST(length(h) / 2 AS BIGINT)), lambda k: (instr('123456789ABCDEF', h[2 * k + 1]) * 16 + instr('123456789ABCDEF', h[2 * k + 2]))::BIGINT)) AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f))),
+        hashed AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+        counted AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM f JOIN hashed USING (f) GROUP BY bucket),
+        total AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM counted),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(c.t + 1 AS DOUBLE) * (total.s + 10000)) / (CAST(c.s + 1 AS DOUBLE) * (total.t + 10000)))) AS BIGINT) AS g FROM counted c, total),
+        weighed AS (SELECT id, count(*) AS n, sum(g) AS weight FROM f JOIN hashed USING (f) JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY id),
+        scored AS (
+          SELECT id AS doc_id, len(w.w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                 CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM w LEFT JOIN weighed USING (id) WHERE kind = 'd'
+        ),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM placed) THEN place END AS rank
+        FROM scored LEFT JOIN placed USING (doc_id)
+    """,
 }

@@ -122,3 +122,45 @@ def cosine_links(rows: list[tuple], least: float) -> dict:
             todo += new
         out[i] = (len(links[i]), min(seen))
     return out
+
+
+def line_key(line: str) -> str:
+    return line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOWER)
+
+
+def lines(texts: list[tuple], min_chars: int, min_docs: int) -> list[tuple]:
+    """(id, lines, dropped, kept text) of each (id, text) row, in order; an id of None is the smallest."""
+    holders = collections.defaultdict(list)
+    for i, t in texts:
+        for key in {line_key(x) for x in (t or "").split("\n")}:
+            holders[key].append(i)
+    out = []
+    for i, t in texts:
+        split = (t or "").split("\n")
+        gone = []
+        for x in split:
+            key = line_key(x)
+            ids = [j for j in holders[key] if j is not None]
+            gone.append(len(key) >= min_chars and len(holders[key]) >= min_docs and bool(ids) and max(ids) != i)
+        out.append((i, len(split), sum(gone), "\n".join(x for x, g in zip(split, gone) if not g)))
+    return out
+
+
+def runs(w: list[str], least: int) -> list[tuple]:
+    """(start, length, period) of all runs of a list of words, by start and period."""
+    found: dict = {}
+    for q in range(1, len(w) // 2 + 1):
+        start = 0
+        for z in range(len(w) - q + 1):
+            if z == len(w) - q or w[z] != w[z + q]:
+                if z - start >= q and z + q - start >= least:
+                    found.setdefault((start, z + q - start), q)  # periods come in order, so a multiple is not entered
+                start = z + 1
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w: list[str], found: list[tuple]) -> str:
+    gone = set()
+    for s, n, q in found:
+        gone.update(range(s + q, s + n))
+    return " ".join(x for k, x in enumerate(w) if k not in gone)
