@@ -203,3 +203,26 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     write_mzml(V.points(spark, d), path).count()
     rows = good_points(ingest_spectra(spark, path))
     return rows.groupBy("ms_file_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mz"), 2).alias("total"), F.max("scan_time").alias("t_last"), F.count_distinct("scan_id").alias("n_scans"))
+
+
+@query(
+    "a2_ingest_broken",
+    """
+    WITH broken AS (SELECT ms_file_label, max(scan_id) % 4 = 1 AS b FROM points GROUP BY 1)
+    SELECT ms_file_label, CASE WHEN b THEN 0 ELSE count(*) END AS n, CASE WHEN NOT b THEN round(sum(mz), 2) END AS total, CASE WHEN NOT b THEN count(DISTINCT scan_id) END AS n_scans, CASE WHEN b THEN 1 ELSE 0 END AS n_errors
+    FROM points JOIN broken USING (ms_file_label) GROUP BY ms_file_label, b
+    """,
+    "points",
+)
+def a2_broken(spark: SparkSession, d: str) -> DataFrame:
+    """Files read in ranges, of which some break off at nine tenths: those give no point and an error."""
+    from ionlake.sources.mzml_writer import write_mzml
+    from ionlake.sources.spectra import good_points, ingest_errors, ingest_spectra
+
+    path, points = _folder(spark, "spectra"), V.points(spark, d)
+    broken = points.groupBy("ms_file_label").agg((F.max("scan_id") % 4 == 1).alias("broken"))
+    write_mzml(points.join(broken, "ms_file_label").withColumn("share", F.when(F.col("broken"), 0.9).otherwise(1.0)), path).count()
+    found = ingest_spectra(spark, path, whole_bytes=1 << 14, split_bytes=1 << 14)
+    good = good_points(found).groupBy("ms_file_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mz"), 2).alias("total"), F.count_distinct("scan_id").alias("n_scans"), F.lit(0).alias("n_errors"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("total", "double"), ("n_scans", "long"))]
+    return good.unionByName(ingest_errors(found).groupBy("ms_file_label").agg(F.lit(0).cast("long").alias("n"), *nothing, F.count(F.lit(1)).cast("int").alias("n_errors")))

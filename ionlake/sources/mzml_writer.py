@@ -16,7 +16,10 @@ def _array(values: np.ndarray, accession: str) -> str:
 
 
 def write_mzml(points: DataFrame, folder: str) -> DataFrame:
-    """Write MS1 points under ``folder`` (a URI all executors share); (file, n) for each file. A file is one task's, as the format asks."""
+    """Write MS1 points under ``folder`` (a URI all executors share); (file, n) for each file. A file is one task's, as the format asks.
+
+    Where there is a column ``share``, a file ends after that share of its bytes, as one whose transfer broke off.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         label = pdf["ms_file_label"].iloc[0]
@@ -31,7 +34,8 @@ def write_mzml(points: DataFrame, folder: str) -> DataFrame:
             )
         parts.append("</spectrumList></run></mzML>")
         with files.open_output_stream(f"{root}/{label}.mzML") as out:
-            out.write("".join(parts).encode())
+            content = "".join(parts).encode()
+            out.write(content[: int(len(content) * pdf["share"].iloc[0])] if "share" in pdf else content)
         return pd.DataFrame({"file": [f"{label}.mzML"], "n": [len(pdf)]})
 
     return points.groupBy("ms_file_label").applyInPandas(run, "file string, n long")

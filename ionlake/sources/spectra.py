@@ -1,19 +1,22 @@
 """mzML and mzXML files as point rows (A2).
 
 Files of at most ``WHOLE_BYTES`` come through ``binaryFile``, from any store that Spark reads, many
-files a task. Larger ones, also those over the 2 GB that a row can hold, are handed out by path and
-streamed in the task. Either way a file is parsed scan by scan and its points are yielded in batches,
-and a scan's elements are dropped once they are read. A file that isn't valid XML gives no rows, and
-its name with the error from ``ingest_errors``.
+files a task; a file's points are handed on once all of it is read. Larger ones, also those over the 2 GB
+that a row can hold, are cut into byte ranges. A task looks for the starts of scans in its range, reads those
+that begin inside up to their ends, and writes them down with a row that says how the range ended. A file
+counts as read only if all its ranges ended well and fit together: no point comes from a file that breaks
+off. Either way a file that isn't valid XML gives no point, and its name with the error from ``ingest_errors``.
+(A comment that holds the start of a scan makes a large file an error.)
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 import xml.etree.ElementTree as ET
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import IO
 
 import numpy as np
@@ -23,10 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionlake.sources.readers import POINTS2
+from ionlake.sources.staging import staged
 
 SPECTRA = POINTS2 + ", ms_level int, polarity string, acquisition_datetime string, error string"
 ROWS = 100_000
-WHOLE_BYTES = 256 << 20
+#: Files up to this size are read in one piece; larger ones in ranges of SPLIT_BYTES.
+WHOLE_BYTES = 32 << 20
+SPLIT_BYTES = 64 << 20
 _SECONDS = re.compile(r"^P(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)$", re.I)
 # Controlled-vocabulary accessions.
 LEVEL, POSITIVE, NEGATIVE, START = "MS:1000511", "MS:1000130", "MS:1000129", "MS:1000016"
@@ -87,12 +93,28 @@ def _mzxml_scan(e: ET.Element) -> dict:
     }
 
 
-def scans(content: IO[bytes]) -> Iterator[dict]:
-    """Scans with points, in document order: a scan that holds others comes before them."""
-    when, kind = None, None
+def scans(events: Iterable[tuple[str, ET.Element | None]], state: dict | None = None) -> Iterator[dict]:
+    """Scans with points, in document order: a scan that holds others comes before them.
+
+    ``events`` are starts and ends of elements; a "border" among them says that scans that start later
+    are someone else's. ``state`` gets the number of open scans there, and the least so far.
+    """
+    when, kind, mine = None, None, True
     above: list[ET.Element] = []
     open_: list[list] = []  # element of each scan that we are in, and whether it is done
-    for event, e in ET.iterparse(content, events=("start", "end")):
+    state = {} if state is None else state
+    for event, e in events:
+        if event == "border":
+            mine = False
+            state["open"] = len(open_)
+            for scan_of in open_:
+                if not scan_of[1] and len((scan := kind(scan_of[0]))["mz"]):
+                    scan_of[1] = True
+                    yield scan | {"when": when}
+        if not mine and all(done for _, done in open_):
+            return
+        if event == "border":
+            continue
         name = _name(e.tag)
         ours = (name == "spectrum" and kind is _mzml_scan) or (name == "scan" and kind is _mzxml_scan)
         if event == "start":
@@ -106,12 +128,15 @@ def scans(content: IO[bytes]) -> Iterator[dict]:
                     if len(scan["mz"]):
                         open_[-1][1] = True
                         yield scan | {"when": when}
-                open_.append([e, False])
+                open_.append([e, not mine or e.get(OUTER) is not None])
+                state["least"] = min(state.get("least", 0), len(open_)) if e.get(OUTER) is None else len(open_)
             above.append(e)
             continue
         above.pop()
         if ours:
             done = open_.pop()[1]
+            if mine:
+                state["least"] = min(state.get("least", 0), len(open_))
             scan = None if done else kind(e)
             e.clear()
             if above:
@@ -120,45 +145,224 @@ def scans(content: IO[bytes]) -> Iterator[dict]:
                 yield scan | {"when": when}
 
 
-def points_of(path: str, content: IO[bytes]) -> Iterator[pa.RecordBatch]:
-    """Batches of one file's points; level and polarity are those of its first scan with points."""
-    label = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-    level = polarity = None
-    names = [c.split()[0] for c in SPECTRA.split(", ")]
-    held: list[list] = [[] for _ in names]
-    types = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+BROKEN = (ET.ParseError, ValueError, zlib.error)
+NAMES = [c.split()[0] for c in SPECTRA.split(", ")]
+TYPES = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
+
+def label_of(path: str) -> str:
+    return re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
+
+
+def say(e: Exception) -> str:
+    return f"Invalid XML: {e}"[:200]
 
-    def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(h) if h and isinstance(h[0], np.ndarray) else [x for part in h for x in part], t) for h, t in zip(held, types, strict=True)], names)
+
+def points_of(path: str, content: IO[bytes]) -> list[pa.RecordBatch]:
+    """Batches of one file's points, or one row with an error; level and polarity are those of its first scan with points."""
+    label, level, polarity = label_of(path), None, None
+    held: list[list] = [[] for _ in NAMES]
+    out: list[pa.RecordBatch] = []
+
+    def flush() -> None:
+        out.append(pa.RecordBatch.from_arrays([pa.array(np.concatenate(h) if h and isinstance(h[0], np.ndarray) else [x for part in h for x in part], t) for h, t in zip(held, TYPES, strict=True)], NAMES))
         for h in held:
             h.clear()
-        return batch
 
     total = 0
     try:
-        for s in scans(content):
+        for s in scans(ET.iterparse(content, events=("start", "end"))):
             if level is None:
                 level, polarity = s["level"], s["polarity"] or "Negative"
             n = min(len(s["mz"]), len(s["intensity"]))
             two = level == 2
-            elm = f"{polarity} {s['precursor']:.3f} [{s['mz'][0]:.3f}]" if two and s["precursor"] is not None else None
+            elm = f"{polarity} {spelled(s)}" if two and s["precursor"] is not None else None
             values = [[label] * n, np.full(n, s["id"], np.int32), s["mz"][:n], s["intensity"][:n], np.full(n, s["time"]), [s["precursor"] if two else None] * n, [s["filter"] if two else None] * n, [elm] * n, np.full(n, level, np.int32), [polarity] * n, [s["when"]] * n, [None] * n]
             for h, v in zip(held, values, strict=True):
                 h.append(v)
             total += n
             if total >= ROWS:
-                yield flush()
+                flush()
                 total = 0
-    except (ET.ParseError, ValueError, zlib.error) as e:
-        for h, v in zip(held, [[label], [None], [None], [None], [None], [None], [None], [None], [None], [None], [None], [f"Invalid XML: {e}"[:200]]], strict=True):
-            h.clear()
-            h.append(v)
-        total = 1
+    except BROKEN as e:
+        row = {"ms_file_label": label, "error": say(e)}
+        return [pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(NAMES, TYPES, strict=True)], NAMES)]
     if total:
-        yield flush()
+        flush()
+    return out
+
+
+def spelled(scan: dict) -> str:
+    return f"{scan['precursor']:.3f} [{scan['mz'][0]:.3f}]"
+
 
+# ---------------------------------------------------------------- ranges of large files
+#: Attribute of the scans that are opened in front of a range, for those that were open there; and how many.
+OUTER, DEEPEST = "opened-before", 16
+#: Bytes that are read at a time, and that are looked at twice as a tag may be cut there.
+READ_BYTES, OVERLAP = 1 << 20, 64
+RANGE = "file string, start long, number int, scan_id int, scan_time double, level int, polarity string, acquired string, precursor double, filter string, spelled string, mz array<double>, intensity array<double>, closes int, opens int, error string"
+_ROOT = re.compile(rb"<(?:\w+:)?(indexedmzML|mzML|mzXML|msRun)[\s>]")
+_CLOSE = re.compile(rb"</(?:\w+:)?scan\s*>")
 
-def ingest_spectra(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+
+class Bytes:
+    """A file from some byte on: ``held`` begins at byte ``at`` of the file."""
+
+    def __init__(self, file: pa.NativeFile, at: int):
+        self.file, self.at, self.held = file, at, b""
+        file.seek(at)
+
+    def more(self) -> bool:
+        new = self.file.read(READ_BYTES)
+        self.held += new
+        return bool(new)
+
+    def find(self, pattern: re.Pattern, least: int = 0, end: float = math.inf) -> int:
+        """Where in the file the pattern starts, in [least, end); -1 if nowhere."""
+        look = max(0, least - self.at)
+        while True:
+            found = pattern.search(self.held, look)
+            if found:
+                return self.at + found.start() if self.at + found.start() < end else -1
+            look = max(look, len(self.held) - OVERLAP)
+            if self.at + look >= end or not self.more():
+                return -1
+
+    def skip(self, to: int) -> None:
+        self.held, self.at = self.held[to - self.at :], to
+
+
+def _marker(head: bytes) -> tuple[re.Pattern, bool]:
+    """What a scan begins with, and whether scans hold scans."""
+    if b"\0" in head:
+        raise ValueError("only encodings that keep ASCII as it is can be read in ranges")
+    root = _ROOT.search(head)
+    nested = root is not None and root[1] in (b"mzXML", b"msRun")
+    return re.compile(rb"<(?:\w+:)?(?:%s)[\s/>]" % (b"scan" if nested else b"spectrum")), nested
+
+
+def range_of(path: str, file: pa.NativeFile, start: int, end: int) -> Iterator[dict]:
+    """The scans that begin in [start, end), then a row that says how the range ended (columns of RANGE).
+
+    The elements that hold all scans are read from the head of the file. Scans of mzXML may lie in
+    others that began earlier, so some are opened in front of the range; how many of them it closes, and how many
+    scans it leaves open, must fit the ranges before and after.
+    """
+    own = {"file": path, "start": start}
+    try:
+        top = Bytes(file, 0)
+        top.more()
+        pattern, nested = _marker(top.held)
+        first = top.find(pattern)
+        if first < 0:  # no scans: the first range looks at the file as a whole
+            if start == 0:
+                ET.fromstring(top.held)
+                yield own | {"closes": 0, "opens": 0}
+            return
+        body = Bytes(file, start)
+        begin = body.find(pattern, max(start, first), end)
+        if begin < 0:
+            return
+        body.skip(begin)
+        state, outer = {}, DEEPEST if nested else 0
+        for number, s in enumerate(scans(_events(top.held[:first], outer, body, end, pattern, nested), state)):
+            values = {"number": number, "scan_id": s["id"], "scan_time": s["time"], "level": s["level"], "polarity": s["polarity"], "acquired": s["when"], "precursor": s["precursor"], "filter": s["filter"]}
+            n = min(len(s["mz"]), len(s["intensity"]))
+            yield own | values | {"spelled": None if s["precursor"] is None else spelled(s), "mz": s["mz"][:n], "intensity": s["intensity"][:n]}
+        yield own | {"closes": outer - state["least"], "opens": state["open"] - state["least"]}
+    except BROKEN as e:
+        yield own | {"error": say(e)}
+
+
+def _events(head: bytes, outer: int, body: Bytes, end: int, pattern: re.Pattern, nested: bool) -> Iterator[tuple[str, ET.Element | None]]:
+    """Events of the elements around a range, of its own, and of what comes after it for as long as anyone asks."""
+    parser, border = ET.XMLPullParser(events=("start", "end")), False
+
+    def feed(to: int) -> Iterator[tuple[str, ET.Element | None]]:
+        parser.feed(body.held[:to])
+        body.skip(body.at + to)
+        return parser.read_events()
+
+    parser.feed(head + f'<scan {OUTER}="1">'.encode() * outer)
+    yield from parser.read_events()
+    while True:
+        stop = None if border else pattern.search(body.held, max(0, end - body.at))
+        if stop:  # a scan of another range
+            yield from feed(stop.start())
+            yield "border", None
+            border = True
+        elif border:
+            yield from feed(len(body.held))
+        elif nested:  # what follows the last scan closes elements around those that were opened in front
+            yield from feed(max((m.end() for m in _CLOSE.finditer(body.held)), default=0))
+        else:
+            yield from feed(max(0, len(body.held) - OVERLAP))
+        if not body.more():
+            break
+    if nested and not border:
+        ET.fromstring(head + body.held)
+    else:
+        yield from feed(len(body.held))
+        parser.close()  # an error if the file ends inside a scan
+    yield "border", None
+
+
+def read_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Scans and ends of ranges (RANGE) of files given by path and length; a file's ranges go to many tasks."""
+    spark = files.sparkSession
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
+    ranges = files.select("path", starts.alias("start"), "length")
+    kinds = pa.schema([("file", pa.string()), ("start", pa.int64()), ("number", pa.int32()), ("scan_id", pa.int32()), ("scan_time", pa.float64()), ("level", pa.int32()), ("polarity", pa.string()), ("acquired", pa.string()), ("precursor", pa.float64()), ("filter", pa.string()), ("spelled", pa.string()), ("mz", pa.list_(pa.float64())), ("intensity", pa.list_(pa.float64())), ("closes", pa.int32()), ("opens", pa.int32()), ("error", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                rows, total = [], 0
+                with store.open_input_file(at) as file:
+                    for row in range_of(path, file, start, start + split_bytes):
+                        rows.append(row)
+                        total += len(row.get("mz", ()))
+                        if total >= ROWS:
+                            yield pa.RecordBatch.from_pylist(rows, kinds)
+                            rows, total = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ranges.repartition(n, F.xxhash64("path", "start")).mapInArrow(read, RANGE)
+
+
+def commits(ranges: DataFrame) -> DataFrame:
+    """A row for each file: whether all its ranges ended well and fit together, and level, polarity and time of its first scan."""
+    ends = F.array_sort(F.collect_list(F.when(F.col("scan_id").isNull(), F.struct("start", "closes", "opens", "error"))))
+    first = F.min(F.when(F.col("scan_id").isNotNull(), F.struct("start", "number", "level", F.coalesce("polarity", F.lit("Negative")).alias("polarity"), "acquired")))
+    found = ranges.groupBy("file").agg(ends.alias("_ends"), first.alias("_first"))
+    # Open scans after each range; below zero for good once a range closes more than were open.
+    left = F.aggregate("_ends", F.lit(0), lambda c, r: F.when(c < r["closes"], F.lit(-(1 << 20))).otherwise(c - r["closes"] + r["opens"]))
+    said = F.filter(F.transform("_ends", lambda r: r["error"]), lambda e: e.isNotNull())
+    error = F.when(F.size(said) > 0, F.element_at(said, 1)).when(F.coalesce(left, F.lit(-1)) != 0, F.lit("Invalid XML: scans are not closed"))
+    return found.select("file", error.alias("error"), F.col("_first.level").alias("ms_level"), F.col("_first.polarity").alias("polarity"), F.col("_first.acquired").alias("acquisition_datetime"))
+
+
+def _ingest_large(files: DataFrame, split_bytes: int) -> DataFrame:
+    ranges = staged(read_ranges(files, split_bytes), "spectra")
+    found = commits(ranges)
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "").alias("ms_file_label")
+    names = {c.split()[0]: c.split()[1] for c in SPECTRA.split(", ")}
+    bad = found.filter("error IS NOT NULL").select(*[stem if c == "ms_file_label" else F.col(c) if c == "error" else F.lit(None).cast(t).alias(c) for c, t in names.items()])
+    two = F.col("ms_level") == 2
+    scan_rows = ranges.filter("scan_id IS NOT NULL").drop("polarity", "error", "level", "acquired", "start", "number", "closes", "opens").join(found.filter("error IS NULL").drop("error"), "file")
+    points = scan_rows.select("*", F.explode(F.arrays_zip("mz", "intensity")).alias("_p"))
+    values = {
+        "ms_file_label": stem, "mz": F.col("_p.mz"), "intensity": F.col("_p.intensity"), "mz_precursor": F.when(two, F.col("precursor")), "filterLine": F.when(two, F.col("filter")),
+        "filterLine_ELMAVEN": F.when(two, F.concat("polarity", F.lit(" "), "spelled")), "error": F.lit(None).cast("string"),
+    }
+    return points.select(*[values[c].alias(c) if c in values else F.col(c) for c in names]).unionByName(bad)
+
+
+def ingest_spectra(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """A2: the points of every mzML and mzXML file under ``path`` (columns of SPECTRA)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{mzML,mzXML,mzml,mzxml}").option("recursiveFileLookup", True).load(path)
 
@@ -167,17 +371,9 @@ def ingest_spectra(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTE
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 yield from points_of(file.as_py(), pa.BufferReader(content.as_buffer()))
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
-                with store.open_input_stream(at) as content:
-                    yield from points_of(file, content)
-
     small = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(read, SPECTRA)
-    large = files.filter(F.col("length") > whole_bytes).select("path")  # the contents are not read here
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return small.unionByName(large.repartition(n, "path").mapInArrow(stream, SPECTRA))
+    large = files.filter(F.col("length") > whole_bytes).select("path", "length")  # the contents are not read here
+    return small if large.isEmpty() else small.unionByName(_ingest_large(large, split_bytes))
 
 
 def good_points(spectra: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import io
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,13 +348,73 @@ def test_nested_scans_and_streamed_files(spark, tmp_path):
     inner = "".join(f'<scan num="{k}" msLevel="2" polarity="-" retentionTime="PT{k}S" filterLine="f{k}"><precursorMz>50</precursorMz>{peaks([10.0 * k, k])}</scan>' for k in (2, 3))
     (tmp_path / "n.mzXML").write_text(f'<mzXML><msRun><scan num="1" msLevel="1" polarity="+" retentionTime="PT1S">{peaks([100.0, 1, 200.0, 2])}{inner}</scan><scan num="4" msLevel="1" polarity="+" retentionTime="PT4S">{peaks([400.0, 4])}</scan></msRun></mzXML>')
     with open(tmp_path / "n.mzXML", "rb") as f:
-        assert [s["id"] for s in spectra.scans(f)] == [1, 2, 3, 4]
+        assert [s["id"] for s in spectra.scans(spectra.ET.iterparse(f, events=("start", "end")))] == [1, 2, 3, 4]
     for whole in (spectra.WHOLE_BYTES, 0):
         rows = spectra.ingest_spectra(spark, str(tmp_path), whole).collect()
         assert sorted((r["scan_id"], r["mz"]) for r in rows) == [(1, 100.0), (1, 200.0), (2, 20.0), (3, 30.0), (4, 400.0)]
         assert {r["ms_level"] for r in rows} == {1} and {r["polarity"] for r in rows} == {"Positive"}
 
 
+def _array(values, accession):
+    return f'<binaryDataArray><cvParam accession="MS:1000523"/><cvParam accession="{accession}"/><binary>{base64.b64encode(np.array(values, "<f8").tobytes()).decode()}</binary></binaryDataArray>'
+
+
+def _mzml(scans, level=1):
+    parts = [f'<spectrum index="{k}" id="scan={k}"><cvParam accession="MS:1000511" value="{level}"/><scanList count="1"><scan ><cvParam accession="MS:1000016" value="{k}.5"/></scan></scanList><precursorList><cvParam accession="MS:1000744" value="77.25"/></precursorList>{_array([k + 0.25] * (k % 4), "MS:1000514")}{_array([k] * (k % 4), "MS:1000515")}</spectrum>\n' for k in range(scans)]
+    return f'<?xml version="1.0" encoding="ISO-8859-1"?>\n<indexedmzML xmlns="http://psi.hupo.org/ms/mzml"><mzML><run startTimeStamp="2024-01-01"><spectrumList>{"".join(parts)}</spectrumList><chromatogramList><chromatogram/></chromatogramList></run></mzML><indexListOffset>1</indexListOffset></indexedmzML>'
+
+
+def _mzxml(scans):
+    def one(k, inside=""):
+        pairs = base64.b64encode(np.array([k + 0.5, k] * (k % 3), ">f8").tobytes()).decode()
+        peaks = f'<peaks precision="64">{pairs}</peaks>'
+        return f'<scan num="{k}" msLevel="{2 if k % 4 else 1}" polarity="+" retentionTime="PT{k}S"><precursorMz>50</precursorMz>{inside + peaks if k % 8 == 4 else peaks + inside}</scan>\n'
+
+    parts = [one(k, "".join(one(k + j, one(k + j + 100) if j == 2 else "") for j in (1, 2, 3))) for k in range(0, scans, 4)]
+    return f'<mzXML xmlns:x="x"><msRun>{"".join(parts)}<scan num="999" x:y="1"/></msRun><index name="scan"><offset id="1">10</offset></index></mzXML>'
+
+
+def _in_ranges(text, size, path="f.mzML"):
+    """(points, errors) of ranges of ``size`` bytes, by the rules of commits()."""
+    data, rows, left, errors = text.encode(), [], 0, []
+    for start in range(0, max(1, len(data)), size):
+        for r in spectra.range_of(path, pa.BufferReader(data), start, start + size):
+            if r.get("error"):
+                errors.append(r["error"])
+            elif "scan_id" in r:
+                rows += [(r["scan_id"], r["scan_time"], m, i) for m, i in zip(r["mz"], r["intensity"])]
+            else:
+                left = -(10**6) if left < r["closes"] else left - r["closes"] + r["opens"]
+    return rows, errors or (["open"] if left else [])
+
+
+@pytest.mark.parametrize("text", [_mzml(9), _mzxml(20), _mzml(0), _mzxml(0), _mzml(3, 2)])
+def test_ranges_read_what_one_task_reads(text, monkeypatch):
+    whole = [(s["id"], s["time"], m, i) for s in spectra.scans(spectra.ET.iterparse(io.BytesIO(text.encode()), events=("start", "end"))) for m, i in zip(s["mz"], s["intensity"])]
+    for read in (1 << 20, 100):
+        monkeypatch.setattr(spectra, "READ_BYTES", read)
+        for size in (1, 7, 150, 333, 1000, 10**6):
+            rows, errors = _in_ranges(text, size)
+            assert not errors and sorted(rows) == sorted(whole), (size, errors)
+        # Cut anywhere: an error whatever the size of the ranges.
+        for cut in range(1, len(text) - 1, 17):
+            assert _in_ranges(text[:cut], 400)[1], cut
+    assert _in_ranges(text.replace("</scan>", "", 1), 300)[1] or "</scan>" not in text
+
+
+def test_no_point_of_a_broken_file(spark, tmp_path):
+    texts = {"good.mzML": _mzml(400), "cut.mzML": _mzml(400)[: int(0.9 * len(_mzml(400)))], "good2.mzXML": _mzxml(200), "cut2.mzXML": _mzxml(200)[: int(0.9 * len(_mzxml(200)))], "two.mzML": _mzml(30, 2), "base64.mzML": _mzml(30).replace("<binary>", "<binary>A", 9), "none.mzML": _mzml(0), "text.mzXML": "no xml"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="latin-1")
+    read = {}
+    for whole, split in ((1 << 30, 1), (0, 5000), (0, 64 << 20), (9000, 777)):
+        out = spectra.ingest_spectra(spark, str(tmp_path), whole, split)
+        assert sorted(r["ms_file_label"] for r in spectra.ingest_errors(out).collect()) == ["base64", "cut", "cut2", "text"]
+        read[whole, split] = sorted(map(str, spectra.good_points(out).collect()))
+    assert len(read[0, 5000]) > 500 and all(r == read[0, 5000] for r in read.values())
+    assert {r["filterLine_ELMAVEN"] for r in spectra.good_points(out).filter("ms_file_label = 'two'").collect()} == {f"Negative 77.250 [{k}.250]" for k in range(30) if k % 4}
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a\tb\n1\t2\n")
     (tmp_path / "u.txt").write_text("a,b\n1,2\n")
