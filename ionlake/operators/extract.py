@@ -10,10 +10,12 @@ a filter on its ends, not a work list.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionlake.operators.sweep import sweep_join
 from ionlake.operators.traces import lttb, ordered_lists
 
 #: Scans this many seconds outside the target's window are extracted too.
@@ -22,6 +24,8 @@ RT_MARGIN = 30.0
 BIN = 0.005
 
 PAIR = ["peak_label", "ms_file_label"]
+#: A join of points and targets, such as ``mz_range_join``.
+Match = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 # ------------------------------------------------------------------ targets and pairs
@@ -41,15 +45,50 @@ def pair_grid(targets: DataFrame, samples: DataFrame) -> DataFrame:
     return targets.withColumns({c: rt_in_seconds(c) for c in ("rt_min", "rt_max")}).crossJoin(samples.select("ms_file_label"))
 
 
+#: Targets are numbered within this many blocks, and done ones are bits of a block.
+BLOCKS = 16
+#: Bits of one bitmap of Spark's bitmap functions, which number from 1.
+PART_BITS = 32768
+
+
+def numbered_targets(targets: DataFrame) -> DataFrame:
+    """``targets`` with ``_block`` and ``_number`` (from 1 in the block), the same for rows of one label and type."""
+    placed = targets.withColumn("_block", F.pmod(F.xxhash64("peak_label", "ms_type"), F.lit(BLOCKS)).cast("int"))
+    return placed.withColumn("_number", F.dense_rank().over(Window.partitionBy("_block").orderBy("peak_label", "ms_type")).cast("long"))
+
+
+def done_bits(numbered: DataFrame, existing: DataFrame) -> DataFrame:
+    """(ms_file_label, _block, _part, _done): by file and block, a bit for each target that ``existing`` has."""
+    found = existing.join(numbered.select("peak_label", "ms_type", "_block", "_number").distinct(), ["peak_label", "ms_type"])
+    position = F.bitmap_bit_position(F.col("_number"))
+    return found.groupBy("ms_file_label", "_block", F.bitmap_bucket_number(F.col("_number")).alias("_part")).agg(F.bitmap_construct_agg(position).alias("_done"))
+
+
+def missing_pairs(targets: DataFrame, files: DataFrame, existing: DataFrame) -> DataFrame:
+    """Every target with every file (as ``pair_grid``) but for pairs that ``existing`` has.
+
+    A file's done targets are bits; the others are read off the bits that are not set, so rows
+    are made for missing pairs only, and no grid is joined.
+    """
+    numbered = numbered_targets(targets.withColumns({c: rt_in_seconds(c) for c in ("rt_min", "rt_max")}))
+    done = done_bits(numbered, existing)
+    parts = numbered.groupBy("_block", F.bitmap_bucket_number(F.col("_number")).alias("_part")).agg(F.max(F.bitmap_bit_position(F.col("_number"))).alias("_last"))
+    spread = files.select("ms_file_label").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(parts, "_block")
+    held = spread.join(done, ["ms_file_label", "_block", "_part"], "left")
+    byte = lambda k: F.ascii(F.decode(F.substring(F.col("_done"), (k / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    unset = lambda k: F.col("_done").isNull() | (F.getbit(byte(k), (k % 8).cast("int")) == 0)
+    free = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_last")), unset)
+    rows = held.select("ms_file_label", "_block", "_part", F.explode(free).alias("_bit")).withColumn("_number", F.col("_bit") + 1 + (F.col("_part") - 1) * PART_BITS)
+    return rows.drop("_part", "_bit").join(numbered, ["_block", "_number"]).select(*targets.columns, "ms_file_label")
+
+
 def pending_pairs(targets: DataFrame, samples: DataFrame, existing: DataFrame | None, stage: str = "processing", bookmarked: bool = False, recompute: bool = False) -> DataFrame:
     """Pairs of the chosen targets and samples that have no chromatogram yet."""
     chosen = selected_or_all(targets)
     if bookmarked:
         chosen = chosen.filter("bookmark")
-    grid = pair_grid(chosen, samples.filter(F.col(f"use_for_{stage}")))
-    if existing is None or recompute:
-        return grid
-    return grid.join(existing.select(*PAIR, "ms_type").distinct(), [*PAIR, "ms_type"], "left_anti")
+    files = samples.filter(F.col(f"use_for_{stage}"))
+    return pair_grid(chosen, files) if existing is None or recompute else missing_pairs(chosen, files, existing)
 
 
 def pending_results(chromatograms: DataFrame, results: DataFrame | None, recompute: bool = False) -> DataFrame:
@@ -58,11 +97,15 @@ def pending_results(chromatograms: DataFrame, results: DataFrame | None, recompu
 
 
 def pair_counts(targets: DataFrame, samples: DataFrame, existing: DataFrame) -> DataFrame:
-    """n_pairs, n_existing, n_missing for each ms_type."""
-    grid = pair_grid(selected_or_all(targets), samples).select(*PAIR, "ms_type")
-    have = existing.select(*PAIR, "ms_type").distinct().withColumn("_have", F.lit(True))
-    joined = grid.join(have, [*PAIR, "ms_type"], "left")
-    return joined.groupBy("ms_type").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("_have").isNotNull()).alias("n_existing"), F.count_if(F.col("_have").isNull()).alias("n_missing"))
+    """n_pairs, n_existing, n_missing for each ms_type, from the pairs that exist and two counts."""
+    chosen = selected_or_all(targets).groupBy("peak_label", "ms_type").agg(F.count(F.lit(1)).alias("_targets"))
+    files = samples.groupBy("ms_file_label").agg(F.count(F.lit(1)).alias("_files"))
+    have = existing.select(*PAIR, "ms_type").distinct().join(chosen, ["peak_label", "ms_type"]).join(files, "ms_file_label")
+    found = have.groupBy(F.col("ms_type").alias("_type")).agg(F.sum(F.col("_targets") * F.col("_files")).alias("n_existing"))
+    total = chosen.groupBy("ms_type").agg(F.sum("_targets").alias("_n")).join(files.agg(F.coalesce(F.sum("_files"), F.lit(0)).alias("_m")))  # a row a type, one row
+    rows = total.join(found, F.col("ms_type").eqNullSafe(F.col("_type")), "left")
+    n_pairs, n_existing = F.col("_n") * F.col("_m"), F.coalesce("n_existing", F.lit(0))
+    return rows.select("ms_type", n_pairs.alias("n_pairs"), n_existing.alias("n_existing"), (n_pairs - n_existing).alias("n_missing"))
 
 
 # ------------------------------------------------------------------ joins
@@ -84,6 +127,22 @@ def mz_range_join(points: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.filter(F.col("mz").between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high")
 
 
+#: Windows up to this many are joined by bins; more are not broadcast and are joined by a sweep.
+FEW_WINDOWS = 50_000
+
+
+def mz_sweep_join(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """C4 for any number of targets: the rows of ``mz_range_join``, by ranges of equal load and a sweep in each."""
+    low, high = mz_bounds()
+    return sweep_join(points, targets.select("peak_label", low.alias("_low"), high.alias("_high")), "mz", ["ms_file_label", "scan_id", "intensity"])
+
+
+def mz_join(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """C4: by bins where the targets are few (looked at no further than that), else by a sweep."""
+    few = targets.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS
+    return mz_range_join(points, targets) if few else mz_sweep_join(points, targets)
+
+
 def scan_lookup(ms1: DataFrame, ms2: DataFrame | None = None) -> DataFrame:
     """Distinct (file, scan, time) with the level they are from."""
     parts = [(ms1, "ms1"), *([(ms2, "ms2")] if ms2 is not None else [])]
@@ -141,13 +200,14 @@ def fill_missing_scans(needed: DataFrame, matched: DataFrame, fill: float = 1.0)
 
 
 # ------------------------------------------------------------------ composed jobs
-def extract_ms1(points: DataFrame, targets: DataFrame, pairs: DataFrame, scans: DataFrame, margin: float | None = RT_MARGIN) -> DataFrame:
+def extract_ms1(points: DataFrame, targets: DataFrame, pairs: DataFrame, scans: DataFrame, margin: float | None = RT_MARGIN, match: Match = mz_range_join) -> DataFrame:
     """E1 (and E6 with ``margin`` None): filled chromatograms with times, intensities and m/z.
 
-    Matching runs on points and targets alone; pairs only filter the small result.
+    Matching runs on points and targets alone; pairs only filter the small result. ``match`` is the join to
+    run: ``mz_range_join`` for as many targets as can be broadcast, ``mz_sweep_join`` for more, ``mz_join`` to count them first.
     """
     wanted = targets.join(pairs.select("peak_label").distinct(), "peak_label", "left_semi")
-    matched = top1_per_scan(mz_range_join(points, wanted))
+    matched = top1_per_scan(match(points, wanted))
     if margin is None:
         needed = pairs.select(*PAIR).join(scans.select("ms_file_label", "scan_id", "scan_time").distinct(), "ms_file_label")
     else:
@@ -181,9 +241,9 @@ def extract_ms2(points: DataFrame, targets: DataFrame, pairs: DataFrame, scans:
     return ordered_lists(rows, PAIR, ["scan_time", "scan_id", "_i"], ["scan_time", "intensity"]).withColumn("ms_type", F.lit("ms2"))
 
 
-def extract_simple(points: DataFrame, targets: DataFrame) -> DataFrame:
+def extract_simple(points: DataFrame, targets: DataFrame, match: Match = mz_range_join) -> DataFrame:
     """All points of the m/z window, no top point, no window in time, no fill."""
-    rows = mz_range_join(points, targets).withColumn("_i", F.col("intensity"))
+    rows = match(points, targets).withColumn("_i", F.col("intensity"))
     return ordered_lists(rows, PAIR, ["scan_time", "_i", "mz"], ["scan_time", "intensity"])
 
 
@@ -205,9 +265,9 @@ def _in_window(matched: DataFrame, targets: DataFrame, margin: float) -> DataFra
     return matched.join(bounds, "peak_label").filter(F.col("scan_time").between(F.col("_from"), F.col("_to")))
 
 
-def extract_matched_only_ms1(points: DataFrame, targets: DataFrame, margin: float = RT_MARGIN) -> DataFrame:
+def extract_matched_only_ms1(points: DataFrame, targets: DataFrame, margin: float = RT_MARGIN, match: Match = mz_range_join) -> DataFrame:
     """Only matched points, no fill."""
-    return ordered_lists(top1_per_time_bin(_in_window(mz_range_join(points, targets), targets, margin)), PAIR, ["scan_time"], ["scan_time", "intensity"])
+    return ordered_lists(top1_per_time_bin(_in_window(match(points, targets), targets, margin)), PAIR, ["scan_time"], ["scan_time", "intensity"])
 
 
 def extract_matched_only_ms2(points: DataFrame, targets: DataFrame, margin: float = RT_MARGIN) -> DataFrame:
@@ -215,9 +275,9 @@ def extract_matched_only_ms2(points: DataFrame, targets: DataFrame, margin: floa
     return ordered_lists(max_per_time(_in_window(filterline_join(points, targets), targets, margin)), PAIR, ["scan_time"], ["scan_time", "intensity"])
 
 
-def slice_raw(points: DataFrame, targets: DataFrame) -> DataFrame:
+def slice_raw(points: DataFrame, targets: DataFrame, match: Match = mz_range_join) -> DataFrame:
     """Per peak and file the matched points in the window: n, top * 1.10, lowest, first and last time."""
-    rows = _in_window(mz_range_join(points, targets), targets, 0.0)
+    rows = _in_window(match(points, targets), targets, 0.0)
     return rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), (F.max("intensity") * 1.10).alias("y_max"), F.min("intensity").alias("y_min"), F.min("scan_time").alias("t_min"), F.max("scan_time").alias("t_max"))
 
 

@@ -92,6 +92,11 @@ def c4(spark: SparkSession, d: str) -> DataFrame:
     return E.mz_range_join(V.points(spark, d), V.targets(spark, d)).select("peak_label", "ms_file_label", "scan_id", "mz", "intensity")
 
 
+@query("c4_mz_sweep_join", f"SELECT peak_label, ms_file_label, scan_id, mz, intensity FROM ({MATCHED})", "points targets")
+def c4_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return E.mz_sweep_join(V.points(spark, d), V.targets(spark, d)).select("peak_label", "ms_file_label", "scan_id", "mz", "intensity")
+
+
 @query("c5_rt_range_join", f"WITH {CHROM} SELECT peak_label, ms_file_label, scan_id, scan_time FROM needed", "points targets samples")
 def c5(spark: SparkSession, d: str) -> DataFrame:
     return E.rt_range_join(pending(spark, d), E.scan_lookup(V.points(spark, d))).select("peak_label", "ms_file_label", "scan_id", "scan_time")
@@ -221,6 +226,20 @@ def e8(spark: SparkSession, d: str) -> DataFrame:
     return again.join(waiting, ["peak_label", "ms_file_label"], "left").groupBy("peak_label").agg(F.count(F.lit(1)).alias("n_recomputed"), F.count_if(F.col("waiting").isNotNull()).alias("n_pending"))
 
 
+# The chromatograms of a run that computes all again; those that were there are told from the others.
+@query(
+    "e8_recompute_extract",
+    f"WITH {CHROM.replace('FROM pending p JOIN', 'FROM again p JOIN').replace('needed AS', 'again AS (SELECT c.*, s.ms_file_label FROM chosen c, samples s WHERE s.use_for_processing), needed AS', 1)} SELECT {DIGEST}, EXISTS (SELECT 1 FROM existing e WHERE e.peak_label = chrom.peak_label AND e.ms_file_label = chrom.ms_file_label) AS was_there FROM chrom",
+    "points targets samples",
+)
+def e8_extract(spark: SparkSession, d: str) -> DataFrame:
+    points, targets = V.points(spark, d), V.targets(spark, d)
+    again = E.pending_pairs(targets, V.samples(spark, d), existing(spark, d), recompute=True)
+    have = existing(spark, d).select("peak_label", "ms_file_label", F.lit(True).alias("there"))
+    out = digest(E.extract_ms1(points, targets, again, E.scan_lookup(points), match=E.mz_join).drop("mz_arr"))
+    return out.join(have, ["peak_label", "ms_file_label"], "left").withColumn("was_there", F.coalesce("there", F.lit(False))).drop("there")
+
+
 @query("e7_slice_raw", f"SELECT m.peak_label, m.ms_file_label, count(*) AS n, round(max(m.intensity) * 1.10, 4) AS y_max, min(m.intensity) AS y_min, min(m.scan_time) AS t_min, max(m.scan_time) AS t_max FROM ({MATCHED}) m JOIN targets t USING (peak_label) WHERE m.scan_time BETWEEN t.rt_min AND t.rt_max GROUP BY 1, 2", "points targets")
 def e7(spark: SparkSession, d: str) -> DataFrame:
     return E.slice_raw(V.points(spark, d), V.targets(spark, d)).withColumn("y_max", F.round("y_max", 4))

@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: later uses see the same rows in the same partitions."""
+def staged_at(df: DataFrame, name: str) -> str:
+    """Where ``df`` has been written, in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: later uses see the same rows in the same partitions."""
+    return df.sparkSession.read.schema(df.schema).parquet(staged_at(df, name))

@@ -18,6 +18,7 @@ from ionlake.operators import calibrate as J
 from ionlake.operators import extract as E
 from ionlake.operators import integrate as G
 from ionlake.operators import rt as H
+from ionlake.operators import sweep
 from ionlake.operators import targets as T
 from ionlake.operators import traces as X
 from ionlake.sources import readers, spectra
@@ -355,6 +356,54 @@ def test_nested_scans_and_streamed_files(spark, tmp_path):
         assert {r["ms_level"] for r in rows} == {1} and {r["polarity"] for r in rows} == {"Positive"}
 
 
+def test_sweep_is_the_range_join(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    mz = [100.0] * 4000 + [float(x) for x in np.round(rng.uniform(50, 1000, 6000), 2)] + [None, float("nan"), float("inf"), -5.0]
+    points = spark.createDataFrame([(f"f{k % 7}", k % 97, m, float(k), None, float(k)) for k, m in enumerate(mz)], "ms_file_label string, scan_id int, mz double, intensity double, _value string, _low double")
+    windows = [(f"p{k}", float(rng.uniform(50, 1000)), float(rng.choice([10, 5000, 400_000]))) for k in range(60)] + [("hot", 100.0, 10.0), ("hot", 100.0, 20.0), ("ends", 200.0, 1e6), ("none", None, 10.0), ("less", 100.0, -1.0), ("point", 100.0, 0.0)]
+    targets = spark.createDataFrame(windows, "peak_label string, mz_mean double, mz_width double")
+    key = lambda df: sorted(map(str, df.select("peak_label", "ms_file_label", "scan_id", "mz", "intensity").collect()))
+    wanted = sorted(str(r) for r in points.join(targets, F.col("mz").between(*E.mz_bounds())).select("peak_label", "ms_file_label", "scan_id", "mz", "intensity").collect())
+    assert key(E.mz_range_join(points.drop("_low", "_value").filter("mz > 0 AND mz < 1e9"), targets)) == wanted
+    for batch in (1 << 17, 50):
+        monkeypatch.setattr(sweep, "BATCH_ROWS", batch)
+        assert key(E.mz_sweep_join(points, targets)) == wanted
+    assert E.mz_sweep_join(points.limit(0), targets).count() == E.mz_sweep_join(points, targets.limit(0)).count() == 0
+    # The common ion is in several partitions.
+    dealt = points.filter("mz IS NOT NULL").repartitionByRange(8, F.col("mz"), F.xxhash64("ms_file_label", "scan_id", "intensity"))
+    assert dealt.filter("mz = 100").select(F.spark_partition_id()).distinct().count() > 2
+    monkeypatch.setattr(E, "FEW_WINDOWS", 3)
+    assert key(E.mz_join(points, targets)) == wanted
+
+
+def test_missing_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    labels = [*[f"t{k}" for k in range(300)], "t1", None]
+    targets = spark.createDataFrame([(t, k, "ms1" if k % 2 else "ms2", True, None, float(k), float(k + 1), "min", False) for k, t in enumerate(labels)], "peak_label string, n int, ms_type string, peak_selection boolean, filterLine string, rt_min double, rt_max double, rt_unit string, bookmark boolean")
+    samples = spark.createDataFrame([(f"f{k}", True) for k in range(9)] + [("f1", True), ("f9", False)], "ms_file_label string, use_for_processing boolean")
+    have = spark.createDataFrame([(f"t{rng.integers(320)}", f"f{rng.integers(11)}", str(rng.choice(["ms1", "ms2"]))) for _ in range(900)] + [(None, "f1", "ms1")], "peak_label string, ms_file_label string, ms_type string")
+    grid = E.pair_grid(targets, samples.filter("use_for_processing"))
+    wanted = grid.join(have.distinct(), ["peak_label", "ms_file_label", "ms_type"], "left_anti")
+    key = lambda df: sorted(map(str, df.select("peak_label", "ms_file_label", "n", "rt_min", "rt_max").collect()))
+    for blocks in (16, 1):
+        monkeypatch.setattr(E, "BLOCKS", blocks)
+        assert key(E.pending_pairs(targets, samples, have)) == key(wanted)
+        assert "Cartesian" not in (plan := E.pending_pairs(targets, samples, have)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    counts = {r["ms_type"]: (r["n_pairs"], r["n_existing"], r["n_missing"]) for r in E.pair_counts(targets, samples, have).collect()}
+    all_, found = E.pair_grid(targets, samples), have.distinct()
+    for kind, (n, existing, missing) in counts.items():
+        assert n == all_.filter(F.col("ms_type") == kind).count() and existing + missing == n
+        assert existing == all_.join(found, ["peak_label", "ms_file_label", "ms_type"], "left_semi").filter(F.col("ms_type") == kind).count()
+    assert E.pending_pairs(targets, samples.limit(0), have).count() == E.pending_pairs(targets.limit(0), samples, have).count() == 0
+    assert E.pending_pairs(targets, samples, have.limit(0)).count() == grid.count()
+    # More targets than one bitmap has bits.
+    many = spark.range(40_000).select(F.concat(F.lit("m"), "id").alias("peak_label"), F.lit("ms1").alias("ms_type"), F.lit(True).alias("peak_selection"), F.lit(0.0).alias("rt_min"), F.lit(1.0).alias("rt_max"), F.lit("s").alias("rt_unit"))
+    done = many.filter("hash(peak_label) % 3 <> 0").select("peak_label", F.lit("f1").alias("ms_file_label"), "ms_type")
+    left = E.missing_pairs(many, samples.filter("ms_file_label = 'f2' OR ms_file_label = 'f1'").distinct(), done)
+    assert left.filter("ms_file_label = 'f2'").distinct().count() == 40_000
+    assert left.filter("ms_file_label = 'f1'").join(done, "peak_label", "left_semi").count() == 0 and left.count() == 80_000 - done.count()
+
+
 def _array(values, accession):
     return f'<binaryDataArray><cvParam accession="MS:1000523"/><cvParam accession="{accession}"/><binary>{base64.b64encode(np.array(values, "<f8").tobytes()).decode()}</binary></binaryDataArray>'
 
