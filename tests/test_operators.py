@@ -22,6 +22,7 @@ from ionlake.operators import sweep
 from ionlake.operators import targets as T
 from ionlake.operators import traces as X
 from ionlake.sources import readers, spectra
+from ionlake.sources.tables import SavedTable
 
 TARGET = "peak_label string, mz_mean double, mz_width double, rt double, rt_min double, rt_max double, rt_unit string, ms_type string, filterLine string, peak_selection boolean, bookmark boolean"
 POINT = "ms_file_label string, scan_id int, mz double, intensity double, scan_time double"
@@ -494,3 +495,40 @@ def test_tables_change(spark):
     assert {r["k"]: (r["v"], r["w"]) for r in T.update_rows(old, new, "k", ["v", "w"]).collect()} == {"a": (1, "x"), "b": (2, "z")}
     assert {r["k"]: r["v"] for r in T.upsert(old, new, ["k"]).collect()} == {"a": 1, "b": None, "c": 3}
     assert T.delete_rows({"t": old}, new, ["k"])["t"].count() == 1
+
+
+def test_saved_table(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{k % 40}", f"p{k % 7}", k, None if k % 3 else [float(k)]) for k in range(400)], "ms_file_label string, peak_label string, n int, v array<double>")
+    table = SavedTable(spark, f"file://{tmp_path}/t").create(rows, "ms_file_label", 16)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(table.read()) == key(rows)
+    before, files = table.read(), set(table.read().inputFiles())
+    # A row of one file: one part is written anew, the others keep their files, and old readers keep what they had.
+    new = spark.createDataFrame([("f3", "p3", -1, None), ("f3", "new", -2, [1.0])], rows.schema)
+    touched = table.upsert(new, ["ms_file_label", "peak_label"])
+    assert len(touched) == 1
+    wanted = new.unionByName(rows.join(new.select("ms_file_label", "peak_label"), ["ms_file_label", "peak_label"], "left_anti").select(rows.columns))
+    assert key(table.read()) == key(wanted)
+    now = set(table.read().inputFiles())
+    assert all(f"_part={next(iter(touched))}/" in f for f in now ^ files) and len(now & files) > 10
+    assert key(before) == key(rows)
+
+    def lost(x):
+        raise RuntimeError("lost")
+
+    state = table.version()
+    with pytest.raises(Exception, match="lost"):
+        table.change(lambda old: old.withColumn("n", F.udf(lost, "int")("n")), lambda s: set(range(16)))
+    assert table.version() == state and key(table.read()) == key(wanted)
+    # By a key that parts don't go by, by one that isn't there, and all rows of a part.
+    assert table.delete(spark.createDataFrame([("new", 1)], "peak_label string, x int"), ["peak_label"]) == touched
+    assert table.delete(spark.createDataFrame([("new",)], "other string"), ["other"]) == set() == table.delete(spark.createDataFrame([("nobody",)], "peak_label string"), ["peak_label"])
+    assert table.read().filter("peak_label = 'new'").count() == 0
+    table.update(spark.createDataFrame([("f5", 77), ("f6", None)], "ms_file_label string, n int"), "ms_file_label", ["n"])
+    assert {r["n"] for r in table.read().filter("ms_file_label = 'f5'").collect()} == {77} and table.read().filter("ms_file_label = 'f6' AND n IS NULL").count() == 0
+    table.delete(rows, ["ms_file_label"])
+    assert table.read().count() == 0 and table.read().schema == before.schema
+    table.upsert(new, ["ms_file_label"])
+    assert key(table.read()) == key(new)
+    empty = SavedTable(spark, f"file://{tmp_path}/e").create(rows.limit(0), "ms_file_label", 4)
+    assert empty.read().count() == 0 and empty.delete(rows, ["ms_file_label"]) == set()
