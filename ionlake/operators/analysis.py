@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ionlake.operators.quantiles import exact_quantiles
 from ionlake.operators.ranks import rank_in_group
+from ionlake.operators.tiles import pair_products
+from ionlake.operators.wide_pca import cells_of, sum_by, wide_components
+from ionlake.sources.staging import staged
 
 
 #: What a row of the sample matrix says of its file, as far as the samples have it.
@@ -67,18 +72,18 @@ def group_label(column: Column, field: str) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(f"{field} (unset)"))
 
 
-def pca(rows: DataFrame, key: str, vector: str, k: int, most_width: int = 2000) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def pca(rows: DataFrame, key: str, vector: str, k: int, covariance_width: int = 1000) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """I8: (scores, loadings, explained-variance ratio) of centred vectors; signs make the largest loading positive.
 
-    The covariance is summed over partitions, never the rows: half of width * width numbers reach
-    the driver, and a width over ``most_width`` is an error.
+    Up to ``covariance_width`` columns, the covariance is summed over partitions, and half of width * width
+    numbers reach the driver. Wider rows go to ``sparse_pca``.
     """
     first = rows.select(vector).first()
     if first is None:
         raise ValueError("no rows")
     width = len(first[0])
-    if width > most_width:
-        raise ValueError(f"{width} columns; their covariance is computed for {most_width} at most")
+    if width > covariance_width:
+        return sparse_pca(rows.select(key, F.sequence(F.lit(0), F.lit(width - 1)).alias("at"), F.col(vector).cast("array<double>").alias("x")), key, width, k)
     origin = np.asarray(first[0], float)  # near the data, so that the sums of squares keep their digits
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +105,7 @@ def pca(rows: DataFrame, key: str, vector: str, k: int, most_width: int = 2000)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[: min(k, width, n)]
     values_kept, parts = np.maximum(values[order], 0), vectors[:, order]
-    parts = parts * np.sign(parts[np.abs(parts).argmax(0), np.arange(parts.shape[1])])
+    parts = signed(parts)
     ratio = values_kept / max(np.maximum(values, 0).sum(), 1e-300)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,6 +117,32 @@ def pca(rows: DataFrame, key: str, vector: str, k: int, most_width: int = 2000)
     return scores, parts * np.sqrt(values_kept), ratio
 
 
+def signed(parts: np.ndarray) -> np.ndarray:
+    """Components whose largest loading is positive."""
+    return parts * np.sign(parts[np.abs(parts).argmax(0), np.arange(parts.shape[1])]) if parts.size else parts
+
+
+def sparse_pca(rows: DataFrame, key: str, width: int, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """I8 for any width: as ``pca``, of rows (key, at, x) with the numbers of their columns and the values there; others are 0.
+
+    The rows are written once and read a few dozen times; width * 160 numbers are on the driver, never width * width.
+    """
+    written = staged(rows.select(key, F.col("at").cast("array<int>").alias("at"), F.col("x").cast("array<double>").alias("x")), "pca")
+    mean, parts, values, total = wide_components(written, width, k)
+    parts = signed(parts)
+    shift = mean @ parts
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, column, value = cells_of(batch)
+            scores = sum_by(row, parts[column] * value[:, None], len(batch)) - shift
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * parts.shape[1], pa.int32()), pa.array(scores.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "scores"])
+
+    scores = written.mapInArrow(project, f"{key} {dict(rows.dtypes)[key]}, scores array<double>")
+    return scores, parts * np.sqrt(values), values / max(total, 1e-300)
+
+
 def matrix_pca(rows: DataFrame, metric: str, labels: list[str], k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I8, I9 on the sample-by-target matrix in long form: (scores by file, components with ratio and cumulative ratio, loadings ranked).
 
@@ -208,8 +239,8 @@ def anova(rows: DataFrame, metric: str, group: str) -> DataFrame:
 
 
 def distribution_span(rows: DataFrame, metric: str, keys: list[str]) -> DataFrame:
-    """1 % and 99 % quantiles with linear interpolation."""
-    return rows.groupBy(*keys).agg(F.percentile(metric, F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(*keys, F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"))
+    """1 % and 99 % quantiles with linear interpolation, of groups of any size."""
+    return exact_quantiles(rows, keys, metric, {"q01": 0.01, "q99": 0.99})
 
 
 def qc_series(results: DataFrame, samples: DataFrame, metric: str, mode: str = "zscore") -> DataFrame:
@@ -232,16 +263,14 @@ def color_map(samples: DataFrame, group: str, palette: list[str], grey_largest:
 def sample_distances(rows: DataFrame, left: str, along: str, metric: str) -> DataFrame:
     """I16: Euclidean distance of every two ``left`` keys over ``along``; the result is as large as the question asks.
 
-    Both sides meet on ``along``; missing cells are 0 through the squared norms, so keys that share
-    nothing are as far apart as their norms say. ``left`` may be peaks (over files) or files (over peaks).
+    Dot products come in tiles of two blocks of keys; missing cells are 0 through the squared norms, so keys that
+    share nothing are as far apart as their norms say. ``left`` may be peaks (over files) or files (over peaks).
     """
-    a = rows.select(F.col(left).alias("a"), along, F.col(metric).alias("x"))
-    b = rows.select(F.col(left).alias("b"), along, F.col(metric).alias("y"))
-    dots = a.join(b, along).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    norms = rows.groupBy(F.col(left).alias("k")).agg(F.sum(F.col(metric) * F.col(metric)).alias("nn"))
-    every = norms.select(F.col("k").alias("a"), F.col("nn").alias("na")).join(norms.select(F.col("k").alias("b"), F.col("nn").alias("nb")), F.col("a") < F.col("b"))
-    out = every.join(dots, ["a", "b"], "left")
-    return out.select("a", "b", F.sqrt(F.greatest(F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))).alias("distance"))
+    dots, numbers = pair_products(rows, left, along, metric)
+    norms = rows.groupBy(left).agg(F.sum(F.col(metric) * F.col(metric)).alias("nn")).join(numbers, left)
+    ends = [norms.select(F.col("_key").alias(end), F.col(left).alias(f"_{end}"), F.col("nn").alias(f"_n{end}")) for end in "ab"]
+    distance = F.sqrt(F.greatest(F.col("_na") + F.col("_nb") - 2 * F.col("dot"), F.lit(0.0)))
+    return dots.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), distance.alias("distance"))
 
 
 def rank_by_loading(labels: list[str], loadings: np.ndarray, spark) -> DataFrame:

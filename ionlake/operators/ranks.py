@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ def global_rank(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_own", T.LongType())])
     numbered = staged(dealt.mapInArrow(number, schema), "ranks")  # once: range bounds are sampled
     sizes = numbered.groupBy("_part").agg(F.max("_own").alias("_size")).select(F.col("_part").alias("_other"), "_size")  # a row a partition
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._other") < F.col("a._other"), "left").groupBy(F.col("a._other").alias("_other")).agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_before"))
+    earlier = Window.orderBy("_other").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    before = sizes.select("_other", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     return numbered.join(before, F.col("_part") == F.col("_other")).withColumn(name, F.col("_own") + F.col("_before")).select(*columns, name)
 
 

@@ -233,6 +233,13 @@ def i16(spark: SparkSession, d: str) -> DataFrame:
     return A.sample_distances(rows, "peak_label", "ms_file_label", "n").withColumn("distance", F.round("distance", 6))
 
 
+# All files over all peaks.
+@query("i16_file_distances", "WITH l AS (SELECT ms_file_label, sum(n * n) AS nn FROM long_results GROUP BY 1), dots AS (SELECT x.ms_file_label AS a, y.ms_file_label AS b, sum(x.n * y.n) AS dot FROM long_results x JOIN long_results y ON x.peak_label = y.peak_label AND x.ms_file_label < y.ms_file_label GROUP BY 1, 2) SELECT x.ms_file_label AS a, y.ms_file_label AS b, round(sqrt(greatest(x.nn + y.nn - 2 * coalesce(dot, 0), 0)), 6) AS distance FROM l x JOIN l y ON x.ms_file_label < y.ms_file_label LEFT JOIN dots ON dots.a = x.ms_file_label AND dots.b = y.ms_file_label", "long_results")
+def i16_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.long_results(spark, d).withColumn("n", F.col("n").cast("double"))
+    return A.sample_distances(rows, "ms_file_label", "peak_label", "n").withColumn("distance", F.round("distance", 6))
+
+
 # ------------------------------------------------------------------ J
 # Standards: every file whose number of points is even, with a concentration that follows the signal.
 STD = "std AS (SELECT peak_label, ms_file_label AS ms_file, exp(0.9 * ln(v) + (n % 3) / 10.0)::DOUBLE AS std_conc FROM long_results WHERE n % 2 = 0), train AS (SELECT r.peak_label, r.ms_file_label AS ms_file, r.v AS value, s.std_conc FROM long_results r JOIN std s ON s.peak_label = r.peak_label AND s.ms_file = r.ms_file_label)"

@@ -18,9 +18,10 @@ from ionlake.operators import calibrate as J
 from ionlake.operators import extract as E
 from ionlake.operators import integrate as G
 from ionlake.operators import rt as H
-from ionlake.operators import sweep
+from ionlake.operators import sweep, tiles
 from ionlake.operators import targets as T
 from ionlake.operators import traces as X
+from ionlake.operators.quantiles import exact_quantiles
 from ionlake.sources import readers, spectra
 from ionlake.sources.tables import SavedTable
 
@@ -497,6 +498,61 @@ def test_tables_change(spark):
     assert T.delete_rows({"t": old}, new, ["k"])["t"].count() == 1
 
 
+@pytest.mark.parametrize(("keys", "along"), [(1024, 256), (4, 3), (1, 1)])
+def test_tiles_are_all_distances(spark, keys, along):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((11, 17)) < 0.4, rng.normal(size=(11, 17)), 0)
+    x[:, 0] = 1.0
+    rows = spark.createDataFrame([(f"k{i:02}", f"f{j}", float(x[i, j])) for i in range(11) for j in range(17) if x[i, j]] + [("k00", "f99", None)], "k string, f string, v double")
+    dots, numbers = tiles.pair_products(rows, "k", "f", "v", keys, along)
+    got = {(r["a"], r["b"]): r["dot"] for r in dots.collect()}
+    assert got.keys() == {(a, b) for a in range(11) for b in range(a + 1, 11)} and all(abs(d - x[a] @ x[b]) < 1e-12 for (a, b), d in got.items())
+    assert [r["k"] for r in numbers.orderBy("_key").collect()] == [f"k{i:02}" for i in range(11)]
+    plan = A.sample_distances(rows, "k", "f", "v")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert tiles.pair_products(rows.limit(0), "k", "f", "v", keys, along)[0].count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    groups = {"hot": rng.normal(size=3000), "one": np.array([5.0]), "ties": np.array([1.0, 1.0, 1.0, 2.0]), None: rng.normal(size=10)}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)], "g string, v double")
+    shares = {"low": 0.01, "middle": 0.5, "high": 0.99, "all": 1.0}
+    got = {r["g"]: r for r in exact_quantiles(rows, ["g"], "v", shares).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert all(abs(got[g][name] - np.quantile(vs, q)) < 1e-12 for name, q in shares.items())
+    assert exact_quantiles(rows.limit(0), ["g"], "v", shares).count() == 0
+
+
+@pytest.mark.parametrize(("n", "width", "k"), [(200, 64, 5), (90, 1500, 4), (5, 30, 9)])
+def test_wide_pca_is_the_exact_one(spark, n, width, k):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((n, width)) < 0.3, rng.normal(size=(n, width)) + 1, 0) + 100 * (np.arange(width) == 3)
+    rows = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)] + [0], [float(v) for v in r[r != 0]] + [None]) for i, r in enumerate(x)], "id long, at array<int>, x array<double>")
+    scores, loadings, ratio = A.sparse_pca(rows, "id", width, k)
+    u, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    k = min(k, n)
+    wanted = v[:k].T * s[:k] / np.sqrt(n - 1)
+    assert np.allclose(ratio, (s**2 / (s**2).sum())[:k], atol=1e-9)
+    assert np.allclose(np.abs(loadings), np.abs(wanted), atol=1e-6)
+    got = np.array([r["scores"] for r in scores.orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(u[:, :k] * s[:k]), atol=1e-6)
+
+
+def test_pca_of_many_columns(spark):
+    # Three directions over 20,000 columns, most cells empty.
+    n, width = 150, 20_000
+    rows = spark.range(n).select("id", F.expr(f"sequence(cast(id % 50 as int), {width - 1}, 50)").alias("at"))
+    rows = rows.withColumn("x", F.transform("at", lambda j: F.when(F.col("id") % 3 == 0, 5.0).otherwise(1.0) + (F.hash(F.col("id"), j) % 100) / 1000))
+    scores, loadings, ratio = A.sparse_pca(rows, "id", width, 3)
+    data = np.zeros((n, width))
+    for r in rows.collect():
+        data[r["id"], r["at"]] = r["x"]
+    s = np.linalg.svd(data - data.mean(0), compute_uv=False)
+    assert loadings.shape == (width, 3) and np.allclose(ratio, (s**2 / (s**2).sum())[:3], atol=1e-8) and scores.count() == n
+
+
 def test_saved_table(spark, tmp_path):
     rows = spark.createDataFrame([(f"f{k % 40}", f"p{k % 7}", k, None if k % 3 else [float(k)]) for k in range(400)], "ms_file_label string, peak_label string, n int, v array<double>")
     table = SavedTable(spark, f"file://{tmp_path}/t").create(rows, "ms_file_label", 16)
