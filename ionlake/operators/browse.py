@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionlake.operators.ranks import rank_in_group
+from ionlake.sources.staging import staged_folder
 
 
 def keyword_filter(rows: DataFrame, contains: dict[str, str] | None = None, isin: dict[str, list] | None = None) -> DataFrame:
@@ -36,13 +38,47 @@ def sort_keys(rows: DataFrame, sorts: list[tuple[str, str]], tie: str | None = N
     return out
 
 
-def page(rows: DataFrame, sorts: list[tuple[str, str]], tie: str, offset: int, limit: int) -> DataFrame:
+#: Pages that end within this many rows are the first rows of a sort; later ones are looked for by range.
+SHALLOW = 10_000
+
+
+def page(rows: DataFrame, sorts: list[tuple[str, str]], tie: str, offset: int, limit: int, shallow: int = SHALLOW) -> DataFrame:
     """A page of the sorted rows with the number of all rows.
 
-    The count is an aggregate of its own joined to the page, not a window over the table.
+    The count is an aggregate of its own joined to the page, not a window over the table. A page far down is
+    not reached by sorting all rows before it: see ``deep_page``.
     """
+    if offset + limit > shallow and sort_keys(rows, sorts, tie):
+        return deep_page(rows, sorts, tie, offset, limit, shallow)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return rows.orderBy(*sort_keys(rows, sorts, tie)).offset(offset).limit(limit).crossJoin(total)
+    keys = sort_keys(rows, sorts, tie)
+    return (rows.orderBy(*keys) if keys else rows).offset(offset).limit(limit).crossJoin(total)
+
+
+def deep_page(rows: DataFrame, sorts: list[tuple[str, str]], tie: str, offset: int, limit: int, shallow: int = SHALLOW) -> DataFrame:
+    """D7 for any offset: rows are written in ranges of the sort keys, whose sizes say which ranges hold the page.
+
+    Only those are read, and cut into ranges again while the page lies deep in them. No task and not the
+    driver holds the rows before the page; what is collected is a size for each range.
+    """
+    spark, total = rows.sparkSession, None
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])
+    keys, smaller = sort_keys(rows, sorts, tie), True
+    while total is None or (offset + limit > shallow and smaller):
+        path = staged_folder(spark, "pages")
+        rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+        written = spark.read.schema(schema).parquet(path)
+        sizes = {r["_range"]: r["n"] for r in written.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a range
+        before, inside, first = 0, [], 0
+        for k in sorted(sizes):
+            if before < offset + limit and before + sizes[k] > offset:
+                first = first if inside else before
+                inside.append(k)
+            before += sizes[k]
+        total, smaller = before if total is None else total, sum(sizes[k] for k in inside) < before
+        rows, offset = written.filter(F.col("_range").isin(inside)).drop("_range"), offset - first
+    return rows.orderBy(*keys).offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long"))
 
 
 def page_by_group(rows: DataFrame, group: str, sort: str, descending: bool, offset: int, limit: int) -> DataFrame:

@@ -118,17 +118,27 @@ def lttb(rows: DataFrame, n: int = 1000, time_col: str = "scan_time", value_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            times, values = batch.column(names.index(time_col)).to_pylist(), batch.column(names.index(value_col)).to_pylist()
-            for k, (t, y) in enumerate(zip(times, values, strict=True)):
-                if t is not None and y is not None and n > 2 and len(t) > n and len(t) >= least:
-                    keep = lttb_points(np.array(t, float), np.nan_to_num(np.array(y, float)), n)
-                    times[k], values[k] = [t[j] for j in keep], [y[j] for j in keep]
+            lists = [batch.column(names.index(c)) for c in (time_col, value_col)]
+            sizes = [c.value_lengths().fill_null(0).to_numpy() for c in lists]
+            times, values = (c.flatten() for c in lists)
+            t, y = (np.asarray(v.to_numpy(zero_copy_only=False), float) for v in (times, values))
+            start = np.cumsum(sizes[0]) - sizes[0]
+            keep = np.ones(len(t), bool)
+            if len(t) == len(y):
+                for k in np.flatnonzero((sizes[0] == sizes[1]) & (sizes[0] > n) & (sizes[0] >= least)):
+                    part = slice(start[k], start[k] + sizes[0][k])
+                    keep[part] = False
+                    keep[start[k] + lttb_points(t[part], np.nan_to_num(y[part]), n)] = True
+            if keep.all():
+                yield batch
+                continue
+            offsets = pa.array(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([start, [len(t)]])], pa.int32())
             columns = list(batch.columns)
-            for name, value in ((time_col, times), (value_col, values)):
-                columns[names.index(name)] = pa.array(value, batch.schema.field(names.index(name)).type)
+            for name, old, flat in zip((time_col, value_col), lists, (times, values), strict=True):
+                columns[names.index(name)] = pa.ListArray.from_arrays(offsets, flat.filter(pa.array(keep)), type=old.type, mask=old.is_null())
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows if n <= 2 else rows.mapInArrow(run, rows.schema)
 
 
 def has_visible_points(traces: DataFrame, keys: list[str], baseline: float = 1.0, width: int = 3) -> DataFrame:
@@ -137,10 +147,17 @@ def has_visible_points(traces: DataFrame, keys: list[str], baseline: float = 1.0
 
 
 def top_contrast_samples(traces: DataFrame, n: int = 5) -> DataFrame:
-    """per peak the n files with the largest max - min of intensity, ties by file."""
+    """per peak the n files with the largest max - min of intensity, ties by file.
+
+    The n best of each part of a peak's files are ranked, at most 256 n: no task sorts all files of a peak.
+    """
     span = (F.array_max("intensity") - F.array_min("intensity")).alias("contrast")
-    order = Window.partitionBy("peak_label").orderBy(F.desc_nulls_last("contrast"), "ms_file_label")
-    return traces.select("peak_label", "ms_file_label", span).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    spans = traces.select("peak_label", "ms_file_label", span)
+    order = [F.desc_nulls_last("contrast"), F.col("ms_file_label")]
+    parts = spans.withColumn("_part", F.pmod(F.xxhash64("ms_file_label"), F.lit(256)))
+    near = parts.withColumn("_own", F.row_number().over(Window.partitionBy("peak_label", "_part").orderBy(*order))).filter(F.col("_own") <= n)
+    place = F.row_number().over(Window.partitionBy("peak_label").orderBy(*order))
+    return near.withColumn("place", place).filter(F.col("place") <= n).select("peak_label", "ms_file_label", "contrast", "place")
 
 
 def group_neighbors(samples: DataFrame, group: str, n: int = 10, seed: int = 0) -> DataFrame:

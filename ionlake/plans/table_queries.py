@@ -155,6 +155,13 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
     return global_rank(rows, R.sort_keys(rows, [("polarity", "ascend"), ("rt", "descend")], "row_no"), "place").select("row_no", "place")
 
 
+# A page at nine tenths of the rows, looked for by ranges.
+@query("d7_deep_page", "WITH n AS (SELECT event_id, event_type, value, row_number() OVER (ORDER BY lower(event_type) DESC NULLS FIRST, value, event_id) AS k, count(*) OVER () AS total FROM events) SELECT event_id, event_type, value, total FROM n WHERE k > total * 9 // 10 AND k <= total * 9 // 10 + 25")
+def d7_deep(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.table(spark, d, "events").select("event_id", "event_type", "value")
+    return R.page(rows, [("event_type", "descend"), ("value", "ascend")], "event_id", rows.count() * 9 // 10, 25, shallow=1000)
+
+
 @query("d9_page_by_group", "WITH g AS (SELECT peak_label, max(v) AS best FROM long_results GROUP BY 1), p AS (SELECT peak_label, row_number() OVER (ORDER BY best DESC NULLS FIRST, peak_label) AS group_place FROM g QUALIFY group_place BETWEEN 2 AND 3) SELECT r.peak_label, r.ms_file_label, r.n, CAST(group_place AS INTEGER) AS group_place, (SELECT count(*) FROM g) AS n_groups FROM long_results r JOIN p USING (peak_label)", "long_results")
 def d9(spark: SparkSession, d: str) -> DataFrame:
     return R.page_by_group(V.long_results(spark, d), "peak_label", "v", True, 1, 2).select("peak_label", "ms_file_label", "n", "group_place", "n_groups")

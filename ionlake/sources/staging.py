@@ -20,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged_at(df: DataFrame, name: str) -> str:
     """Where ``df`` has been written, in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = staged_folder(df.sparkSession, name)
     df.write.parquet(path)
     return path
 

@@ -553,6 +553,29 @@ def test_pca_of_many_columns(spark):
     assert loadings.shape == (width, 3) and np.allclose(ratio, (s**2 / (s**2).sum())[:3], atol=1e-8) and scores.count() == n
 
 
+def test_deep_pages(spark):
+    rows = spark.range(5000).select("id", (F.hash("id") % 7).alias("a"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("Xy"), F.hash("id") % 3)).alias("b"))
+    for sorts in ([("a", "descend"), ("b", "ascend")], [("b", "descend")], [("id", "ascend")]):
+        every = rows.orderBy(*R.sort_keys(rows, sorts, "id")).collect()
+        for offset, limit in ((0, 10), (137, 20), (4490, 30), (4990, 30), (4999, 1), (5000, 10), (9000, 10), (1200, 700)):
+            for shallow in (50, 1):
+                got = R.page(rows, sorts, "id", offset, limit, shallow).collect()
+                assert [r["id"] for r in got] == [r["id"] for r in every[offset : offset + limit]] and {r["total"] for r in got} <= {5000}
+            if limit != 30:
+                break
+    assert R.page(rows.limit(0), [("id", "ascend")], "id", 100, 10, 5).count() == 0
+    assert R.page(rows, [("absent", "ascend")], "absent", 100, 10, 5).count() == 10
+
+
+def test_thinning_keeps_nulls_and_short_traces(spark):
+    rows = spark.createDataFrame([("a", [float(k) for k in range(30)], [float(k % 7) for k in range(30)]), ("b", None, None), ("c", [1.0, 2.0], [3.0, None]), ("d", [], []), ("e", [float(k) for k in range(40)], [None if k % 2 else float(k) for k in range(40)])], "k string, scan_time array<double>, intensity array<double>")
+    got = {r["k"]: r for r in X.lttb(rows, 6).collect()}
+    keep = X.lttb_points(np.arange(30.0), np.arange(30.0) % 7, 6)
+    assert got["a"]["scan_time"] == keep.tolist() and got["a"]["intensity"] == (keep % 7).tolist()
+    assert got["b"]["scan_time"] is None and got["c"]["intensity"] == [3.0, None] and got["d"]["scan_time"] == [] and len(got["e"]["scan_time"]) == 6
+    assert X.lttb(rows, 2).count() == 5 and X.lttb(rows.limit(0), 6).count() == 0
+
+
 def test_saved_table(spark, tmp_path):
     rows = spark.createDataFrame([(f"f{k % 40}", f"p{k % 7}", k, None if k % 3 else [float(k)]) for k in range(400)], "ms_file_label string, peak_label string, n int, v array<double>")
     table = SavedTable(spark, f"file://{tmp_path}/t").create(rows, "ms_file_label", 16)
