@@ -1,4 +1,4 @@
-"""Retention-time optimisation, alignment and envelopes (section H), and the peak fit."""
+"""Alignment and envelopes (section H) and the peak fit (G6, G7); combined traces and spans (H1 to H3) are in ``combined``."""
 
 from __future__ import annotations
 
@@ -10,12 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionlake.operators.combined import combine_traces, optimize_rt_spans  # noqa: F401  (H1 to H3)
 from ionlake.operators.traces import first_max, pairs, slice_window
 
-#: Fixed values of span detection: search window, share of the height, least and most width, smoothing.
-APEX_WINDOW, SHARE, LEAST_WIDTH, MOST_WIDTH, SIGMA = 15.0, 0.10, 5.0, 120.0, 2.0
-
-
 # ------------------------------------------------------------------ H4-H7
 def apex_time(low: Column, high: Column) -> Column:
     """Time of the first largest point in the window, or null."""
@@ -85,148 +82,6 @@ def envelope(traces: DataFrame, targets: DataFrame, samples: DataFrame, bins: in
     return out.join(files, ["peak_label", "sample_type"])
 
 
-# ------------------------------------------------------------------ H1-H3
-def smooth(y: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian filter; the signal is mirrored at its ends."""
-    radius = int(4 * sigma + 0.5)
-    k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    padded = y
-    while len(padded) < len(y) + 2 * radius:
-        extra = min(len(padded), (len(y) + 2 * radius - len(padded) + 1) // 2)
-        padded = np.concatenate([padded[:extra][::-1], padded, padded[-extra:][::-1]])
-    start = (len(padded) - len(y)) // 2 - radius
-    return np.convolve(padded, k / k.sum(), mode="valid")[start : start + len(y)]
-
-
-def rt_span(t: np.ndarray, y: np.ndarray, expected: float) -> tuple[float, float, float]:
-    """H2: (rt_min, rt_max, apex) around the largest smoothed point near the expected time."""
-    if len(t) < 3:
-        return expected - LEAST_WIDTH / 2, expected + LEAST_WIDTH / 2, expected
-    order = np.argsort(t, kind="stable")
-    t, y = np.asarray(t, float)[order], np.asarray(y, float)[order]
-    s = smooth(y) if len(y) > 5 else y
-    near = np.abs(t - expected) <= APEX_WINDOW
-    near = near if near.any() else np.ones(len(t), bool)
-    top = int(np.argmax(np.where(near, s, -np.inf)))
-    if s[top] <= 0:
-        return expected - LEAST_WIDTH / 2, expected + LEAST_WIDTH / 2, expected
-    base = s[near].min()
-    under = np.flatnonzero(s < base + SHARE * (s[top] - base))
-    left, right = under[under < top], under[under > top]
-    low, high = t[left[-1]] if len(left) else t[0], t[right[0]] if len(right) else t[-1]
-    if high - low < LEAST_WIDTH:
-        grow = (LEAST_WIDTH - (high - low)) / 2
-        low, high = low - grow, high + grow
-    elif high - low > MOST_WIDTH:
-        low, high = t[top] - MOST_WIDTH / 2, t[top] + MOST_WIDTH / 2
-    return float(max(low, t[0])), float(min(high, t[-1])), float(t[top])
-
-
-#: Values that one task of a combined trace computes, about.
-TASK_VALUES = 20_000_000
-
-
-def _combine_segments(grid: np.ndarray, segments: pd.DataFrame, usable: int, method: str) -> np.ndarray:
-    """Combined value at each grid time; segments (t0, y0, t1, y1, last) are half open but for a trace's last, files one after another."""
-    t0, y0, t1, y1 = (segments[c].to_numpy() for c in ("t0", "y0", "t1", "y1"))
-    low = np.searchsorted(grid, t0, "left")
-    high = np.where(segments["last"].to_numpy().astype(bool), np.searchsorted(grid, t1, "right"), np.searchsorted(grid, t1, "left"))
-    count = np.maximum(high - low, 0)
-    covered = np.zeros(len(grid), np.int64)
-    total = np.full(len(grid), -np.inf) if method == "max" else np.zeros(len(grid))
-    at, kept = 0, []
-    ends = np.cumsum(count)
-    while at < len(count):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
-        n = count[at:to]
-        seg = np.repeat(np.arange(at, to), n)
-        idx = low[seg] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        share = np.divide(grid[idx] - t0[seg], t1[seg] - t0[seg], out=np.ones(len(seg)), where=t1[seg] > t0[seg])
-        value = y0[seg] + (y1[seg] - y0[seg]) * share
-        np.add.at(covered, idx, 1)
-        if method == "max":
-            np.maximum.at(total, idx, value)
-        elif method == "mean":
-            np.add.at(total, idx, value)
-        else:
-            kept.append((idx, value))
-        at = to
-    if method == "max":
-        return np.where(covered < usable, np.maximum(total, 0), total)
-    if method == "mean":
-        return total / usable
-    idx, value = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0))
-    order = np.lexsort((value, idx))
-    idx, value = idx[order], value[order]
-    first = np.searchsorted(idx, np.arange(len(grid)))
-    below = np.searchsorted(idx, np.arange(len(grid)), "left") + np.bincount(idx[value < 0], minlength=len(grid)) - first
-    zeros = usable - covered
-
-    def ranked(k: np.ndarray) -> np.ndarray:
-        """The k-th smallest value at each time, where files that don't cover it count as 0."""
-        own = first + np.where(k < below, k, k - zeros)
-        inside = (k >= below) & (k < below + zeros)
-        return np.where(inside, 0.0, value[np.clip(own, 0, max(len(value) - 1, 0))] if len(value) else 0.0)
-
-    k = np.full(len(grid), usable)
-    return (ranked((k - 1) // 2) + ranked(k // 2)) / 2
-
-
-def combine_traces(traces: DataFrame, method: str = "max") -> DataFrame:
-    """H1: one combined trace per peak, on the union of its files' times; files count as 0 outside their own.
-
-    A peak is cut into equal ranges of time, as many as its values ask for. A task has the times of a
-    range and the files' segments that reach into it. A single trace stays as it is; traces of
-    one point give their time only; ``method`` is max, mean or median.
-    """
-    pairs_ = F.zip_with("scan_time", "intensity", lambda t, i: F.struct(t.cast("double").alias("t"), i.cast("double").alias("i")))
-    rows = traces.select("peak_label", "ms_file_label", pairs_.alias("p"))
-    stats = rows.groupBy("peak_label").agg(
-        F.count(F.lit(1)).alias("n_traces"), F.count_if(F.size("p") > 1).alias("usable"), F.sum(F.size("p")).alias("n"), F.min(F.array_min("p.t")).alias("lo"), F.max(F.array_max("p.t")).alias("hi")
-    )
-    bins = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * F.col("usable") / TASK_VALUES))).cast("int")
-    stats = stats.withColumn("bins", bins).withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins"))
-    single = rows.join(stats.filter("n_traces = 1").select("peak_label"), "peak_label", "left_semi").select("peak_label", F.col("p.t").alias("scan_time"), F.col("p.i").alias("intensity"))
-    many = rows.join(stats.filter("n_traces > 1").select("peak_label", "usable", "lo", "bins", "width"), "peak_label")
-    bin_of = lambda t: F.when(F.col("width") > 0, F.least(F.col("bins") - 1, F.floor((t - F.col("lo")) / F.col("width")).cast("int"))).otherwise(F.lit(0))
-    none = F.lit(None).cast("double")
-    times = many.select("peak_label", "usable", "lo", "bins", "width", F.explode("p.t").alias("t0"))
-    times = times.select("peak_label", "usable", bin_of(F.col("t0")).alias("bin"), F.lit(None).cast("string").alias("file"), "t0", none.alias("y0"), none.alias("t1"), none.alias("y1"), F.lit(False).alias("last")).distinct()
-    n = F.size("p")
-    steps = F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n), lambda a, b: F.struct(a["t"].alias("t0"), a["i"].alias("y0"), b["t"].alias("t1"), b["i"].alias("y1")))
-    segments = many.filter(n > 1).select("peak_label", "usable", "lo", "bins", "width", F.col("ms_file_label").alias("file"), n.alias("n"), F.posexplode(steps).alias("k", "s"))
-    segments = segments.select("peak_label", "usable", F.explode(F.sequence(bin_of(F.col("s.t0")), bin_of(F.col("s.t1")))).alias("bin"), "file", "s.*", (F.col("k") == F.col("n") - 2).alias("last"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        usable = int(pdf["usable"].iloc[0])
-        grid = np.unique(pdf.loc[pdf["file"].isna(), "t0"].to_numpy())
-        value = _combine_segments(grid, pdf[pdf["file"].notna()].sort_values(["file", "t0", "t1"], kind="stable"), usable, method)
-        return pd.DataFrame({"peak_label": [pdf["peak_label"].iloc[0]], "bin": [int(pdf["bin"].iloc[0])], "t": [grid.tolist()], "i": [value.tolist()]})
-
-    parts = times.unionByName(segments.select(*times.columns)).filter("usable > 0").groupBy("peak_label", "bin").applyInPandas(run, "peak_label string, bin int, t array<double>, i array<double>")
-    whole = parts.groupBy("peak_label").agg(F.array_sort(F.collect_list(F.struct("bin", "t", "i"))).alias("r"))
-    empty = F.array().cast("array<double>")
-    bare = stats.filter("n_traces > 1 AND usable = 0").select("peak_label", empty.alias("scan_time"), empty.alias("intensity"))
-    return whole.select("peak_label", F.flatten("r.t").alias("scan_time"), F.flatten("r.i").alias("intensity")).unionByName(single).unionByName(bare)
-
-
-def optimize_rt_spans(traces: DataFrame, targets: DataFrame) -> DataFrame:
-    """H3: rt, rt_min, rt_max of the flagged targets from their combined traces; targets without traces and others stay as they are."""
-    flagged = targets.filter(F.coalesce("rt_auto_adjusted", F.lit(False))).select("peak_label", F.col("rt").alias("expected"))
-    combined = combine_traces(traces.join(flagged.select("peak_label"), "peak_label", "left_semi"), "max").join(flagged, "peak_label")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [rt_span(np.asarray(t), np.asarray(i), float(np.median(t)) if e is None or e != e else float(e)) for t, i, e in zip(b["scan_time"], b["intensity"], b["expected"], strict=True) if len(t)]
-            labels = [x for x, t in zip(b["peak_label"], b["scan_time"], strict=True) if len(t)]
-            yield pd.DataFrame({"peak_label": labels, "_lo": [f[0] for f in found], "_hi": [f[1] for f in found], "_rt": [f[2] for f in found]})
-
-    spans = combined.mapInPandas(run, "peak_label string, _lo double, _hi double, _rt double")
-    out = targets.join(spans, "peak_label", "left")
-    done = F.col("_rt").isNotNull()
-    return out.withColumns({"rt": F.coalesce("_rt", "rt"), "rt_min": F.coalesce("_lo", "rt_min"), "rt_max": F.coalesce("_hi", "rt_max"), "rt_auto_adjusted": F.when(done, False).otherwise(F.col("rt_auto_adjusted"))}).drop("_lo", "_hi", "_rt")
-
-
 # ------------------------------------------------------------------ G6, G7
 # Chebyshev fit of the scaled complementary error function, relative error 1.2e-7.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)

@@ -54,10 +54,13 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"rt": F.round("rt", 0), "mean_int": F.round("mean_int", 9)})
 
 
-@query("h1_combine_traces", """WITH k AS (SELECT *, row_number() OVER w AS k, lead(scan_time) OVER w AS t1, lead(intensity) OVER w AS y1, count(*) OVER (PARTITION BY peak_label, ms_file_label) AS size FROM trace_points WINDOW w AS (PARTITION BY peak_label, ms_file_label ORDER BY scan_time, event_id)),
+COMBINED = """k AS (SELECT *, row_number() OVER w AS k, lead(scan_time) OVER w AS t1, lead(intensity) OVER w AS y1, count(*) OVER (PARTITION BY peak_label, ms_file_label) AS size FROM trace_points WINDOW w AS (PARTITION BY peak_label, ms_file_label ORDER BY scan_time, event_id)),
     grid AS (SELECT DISTINCT peak_label, scan_time AS t FROM trace_points), usable AS (SELECT peak_label, count(DISTINCT ms_file_label) AS usable FROM k WHERE size > 1 GROUP BY 1),
     on_grid AS (SELECT g.peak_label, g.t, CASE WHEN k.t1 > k.scan_time THEN k.intensity + (k.y1 - k.intensity) * ((g.t - k.scan_time) / (k.t1 - k.scan_time)) ELSE k.y1 END AS y FROM grid g LEFT JOIN k ON k.peak_label = g.peak_label AND k.size > 1 AND k.t1 IS NOT NULL AND g.t >= k.scan_time AND (g.t < k.t1 OR g.t = k.t1 AND k.k = k.size - 1)),
-    top AS (SELECT o.peak_label, t, CASE WHEN count(y) < any_value(usable) THEN greatest(coalesce(max(y), 0), 0) ELSE max(y) END AS y FROM on_grid o JOIN usable USING (peak_label) GROUP BY 1, 2)
+    top AS (SELECT o.peak_label, t, CASE WHEN count(y) < any_value(usable) THEN greatest(coalesce(max(y), 0), 0) ELSE max(y) END AS y FROM on_grid o JOIN usable USING (peak_label) GROUP BY 1, 2)"""
+
+
+@query("h1_combine_traces", f"""WITH {COMBINED}
     SELECT peak_label, count(*) AS n, max(y) AS top, round(sum(y), 2) AS total FROM top GROUP BY 1""", "trace_points")
 def h1(spark: SparkSession, d: str) -> DataFrame:
     out = H.combine_traces(V.traces(spark, d), "max")
@@ -65,7 +68,19 @@ def h1(spark: SparkSession, d: str) -> DataFrame:
     return out.select("peak_label", F.size("scan_time").cast("long").alias("n"), F.array_max("intensity").alias("top"), F.round(total, 2).alias("total"))
 
 
-@query("h2_h3_optimize_rt_spans")
+# The smoothing takes 8 points on both sides, mirrored at the ends; without a point near the expected time all are looked at.
+@query("h2_h3_optimize_rt_spans", f"""WITH {COMBINED},
+    wanted AS (SELECT peak_label, 900000.0::DOUBLE AS expected FROM trace_targets WHERE intensity_threshold > 4),
+    placed AS (SELECT peak_label, t, y, row_number() OVER (PARTITION BY peak_label ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY peak_label) AS n FROM top JOIN wanted USING (peak_label)),
+    kernel AS (SELECT d, exp(-0.5 * (d / 2.0) * (d / 2.0)) / sum(exp(-0.5 * (d / 2.0) * (d / 2.0))) OVER () AS w FROM range(-8, 9) r(d)),
+    asked AS (SELECT peak_label, k, t, w, CASE WHEN (k + d + 2 * n) % (2 * n) < n THEN (k + d + 2 * n) % (2 * n) ELSE 2 * n - 1 - (k + d + 2 * n) % (2 * n) END AS other FROM placed CROSS JOIN kernel),
+    smooth AS (SELECT a.peak_label, a.k, a.t, sum(w * b.y) AS s FROM asked a JOIN placed b ON b.peak_label = a.peak_label AND b.k = a.other GROUP BY 1, 2, 3),
+    near AS (SELECT *, abs(t - expected) <= 15 OR NOT bool_or(abs(t - expected) <= 15) OVER (PARTITION BY peak_label) AS near FROM smooth JOIN wanted USING (peak_label)),
+    best AS (SELECT peak_label, k AS top_at, t AS apex, s AS height, base + 0.1 * (s - base) AS least FROM (SELECT *, min(s) OVER (PARTITION BY peak_label) AS base FROM near WHERE near) QUALIFY row_number() OVER (PARTITION BY peak_label ORDER BY s DESC, k) = 1),
+    ends AS (SELECT b.peak_label, apex, min(t) AS t_first, max(t) AS t_last, coalesce(max(CASE WHEN k < top_at AND s < least THEN t END), min(t)) AS lo, coalesce(min(CASE WHEN k > top_at AND s < least THEN t END), max(t)) AS hi FROM best b JOIN smooth s USING (peak_label) GROUP BY 1, 2)
+    SELECT g.peak_label, coalesce(apex, 900000.0) AS rt, CASE WHEN apex IS NULL THEN g.rt_min ELSE greatest(CASE WHEN hi - lo < 5 THEN lo - (5 - (hi - lo)) / 2 WHEN hi - lo > 120 THEN apex - 60 ELSE lo END, t_first) END AS rt_min,
+           CASE WHEN apex IS NULL THEN g.rt_max ELSE least(CASE WHEN hi - lo < 5 THEN hi + (5 - (hi - lo)) / 2 WHEN hi - lo > 120 THEN apex + 60 ELSE hi END, t_last) END AS rt_max, intensity_threshold > 4 AND apex IS NULL AS rt_auto_adjusted
+    FROM trace_targets g LEFT JOIN ends USING (peak_label)""", "trace_points trace_targets")
 def h3(spark: SparkSession, d: str) -> DataFrame:
     targets = V.trace_targets(spark, d).withColumns({"rt": F.lit(900000.0), "rt_auto_adjusted": F.col("intensity_threshold") > 4})
     return H.optimize_rt_spans(V.traces(spark, d), targets).select("peak_label", "rt", "rt_min", "rt_max", "rt_auto_adjusted")

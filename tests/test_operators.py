@@ -15,6 +15,7 @@ from ionlake.functions import names as N
 from ionlake.operators import analysis as A
 from ionlake.operators import browse as R
 from ionlake.operators import calibrate as J
+from ionlake.operators import combined
 from ionlake.operators import extract as E
 from ionlake.operators import integrate as G
 from ionlake.operators import rt as H
@@ -100,14 +101,61 @@ def test_alignment(spark):
     assert {r["sample_type"]: r["shift"] for r in H.shift_by_sample_type(found, types).collect()} == {"X": 0, "Y": 0}
 
 
-def test_rt_span():
+def spans_of(spark, traces, task_values=None):
+    """(rt_min, rt_max, rt) by label of [(label, file, t, y, expected)]."""
+    rows = spark.createDataFrame([(k, f, [float(x) for x in t], [float(x) for x in y]) for k, f, t, y, _ in traces], "peak_label string, ms_file_label string, scan_time array<double>, intensity array<double>")
+    targets = spark.createDataFrame([(k, e, True) for k, e in {k: e for k, _, _, _, e in traces}.items()], "peak_label string, rt double, rt_auto_adjusted boolean").withColumns({"rt_min": F.lit(None).cast("double"), "rt_max": F.lit(None).cast("double")})
+    return {r["peak_label"]: (r["rt_min"], r["rt_max"], r["rt"]) for r in H.optimize_rt_spans(rows, targets, task_values).collect()}
+
+
+def test_rt_span(spark):
     t = np.arange(0, 60, 0.5)
-    low, high, apex = H.rt_span(t, np.exp(-((t - 30) ** 2) / (2 * 3.0**2)) * 1000, 30)
+    found = spans_of(spark, [
+        ("peak", "f", t, np.exp(-((t - 30) ** 2) / (2 * 3.0**2)) * 1000, 30.0), ("one", "f", [1.0], [5.0], 10.0), ("flat", "f", t, np.zeros(len(t)), 10.0),
+        ("wide", "f", np.arange(500.0), np.full(500, 10.0) + np.exp(-((np.arange(500.0) - 250) ** 2) / 2e4), 250.0), ("middle", "f", [3.0, 1.0, 2.0], [0.0, 0.0, 0.0], None), ("none", "f", [], [], 4.0),
+    ])
+    low, high, apex = found["peak"]
     assert abs(apex - 30) <= 0.5 and 20 < low < 27 and 33 < high < 40
-    assert H.rt_span(np.array([1.0]), np.array([5.0]), 10) == (7.5, 12.5, 10)
-    assert H.rt_span(t, np.zeros(len(t)), 10) == (7.5, 12.5, 10)
-    wide = H.rt_span(np.arange(0, 500.0), np.full(500, 10.0) + np.exp(-((np.arange(500.0) - 250) ** 2) / 2e4), 250)
-    assert wide[1] - wide[0] <= 120
+    assert found["one"] == found["flat"] == (7.5, 12.5, 10) and found["middle"] == (-0.5, 4.5, 2.0) and found["none"] == (None, None, 4.0)
+    assert found["wide"][1] - found["wide"][0] <= 120
+
+
+def plain_span(t, y, expected):
+    """The span of a whole trace by its definition, smoothing point by point."""
+    n, w = len(t), combined.weights()
+    at = lambda k: y[k % (2 * n)] if k % (2 * n) < n else y[2 * n - 1 - k % (2 * n)]
+    s = np.array([sum(w[j + 8] * at(k + j) for j in range(-8, 9)) for k in range(n)]) if n > 5 else y
+    near = [k for k in range(n) if abs(t[k] - expected) <= 15] or list(range(n))
+    top = max(near, key=lambda k: (s[k], -k))
+    least = min(s[k] for k in near)
+    least += 0.1 * (s[top] - least)
+    low = next((t[k] for k in range(top - 1, -1, -1) if s[k] < least), t[0])
+    high = next((t[k] for k in range(top + 1, n) if s[k] < least), t[-1])
+    if high - low < 5:
+        low, high = (low + high) / 2 - 2.5, (low + high) / 2 + 2.5
+    elif high - low > 120:
+        low, high = t[top] - 60, t[top] + 60
+    return max(low, t[0]), min(high, t[-1]), t[top]
+
+
+def test_spans_in_pieces(spark):
+    rng = np.random.default_rng(12)
+    traces, wanted = [], {}
+    for k, (files, n, scale) in enumerate([(3, 40, 60), (4, 200, 900), (2, 3, 30), (5, 60, 20), (3, 12, 4000)]):
+        own = []
+        for f in range(files):
+            # Most times of a peak lie close together.
+            t = np.unique(np.round(np.concatenate([rng.uniform(0, scale, n // 4 + 1), rng.uniform(scale * 0.4, scale * 0.45, n)]), 3))
+            own.append((t, rng.uniform(0, 5, len(t)) + 100 * np.exp(-((t - scale * 0.42) ** 2) / (2 * (scale / 30) ** 2))))
+            traces.append((f"p{k}", None if f == 0 else f"f{f}", *own[-1], scale * 0.5))
+        grid = np.unique(np.concatenate([t for t, _ in own]))
+        wanted[f"p{k}"] = plain_span(grid, np.array([np.interp(grid, t, y, left=0, right=0) for t, y in own]).max(0), scale * 0.5)
+    for task_values in (None, 200, 37, 2):
+        found = spans_of(spark, traces, task_values)
+        assert all(np.allclose(found[p], wanted[p], atol=1e-9) for p in wanted), task_values
+    rows = spark.createDataFrame([(p, f, t.tolist(), y.tolist()) for p, f, t, y, _ in traces], "peak_label string, ms_file_label string, scan_time array<double>, intensity array<double>")
+    sizes = [len(r["t"]) for r in combined.combined_pieces(rows.filter("peak_label = 'p1'"), "max", 37).collect()]
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 4  # the dense range is many pieces
 
 
 def test_combine_traces(spark):
@@ -173,8 +221,8 @@ def test_combined_traces_equal_numpy(spark, monkeypatch):
     rows = spark.createDataFrame([("P", f, t.tolist(), y.tolist()) for f, (t, y) in own.items()] + [("one", "f", [3.0, 1.0], [1.0, 2.0]), ("bare", "f", [1.0], [2.0]), ("bare", "g", [2.0], [2.0])], schema)
     grid = np.unique(np.concatenate([t for t, _ in own.values()]))
     values = np.array([np.interp(grid, t, y, left=0, right=0) for t, y in own.values() if len(t) > 1])
-    for values_a_task in (H.TASK_VALUES, 60):
-        monkeypatch.setattr(H, "TASK_VALUES", values_a_task)
+    for values_a_task in (combined.TASK_VALUES, 60):
+        monkeypatch.setattr(combined, "TASK_VALUES", values_a_task)
         for method, wanted in (("max", values.max(0)), ("mean", values.mean(0)), ("median", np.median(values, 0))):
             got = {r["peak_label"]: r for r in H.combine_traces(rows, method).collect()}
             assert np.allclose(got["P"]["scan_time"], grid) and np.allclose(got["P"]["intensity"], wanted), method
