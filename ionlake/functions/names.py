@@ -99,14 +99,17 @@ METADATA = {"ms_file_label": "string", "label": "string", "color": "string", "us
 
 
 def read_metadata(parts: list[DataFrame]) -> DataFrame:
-    """Metadata tables in order, the first row of each file, all known columns and no others."""
+    """Metadata tables in order, the first row of each file, all known columns and no others.
+
+    Rows of a table are in the order of its column ``source_order`` (see ``readers.in_source_order``), or as Spark reads them.
+    """
     ready = []
     for k, part in enumerate(parts):
         if "ms_file_label" not in part.columns:
             raise ValueError("Missing required columns: ms_file_label")
         cast = [F.col(c).cast(t).alias(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in METADATA.items()]
         given = [c for c in ("use_for_optimization", "use_for_processing") if c in part.columns]
-        ready.append(part.select(*cast, F.lit(k).alias("_part"), F.monotonically_increasing_id().alias("_row")).withColumns({c: F.coalesce(c, F.lit(True)) for c in given}))
+        ready.append(part.select(*cast, F.lit(k).alias("_part"), (F.col("source_order") if "source_order" in part.columns else F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.monotonically_increasing_id().alias("row"))).alias("_row")).withColumns({c: F.coalesce(c, F.lit(True)) for c in given}))
     rows = reduce(lambda a, b: a.unionByName(b), ready)
     first = Window.partitionBy("ms_file_label").orderBy("_part", "_row")
     out = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_part", "_row")

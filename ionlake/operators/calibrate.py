@@ -1,8 +1,8 @@
 """Calibration curves and concentrations (section J).
 
-A peak's standards are a sorted array inside one row, as many as the standards table has for the
-peak; the linear range is a fold that drops the worse end until the fit is good, in expressions,
-linear in the array, with no grouped Python.
+The standards of a peak, up to a number, are a sorted array inside one row; the linear range is a fold
+that drops the worse end until the fit is good, in expressions, linear in the array, with no grouped
+Python. Peaks with more standards are searched in ``large_standards``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionlake.operators.large_standards import large_curves
+
 RESIDUAL, END = 0.01, 0.2
 FIXED, FREE, BOUNDED = "fixed", "free", "bounded"
 
@@ -115,18 +117,38 @@ def linear_range(points: Column, mode: str = FIXED, interval: tuple[float, float
     return bind(kept, lambda q: F.struct(q.alias("points"), fit(q, mode, interval).alias("fit")))
 
 
+#: Standards of a peak up to which they are an array of one row.
+MANY = 200_000
+
+
 def calibration_curves(training: DataFrame, mode: str = FIXED, interval: tuple[float, float] = (0.85, 1.15)) -> DataFrame:
-    """Per peak slope, intercept, linear range of log concentration, points, residual, LLOQ, ULOQ."""
+    """Per peak slope, intercept, linear range of log concentration, points, residual, LLOQ, ULOQ.
+
+    Peaks with more than MANY standards are searched from both ends of written ranges; the others' standards are arrays.
+    """
+    good = (F.col("value") > 1e-11) & (F.col("std_conc") > 1e-11)
+    counts = training.filter(good).groupBy("peak_label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MANY).select("peak_label")
+    if counts.isEmpty():
+        return _ends_as_values(_array_curves(training, mode, interval))
+    points = training.filter(good).join(counts, "peak_label", "left_semi").select("peak_label", F.log("std_conc").alias("y"), F.log("value").alias("x"))
+    large = large_curves(points, mode, interval, RESIDUAL, END)
+    return _ends_as_values(_array_curves(training.join(counts, "peak_label", "left_anti"), mode, interval).unionByName(large))
+
+
+def _ends_as_values(curves: DataFrame) -> DataFrame:
+    return curves.withColumns({"lloq": F.exp("lin_range_min"), "uloq": F.exp("lin_range_max")})
+
+
+def _array_curves(training: DataFrame, mode: str, interval: tuple[float, float]) -> DataFrame:
     good = (F.col("value") > 1e-11) & (F.col("std_conc") > 1e-11)
     point = F.when(good, F.struct(F.log("std_conc").alias("y"), F.log("value").alias("x")))
     rows = training.groupBy("peak_label").agg(F.array_sort(F.collect_list(point)).alias("all"))
     found = rows.withColumn("found", F.when(F.size("all") > 2, linear_range(F.col("all"), mode, interval)))
     kept = F.coalesce(F.col("found.points"), F.col("all"))
-    out = found.select(
+    return found.select(
         "peak_label", F.coalesce("found.fit.slope", F.lit(1.0)).alias("slope"), F.coalesce("found.fit.intercept", F.lit(0.0)).alias("intercept"), F.get(kept, F.lit(0))["y"].alias("lin_range_min"),
         F.get(kept, F.size(kept) - 1)["y"].alias("lin_range_max"), F.size(kept).alias("n_points"), F.coalesce("found.fit.residual", F.lit(0.0)).alias("residual"),
     )
-    return out.withColumns({"lloq": F.exp("lin_range_min"), "uloq": F.exp("lin_range_max")})
 
 
 def predict_concentration(values: DataFrame, curves: DataFrame) -> DataFrame:

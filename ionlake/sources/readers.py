@@ -37,6 +37,11 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def in_source_order(rows: DataFrame) -> DataFrame:
+    """``source_order`` for rows just read from files: by file, split and row, however the files are split."""
+    return rows.withColumn("source_order", F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("row")))
+
+
 def read_feature_groups_json(spark: SparkSession, path: str) -> DataFrame:
     """An object with groups as one row a group, a list of records, or one record."""
     plain = spark.read.option("multiLine", True).json(path)

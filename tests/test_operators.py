@@ -601,6 +601,45 @@ def test_pca_of_many_columns(spark):
     assert loadings.shape == (width, 3) and np.allclose(ratio, (s**2 / (s**2).sum())[:3], atol=1e-8) and scores.count() == n
 
 
+def test_curves_of_many_standards(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = []
+    for p in range(6):
+        for k in range(300 if p < 4 else 5):
+            conc = float(np.exp(rng.uniform(-6, 9)))
+            bent = 0.0 if abs(np.log(conc)) < 3 + p else rng.normal(0, 2)
+            rows.append((f"p{p}", f"f{k}", conc * float(np.exp(rng.normal(0, 0.05) + bent)), conc))
+    rows += [("p0", "x", 0.0, 1.0), ("none", "f", 0.0, 0.0), ("two", "f", 1.0, 2.0), ("two", "g", 2.0, 4.0), ("p1", "same", 3.0, 3.0), ("p1", "same", 3.0, 3.0)]
+    training = spark.createDataFrame(rows, "peak_label string, ms_file string, value double, std_conc double")
+    for mode in (J.FIXED, J.FREE, J.BOUNDED):
+        found = {}
+        for many in (J.MANY, 10, 2):
+            monkeypatch.setattr(J, "MANY", many)
+            found[many] = {r["peak_label"]: r for r in J.calibration_curves(training, mode).collect()}
+        arrays = found.pop(max(found))
+        assert len(arrays) == 8 and any(r["n_points"] < 200 for r in arrays.values())
+        for other in found.values():
+            assert other.keys() == arrays.keys()
+            for p, r in arrays.items():
+                assert other[p]["n_points"] == r["n_points"] and all(other[p][c] == r[c] or abs(other[p][c] - r[c]) < 1e-8 for c in ("slope", "intercept", "residual", "lloq", "uloq", "lin_range_min", "lin_range_max")), (mode, p)
+        monkeypatch.undo()
+
+
+def test_metadata_rows_in_the_order_of_the_files(spark, tmp_path):
+    # The later file is larger, so Spark reads it first; splits of a few bytes.
+    (tmp_path / "a.csv").write_text("ms_file_label,label\n" + "".join(f"f{k % 5},{k}\n" for k in range(40)))
+    (tmp_path / "b.csv").write_text("ms_file_label,label\n" + "".join(f"f{k % 9},later{k}\n" for k in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        read = readers.in_source_order(spark.read.option("header", True).schema("ms_file_label string, label string").csv(str(tmp_path)))
+        got = {r["ms_file_label"]: r["label"] for r in N.read_metadata([read]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"f{k}": str(k) if k < 5 else f"later{k}" for k in range(9)}
+
+
 def test_deep_pages(spark):
     rows = spark.range(5000).select("id", (F.hash("id") % 7).alias("a"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("Xy"), F.hash("id") % 3)).alias("b"))
     for sorts in ([("a", "descend"), ("b", "ascend")], [("b", "descend")], [("id", "ascend")]):
