@@ -40,7 +40,8 @@ component is itself); a text shorter than the shingle has its whole sequence as
 one; every row is a document of its own, so repeated rows of one id and text are copies
 of each other, and rows that share an id but not a text are looked at apart, each with
 its own component; rows without an id are left out; an empty table gives an empty result;
-other columns are not looked at.
+other columns are not looked at. Very long texts are one value of a batch, all of whose words are
+hashed; sets of any size are compared in full. Ties don't matter: the smallest id of a component names it.
 """
 
 from __future__ import annotations

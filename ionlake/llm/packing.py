@@ -15,7 +15,8 @@ written to the shared folder, then packed.
 
 Edge cases: null text is the empty text, which is one piece of one end id;
 repeated rows are packed as often as they occur; an empty table gives no
-sequences; other columns of the input are not looked at.
+sequences; other columns of the input are not looked at. Very long texts are one value of a batch
+and give as many pieces as they need. Of open bins with equal room the one that was filled last takes a piece.
 """
 
 from __future__ import annotations

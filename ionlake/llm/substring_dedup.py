@@ -32,7 +32,8 @@ Edge cases: null text has no words; empty texts and texts shorter than the windo
 keep all words; a passage that repeats inside one document counts; rows are told apart by
 id and text (a 64-bit hash), so rows that share an id but not a text are documents of their
 own, and repeated rows of one id and text are copies of each other; rows without an id are
-left out; an empty table gives an empty result; other columns are not looked at.
+left out; an empty table gives an empty result; other columns are not looked at. Very long texts are
+one value of a batch and become as many segments as their words give; of equal windows all are removed.
 """
 
 from __future__ import annotations
