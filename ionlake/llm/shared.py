@@ -113,6 +113,13 @@ def passes(at: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]
         row = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, for work that makes Python objects of all rows that it sees at a time."""
+    for batch in batches:
+        for k in range(0, max(1, len(batch)), rows):
+            yield batch.slice(k, rows)
+
+
 # ---------------------------------------------------------------- bitmaps
 def in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Whether the bits that the places (int64, not negative) fall on are set; a bitmap has a power of two of bits."""

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.shared import Stage, bitmap_of, grams, in_bitmap, only, passes, text_bytes, words
+from ionlake.llm.shared import Stage, bitmap_of, grams, in_bitmap, only, passes, slices, text_bytes, words
 
 SEED = 8
 #: Distinct segments of one anchor beyond which its windows are dealt by more of their words.
@@ -126,7 +126,7 @@ def _segments(window: int):
     """Text of each anchor's segment; words are joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for i, h, t, found in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "anchors")), strict=True):
                 w = (t or "").encode().split()
@@ -254,7 +254,7 @@ def _pieces(window: int, width: int):
     """The pieces of the segments of crowded anchors, which are dealt by their cores; a piece's own gram stays its anchor's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for a, g, k, s, c in zip(*(batch.column(x).to_pylist() for x in ("anchor", "gram", "key", "segment", "copies")), strict=True):
                 for at, _, core, piece in pieces_of(s.encode(), g, window, width):
@@ -273,7 +273,7 @@ def _pieces(window: int, width: int):
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 w = (t or "").encode().split()
