@@ -277,8 +277,9 @@ def test_matrix_components_and_distances(spark):
     got = np.array([r["scores"] for r in scores.orderBy("ms_file_label").collect()])
     assert np.allclose(np.linalg.norm(got, axis=0), s) and np.allclose([r["cumulative"] for r in parts.orderBy("component").collect()], np.cumsum(s**2 / (s**2).sum()))
     assert [r["place"] for r in loadings.collect()] == [1, 2, 3] and {r["peak_label"] for r in loadings.collect()} == {"a", "b", "c"}
-    with pytest.raises(ValueError):
-        A.pca(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id long, v array<double>"), "id", "v", 2, most_width=2)
+    vectors = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(m)], "id long, v array<double>")
+    exact, wide = (A.pca(vectors, "id", "v", 2, covariance_width=w) for w in (1000, 2))  # beyond the width: without the covariance
+    assert np.allclose(exact[1], wide[1]) and np.allclose(exact[2], wide[2])
     far = {(r["a"], r["b"]): r["distance"] for r in A.sample_distances(rows, "ms_file_label", "peak_label", "v").collect()}
     assert len(far) == 30 * 29 // 2 and abs(far["f03", "f04"] - np.linalg.norm(m[3] - m[4])) < 1e-6
     apart = spark.createDataFrame([("x", "k1", 3.0), ("y", "k2", 4.0)], "a string, along string, v double")
