@@ -32,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +63,12 @@ _TABLE = crc_table()
 
 def crc_matrix(rows: np.ndarray) -> np.ndarray:
     """CRC-32 of each row of a two-dimensional array of bytes, column by column."""
-    crc = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+    crc = np.full(len(rows), 0xFFFFFFFF, "<u4")
+    low = crc.view(np.uint8)[::4]
     for column in np.ascontiguousarray(rows.T):
-        crc = _TABLE[(crc ^ column) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+        turned = _TABLE.take(low ^ column)
+        crc >>= np.uint32(8)
+        crc ^= turned
     return ~crc
 
 
@@ -108,7 +112,9 @@ def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, list[tuple[n
             out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
             number = number[: max(n, 0)]
             continue
-        _, one, number = np.unique(number, return_index=True, return_inverse=True)
+        number, distinct = pd.factorize(number)
+        one = np.empty(len(distinct), np.int64)
+        one[number[::-1]] = np.arange(n - 1, -1, -1)  # first occurrences
         ends = start[one + order - 1] + size[one + order - 1]
         bucket = crc_of_spans(data, start[one], ends - start[one]) % np.uint32(buckets)
         out.append((of[:n][inside], bucket.astype(np.int64)[number][inside]))
