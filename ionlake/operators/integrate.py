@@ -40,11 +40,12 @@ def peak_metrics(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     out = out.withColumn("_n", F.size("_i")).withColumn("_at", first_max(F.col("_i"))).withColumn("_max", F.array_max("_i"))
     # Half-even rounding of n / 2 + 1 picks the median's place, as the data model has it.
     median = F.get(F.array_sort("_i"), F.rint(F.col("_n") / 2 + 1).cast("int") - 1)
-    around = F.coalesce(F.when(F.col("_at") > 1, F.get(F.col("_i"), (F.col("_at") - 2).cast("int"))), F.lit(0.0)) + F.coalesce(F.get(F.col("_i"), F.col("_at").cast("int")), F.lit(0.0))
+    # Added in order of time: another order may end on the other side of a half.
+    top3 = F.coalesce(F.when(F.col("_at") > 1, F.get(F.col("_i"), (F.col("_at") - 2).cast("int"))), F.lit(0.0)) + F.col("_max") + F.coalesce(F.get(F.col("_i"), F.col("_at").cast("int")), F.lit(0.0))
     out = out.withColumns(
         {
             "peak_area": r0(trapezoid(F.col("_t"), F.col("_i"))),
-            "peak_area_top3": F.round(around + F.col("_max"), 0),
+            "peak_area_top3": F.round(top3, 0),
             "peak_max": r0(F.col("_max")),
             "peak_min": r0(F.array_min("_i")),
             "peak_mean": r0(F.when(F.col("_n") > 0, F.aggregate("_i", F.lit(0.0), lambda s, x: s + x) / F.col("_n"))),

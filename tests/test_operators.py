@@ -47,6 +47,12 @@ def test_empty_window_stays_with_zeros(spark):
         assert out["peak_area_top3"] is None and out["peak_rt_of_max"] is None
 
 
+def test_top3_is_added_in_order_of_time(spark):
+    # 10.99 + 67.49 + 3.02 is 81.49999999999999, but 10.99 + 3.02 + 67.49 is 81.5.
+    out = G.peak_metrics(trace(spark, [0.0, 1.0, 2.0], [10.99, 67.49, 3.02]), F.lit(0.0), F.lit(2.0)).first()
+    assert out["peak_area_top3"] == 81
+
+
 @pytest.mark.parametrize(("n", "place"), [(1, 0), (2, 2), (3, 2), (4, 3), (5, 4), (6, 4), (7, 4), (8, 5), (9, 6)])
 def test_median_place(spark, n, place):
     out = G.peak_metrics(trace(spark, [float(k) for k in range(n)], [float(k) for k in range(1, n + 1)]), F.lit(0.0), F.lit(99.0)).first()
