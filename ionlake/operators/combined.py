@@ -21,10 +21,12 @@ from ionlake.sources.staging import staged
 APEX_WINDOW, SHARE, LEAST_WIDTH, MOST_WIDTH, SIGMA = 15.0, 0.10, 5.0, 120.0, 2.0
 #: Points on both sides that the smoothing of a point looks at, and the least length that is smoothed.
 HALO, LEAST_SMOOTHED = int(4 * SIGMA + 0.5), 6
-#: Values that one task of a combined trace computes, about, and quantiles of a peak's times that cuts are taken from.
-TASK_VALUES, QUANTILES = 20_000_000, 1000
+#: Values that one task of a median computes, about, points of a piece else, and quantiles of a peak's times that cuts are taken from.
+TASK_VALUES, TASK_POINTS, QUANTILES = 20_000_000, 50_000, 1000
 
 SEGMENT = "peak_label string, usable long, piece int, file string, t0 double, y0 double, t1 double, y1 double, last boolean, alone boolean, since double, until double"
+#: A segment with an end in the piece, or (with ``covers``) what is left of so many segments that reach across all of it.
+DEALT = "peak_label string, usable long, piece int, t0 double, y0 double, t1 double, y1 double, last boolean, alone boolean, since double, until double, covers long"
 PIECE = "peak_label string, piece int, t array<double>, i array<double>"
 
 
@@ -43,8 +45,8 @@ def cuts(bins: int, quantiles: np.ndarray | None) -> np.ndarray:
 def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The segments between a trace's points, in each piece that they reach into; a trace of one point gives its time."""
     for b in batches:
-        for peak, file, usable, bins, q, t, y in zip(b["peak_label"], b["ms_file_label"], b["usable"], b["bins"], b["quantiles"], b["t"], b["i"], strict=True):
-            edges = np.concatenate([[-np.inf], cuts(bins, q), [np.inf]])
+        for peak, file, usable, cut, t, y in zip(b["peak_label"], b["ms_file_label"], b["usable"], b["cuts"], b["t"], b["i"], strict=True):
+            edges = np.concatenate([[-np.inf], cut, [np.inf]])
             t, y = np.asarray(t, float), np.asarray(y, float)
             piece = np.searchsorted(edges[1:-1], t, "right")
             n = len(t) - 1
@@ -61,36 +63,156 @@ def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"peak_label": peak, "usable": usable, "piece": at.astype(np.int32), "file": file, **values, "since": edges[at], "until": edges[at + 1]})
 
 
-def combine_segments(grid: np.ndarray, segments: pd.DataFrame, usable: int, method: str) -> np.ndarray:
-    """Combined value at each grid time; segments (t0, y0, t1, y1, last) are half open but for a trace's last, files one after another."""
+# Segments as lines over cells in a row (times of a grid, or pieces): each is dealt to few nodes of a binary tree
+# over the cells that it reaches across, so that no row or value is made for each segment and cell.
+def _nodes(low: np.ndarray, high: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(node, segment) by level, from the leaves up, of segments over the cells [low, high); ``size`` is a power of two."""
+    seg = np.flatnonzero(low < high)
+    left, right = low[seg] + size, high[seg] + size
+    out = []
+    while size:
+        a, b = left % 2 == 1, right % 2 == 1
+        if size == 1:
+            a, b = left < right, np.zeros(len(seg), bool)
+        out.append((np.concatenate([left[a], right[b] - 1]), np.concatenate([seg[a], seg[b]])))
+        left, right, size = (left + a) // 2, (right - b) // 2, size // 2
+        go = left < right
+        left, right, seg = left[go], right[go], seg[go]
+    return out
+
+
+def _highest(node: np.ndarray, ya: np.ndarray, yb: np.ndarray) -> np.ndarray:
+    """Places of the lines that no other line of their node is over at both ends; of equal ones, one."""
+    order = np.lexsort((-yb, -ya, node))
+    rank = np.unique(yb[order], return_inverse=True, equal_nan=True)[1].astype(np.int64)
+    start = np.concatenate([[False], np.diff(node[order]) != 0])
+    key = np.cumsum(start) * (len(rank) + 1) + rank
+    return order[np.concatenate([[True], np.maximum.accumulate(key)[:-1] < key[1:]])]
+
+
+def upper_lines(low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, at) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, segment) of the segments over the cells [low, high) that may be the largest somewhere in a cell.
+
+    A cell reaches from time ``first`` to ``last``; ``at`` gives the values of segments at times. Segments are lines,
+    so one that is under another at both ends of a node is under it in all of the node's cells.
+    """
+    size = 1 << max(0, int(len(first) - 1).bit_length())
+    node = seg = np.zeros(0, np.int64)
+    levels = _nodes(low, high, size)
+    for depth, (own, mine) in enumerate(reversed(levels)):
+        node, seg = np.concatenate([node, own]), np.concatenate([seg, mine])
+        if len(node):
+            width = size >> depth
+            cell = (node - (1 << depth)) * width
+            kept = _highest(node, at(seg, first[cell]), at(seg, last[cell + width - 1]))
+            node, seg = node[kept], seg[kept]
+        if depth < len(levels) - 1:
+            node, seg = np.concatenate([2 * node, 2 * node + 1]), np.tile(seg, 2)
+    return node - size, seg
+
+
+def summed_lines(low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, at) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over each cell's segments of their values at the cell's ``first`` and ``last`` time."""
+    size = 1 << max(0, int(len(first) - 1).bit_length())
+    times = [np.concatenate([t, np.full(size - len(t), t[-1])]) for t in (first, last)]
+    begin = end = np.zeros(1)
+    levels = _nodes(low, high, size)
+    for depth, (own, mine) in enumerate(reversed(levels)):
+        width, n = size >> depth, 1 << depth
+        ta, tb = times[0][::width], times[1][width - 1 :: width]
+        if depth:
+            whole = np.repeat(np.arange(n // 2), 2)
+            share = lambda t: np.divide(t - over[0][whole], over[1][whole] - over[0][whole], out=np.zeros(n), where=over[1][whole] > over[0][whole])  # noqa: E731, B023
+            begin, end = (begin[whole] + (end - begin)[whole] * share(t) for t in (ta, tb))
+        k = own - n
+        begin = begin + np.bincount(k, at(mine, ta[k]), n)
+        end = end + np.bincount(k, at(mine, tb[k]), n)
+        over = ta, tb
+    return begin[: len(first)], end[: len(first)]
+
+
+def values_at(t0: np.ndarray, y0: np.ndarray, t1: np.ndarray, y1: np.ndarray):
+    """The values of segments, by number, at times."""
+
+    def at(seg: np.ndarray, t: np.ndarray) -> np.ndarray:
+        share = np.divide(t - t0[seg], t1[seg] - t0[seg], out=np.ones(len(seg)), where=t1[seg] > t0[seg])
+        return y0[seg] + (y1[seg] - y0[seg]) * share
+
+    return at
+
+
+def _deal_lines(method: str):
+    """Segments of traces to the pieces that they begin or end in; what covers whole pieces as its largest lines or its sum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for peak, own in b.groupby("peak_label", sort=False, dropna=False):
+                edges = np.concatenate([[-np.inf], own["cuts"].iloc[0], [np.inf]])
+                n = np.array([len(t) for t in own["t"]])
+                t, y = (np.concatenate([np.asarray(v, float) for v in own[c]]) if len(own) else np.zeros(0) for c in ("t", "i"))
+                if not len(t):
+                    continue
+                piece, ends = np.searchsorted(edges[1:-1], t, "right"), np.cumsum(n)
+                final = np.zeros(len(t), bool)
+                final[ends[n > 0] - 1] = True
+                head, alone = np.flatnonzero(~final), ends[n == 1] - 1
+                done = final[head + 1]
+                t0, y0, t1, y1, low, high = t[head], y[head], t[head + 1], y[head + 1], piece[head], piece[head + 1]
+                apart = np.flatnonzero(low != high)
+                place, where = np.concatenate([np.arange(len(head)), apart]), np.concatenate([low, high[apart]])
+                out = [{"piece": where, "t0": t0[place], "y0": y0[place], "t1": t1[place], "y1": y1[place], "last": done[place], "alone": False, "covers": -1}]
+                out.append({"piece": piece[alone], "t0": t[alone], "y0": np.nan, "t1": np.nan, "y1": np.nan, "last": False, "alone": True, "covers": -1})
+                if (low + 1 < high).any():
+                    across = np.flatnonzero(low + 1 < high)
+                    values = values_at(t0[across], y0[across], t1[across], y1[across])
+                    a, z, inner = low[across], high[across] - 1, len(edges) - 3  # cells are the pieces but for the first and last
+                    count = np.cumsum(np.bincount(a, minlength=inner + 1) - np.bincount(z, minlength=inner + 1))[:inner]
+                    if method == "max":
+                        cell, seg = upper_lines(a, z, edges[1:-2], edges[2:-1], values)
+                        seg = across[seg]
+                        first = np.unique(cell, return_index=True)[1]
+                        covers = np.zeros(len(cell), np.int64)
+                        covers[first] = count[cell[first]]
+                        out.append({"piece": cell + 1, "t0": t0[seg], "y0": y0[seg], "t1": t1[seg], "y1": y1[seg], "last": False, "alone": False, "covers": covers})
+                    else:
+                        begin, end = summed_lines(a, z, edges[1:-2], edges[2:-1], values)
+                        cell = np.flatnonzero(count)
+                        out.append({"piece": cell + 1, "t0": edges[cell + 1], "y0": begin[cell], "t1": edges[cell + 2], "y1": end[cell], "last": False, "alone": False, "covers": count[cell]})
+                for rows in out:
+                    if len(rows["piece"]):
+                        k = rows["piece"]
+                        yield pd.DataFrame({"peak_label": peak, "usable": own["usable"].iloc[0], **rows, "piece": k.astype(np.int32), "since": edges[k], "until": edges[k + 1]})
+
+    return run
+
+
+def combine_lines(grid: np.ndarray, segments: pd.DataFrame, usable: int, method: str) -> np.ndarray:
+    """``combine_segments`` for max and mean without a value for each segment and time; rows with ``covers`` are over all of the grid."""
+    t0, y0, t1, y1, covers = (segments[c].to_numpy() for c in ("t0", "y0", "t1", "y1", "covers"))
+    low = np.where(covers < 0, np.searchsorted(grid, t0, "left"), 0)
+    high = np.where(segments["last"].to_numpy().astype(bool), np.searchsorted(grid, t1, "right"), np.searchsorted(grid, t1, "left"))
+    high = np.where(covers < 0, np.maximum(high, low), len(grid))
+    at = values_at(t0, y0, t1, y1)
+    if method == "mean":
+        return summed_lines(low, high, grid, grid, at)[0] / usable
+    own = covers < 0
+    covered = np.cumsum(np.bincount(low[own], minlength=len(grid) + 1) - np.bincount(high[own], minlength=len(grid) + 1))[: len(grid)] + covers[~own].sum()
+    cell, seg = upper_lines(low, high, grid, grid, at)
+    total = np.full(len(grid), -np.inf)
+    np.maximum.at(total, cell, at(seg, grid[cell]))
+    return np.where(covered < usable, np.maximum(total, 0), total)
+
+
+def combine_segments(grid: np.ndarray, segments: pd.DataFrame, usable: int) -> np.ndarray:
+    """Median at each grid time; segments (t0, y0, t1, y1, last) are half open but for a trace's last."""
     t0, y0, t1, y1 = (segments[c].to_numpy() for c in ("t0", "y0", "t1", "y1"))
     low = np.searchsorted(grid, t0, "left")
     high = np.where(segments["last"].to_numpy().astype(bool), np.searchsorted(grid, t1, "right"), np.searchsorted(grid, t1, "left"))
-    count = np.maximum(high - low, 0)
-    covered = np.zeros(len(grid), np.int64)
-    total = np.full(len(grid), -np.inf) if method == "max" else np.zeros(len(grid))
-    at, kept = 0, []
-    ends = np.cumsum(count)
-    while at < len(count):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
-        n = count[at:to]
-        seg = np.repeat(np.arange(at, to), n)
-        idx = low[seg] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        share = np.divide(grid[idx] - t0[seg], t1[seg] - t0[seg], out=np.ones(len(seg)), where=t1[seg] > t0[seg])
-        value = y0[seg] + (y1[seg] - y0[seg]) * share
-        np.add.at(covered, idx, 1)
-        if method == "max":
-            np.maximum.at(total, idx, value)
-        elif method == "mean":
-            np.add.at(total, idx, value)
-        else:
-            kept.append((idx, value))
-        at = to
-    if method == "max":
-        return np.where(covered < usable, np.maximum(total, 0), total)
-    if method == "mean":
-        return total / usable
-    idx, value = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0))
+    n = np.maximum(high - low, 0)
+    seg = np.repeat(np.arange(len(n)), n)
+    idx = low[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+    value = values_at(t0, y0, t1, y1)(seg, grid[idx])
+    covered = np.bincount(idx, minlength=len(grid))
     order = np.lexsort((value, idx))
     idx, value = idx[order], value[order]
     first = np.searchsorted(idx, np.arange(len(grid)))
@@ -110,28 +232,34 @@ def combine_segments(grid: np.ndarray, segments: pd.DataFrame, usable: int, meth
 def combined_pieces(traces: DataFrame, method: str = "max", task_values: int | None = None) -> DataFrame:
     """H1 in pieces (PIECE): peaks of several traces, on the union of their files' times; files count as 0 outside their own.
 
-    ``method`` is max, mean or median. Peaks whose traces all have one point give nothing.
+    ``method`` is max, mean or median. Peaks whose traces all have one point give nothing. Max and mean send each segment
+    to the pieces of its ends only and what lies between as lines, so their rows grow as the points; a median needs
+    every file's value at every time.
     """
-    per_task = TASK_VALUES if task_values is None else task_values
+    per_task, lines = TASK_VALUES if task_values is None else task_values, method != "median"
     rows = traces.select("peak_label", "ms_file_label", F.col("scan_time").cast("array<double>").alias("t"), F.col("intensity").cast("array<double>").alias("i"))
     stats = rows.groupBy("peak_label").agg(F.count(F.lit(1)).alias("n_traces"), F.count_if(F.size("t") > 1).alias("usable"), F.sum(F.size("t")).alias("n"))
-    bins = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * F.col("usable") / per_task))).cast("int")
-    stats = stats.filter("n_traces > 1 AND usable > 0").select("peak_label", "usable", bins.alias("bins"))
-    long_ = rows.join(stats.filter("bins > 1").select("peak_label"), "peak_label", "left_semi").select("peak_label", F.explode("t").alias("t"))
+    least = F.ceil(F.col("n") / min(per_task, TASK_POINTS)) if lines else F.ceil(F.col("n") * F.col("usable") / per_task)
+    stats = stats.filter("n_traces > 1 AND usable > 0").select("peak_label", "usable", F.greatest(F.lit(1), F.least(F.col("n"), least)).cast("int").alias("bins"))
+    long_ = rows.join(stats.filter("bins > 1"), "peak_label").select("peak_label", "bins", F.explode("t").alias("t"))
     shares = [k / QUANTILES for k in range(QUANTILES + 1)]
-    dense = long_.groupBy("peak_label").agg(F.percentile_approx("t", shares, 10 * QUANTILES).alias("quantiles"))
-    given = rows.join(stats, "peak_label").join(dense, "peak_label", "left")
+    dense = long_.groupBy("peak_label", "bins").agg(F.percentile_approx("t", shares, 10 * QUANTILES).alias("quantiles"))
+    cut = F.pandas_udf(lambda n, q: pd.Series([cuts(int(a), b) for a, b in zip(n, q, strict=True)]), "array<double>")
+    cut_at = dense.select("peak_label", cut("bins", "quantiles").alias("cuts"))
+    given = rows.join(stats.drop("bins"), "peak_label").join(cut_at, "peak_label", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         usable, alone = int(pdf["usable"].iloc[0]), pdf["alone"].to_numpy()
-        times = np.concatenate([pdf["t0"].to_numpy(), pdf.loc[~alone, "t1"].to_numpy()])
+        own = ~alone & (pdf["covers"].to_numpy() < 0) if lines else ~alone
+        times = np.concatenate([pdf.loc[alone | own, "t0"].to_numpy(), pdf.loc[own, "t1"].to_numpy()])
         grid = np.unique(times[(times >= pdf["since"].iloc[0]) & (times < pdf["until"].iloc[0])])
         if not len(grid):
             return pd.DataFrame(columns=["peak_label", "piece", "t", "i"], dtype=object)
-        value = combine_segments(grid, pdf[~alone].sort_values(["file", "t0", "t1"], kind="stable"), usable, method)
+        value = combine_lines(grid, pdf[~alone], usable, method) if lines else combine_segments(grid, pdf[~alone], usable)
         return pd.DataFrame({"peak_label": [pdf["peak_label"].iloc[0]], "piece": [int(pdf["piece"].iloc[0])], "t": [grid.tolist()], "i": [value.tolist()]})
 
-    return given.mapInPandas(_deal, SEGMENT).groupBy("peak_label", "piece").applyInPandas(run, PIECE)
+    dealt = given.mapInPandas(_deal_lines(method), DEALT) if lines else given.mapInPandas(_deal, SEGMENT)
+    return dealt.groupBy("peak_label", "piece").applyInPandas(run, PIECE)
 
 
 def single_traces(traces: DataFrame) -> DataFrame:

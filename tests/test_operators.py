@@ -235,6 +235,24 @@ def test_combined_traces_equal_numpy(spark, monkeypatch):
             assert got["one"]["scan_time"] == [3.0, 1.0] and got["bare"]["scan_time"] == []
 
 
+@pytest.mark.parametrize("method", ["max", "mean"])
+def test_long_segments_are_not_sent_to_each_piece(spark, method):
+    # Half of the traces have two points and reach across all; some are the same, and times come twice.
+    rng = np.random.default_rng(7)
+    own = {f"f{k:03d}": (np.sort(np.round(rng.uniform(0, 100, n), 1)), np.round(rng.normal(5, 10, n), 1)) for k, n in enumerate([2, 30] * 100)}
+    own = {f: (t + 1e-4 * np.arange(len(t)), y) for f, (t, y) in own.items()} | {f"g{k}": (np.array([-1.0, 101.0]), np.array([3.0, 4.0])) for k in range(40)}
+    rows = spark.createDataFrame([("P", f, t.tolist(), y.tolist()) for f, (t, y) in own.items()], "peak_label string, ms_file_label string, scan_time array<double>, intensity array<double>").coalesce(1)
+    pieces = combined.combined_pieces(rows, method, 20).orderBy("piece").collect()
+    grid = np.unique(np.concatenate([t for t, _ in own.values()]))
+    values = np.array([np.interp(grid, t, y, left=0, right=0) for t, y in own.values()])
+    assert len(pieces) > 100 and np.array_equal(np.concatenate([r["t"] for r in pieces]), grid)
+    assert np.allclose(np.concatenate([r["i"] for r in pieces]), values.max(0) if method == "max" else values.mean(0))
+    inner = np.linspace(0, 100, 201)[1:-1]
+    given = [{"peak_label": "P", "usable": len(own), "cuts": inner, "t": t, "i": y} for t, y in own.values()]
+    dealt = combined._deal_lines(method)(iter([combined.pd.DataFrame(given)]))
+    assert sum(len(x) for x in dealt) < 2 * sum(len(t) for t, _ in own.values()) + 10 * len(inner)  # 140 traces cross up to 200 pieces each
+
+
 def test_full_range_of_pending_pairs(spark):
     points = spark.createDataFrame([("S1", k, 100.0, float(k), float(k)) for k in range(3000)] + [("S2", 1, 300.0, 1.0, 1.0)], POINT)
     targets = spark.createDataFrame([("T", 100.0, 10.0, 1.0, 0.0, 2.0, "s", "ms1", None, True, False), ("U", None, 10.0, 1.0, 0.0, 2.0, "s", "ms1", None, True, False)], TARGET)
