@@ -18,8 +18,12 @@ def read_points(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """Points partitioned by file: a query on some files reads only those."""
-    points.repartition("ms_file_label").write.mode("append").partitionBy("ms_file_label").parquet(path)
+    """Points in order of file and scan, in ranges of equal load: a query on some files reads only row groups that may hold them.
+
+    There is no folder a file, as files may be hundreds of thousands.
+    """
+    order = ["ms_file_label", "scan_id"]
+    points.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:

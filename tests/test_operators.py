@@ -396,6 +396,14 @@ def test_p_values():
     assert abs(A.incomplete_beta(6.0, 1.0, 12 / (12 + 8.0)) - 0.6**6) < 1e-9
 
 
+def test_points_of_many_files_are_few_parquet_files(spark, tmp_path):
+    rows = spark.range(6000).select(F.concat(F.lit("F"), F.col("id") % 2000).alias("ms_file_label"), (F.col("id") % 7).cast("int").alias("scan_id"), F.col("id").cast("double").alias("mz"), F.lit(1.0).alias("intensity"), F.lit(2.0).alias("scan_time"))
+    readers.write_points(rows, str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").rglob("*.parquet"))) <= 8
+    found = readers.read_points(spark, str(tmp_path / "p"))
+    assert sorted(found.select(rows.columns).collect()) == sorted(rows.collect())
+
+
 def test_spectra_files(spark, tmp_path):
     def b64(values, kind):
         return base64.b64encode(np.array(values, kind).tobytes()).decode()
