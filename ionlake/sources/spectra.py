@@ -12,11 +12,13 @@ off. Either way a file that isn't valid XML gives no point, and its name with th
 from __future__ import annotations
 
 import base64
+import io
 import math
 import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import IO
 
 import numpy as np
@@ -30,15 +32,20 @@ from ionlake.sources.staging import staged
 
 SPECTRA = POINTS2 + ", ms_level int, polarity string, acquisition_datetime string, error string"
 ROWS = 100_000
+#: mzML files up to this size are parsed as a whole tree, others element by element.
+TREE_BYTES = 1 << 20
 #: Files up to this size are read in one piece; larger ones in ranges of SPLIT_BYTES.
 WHOLE_BYTES = 32 << 20
 SPLIT_BYTES = 64 << 20
 _SECONDS = re.compile(r"^P(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)$", re.I)
+_SCAN = re.compile(r"scan=(\d+)")
 # Controlled-vocabulary accessions.
 LEVEL, POSITIVE, NEGATIVE, START = "MS:1000511", "MS:1000130", "MS:1000129", "MS:1000016"
+OF_SCANS = {LEVEL, POSITIVE, NEGATIVE, START, "MS:1000512", "MS:1000744"}
 FLOAT32, ZLIB, MZ, INTENSITY, FILTER, ION = "MS:1000521", "MS:1000574", "MS:1000514", "MS:1000515", "MS:1000512", "MS:1000744"
 
 
+@lru_cache(1024)
 def _name(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
@@ -59,12 +66,15 @@ def decode(text: str | None, bits: int, packed: bool, order: str) -> np.ndarray:
 
 
 def _mzml_scan(e: ET.Element) -> dict:
-    found = re.search(r"scan=(\d+)", e.get("id", ""))
+    found = _SCAN.search(e.get("id", ""))
     scan = {"id": int(found[1]) if found else int(e.get("index") or 0) + 1, "time": 0.0, "level": 1, "polarity": None, "precursor": None, "filter": None, "mz": np.zeros(0), "intensity": np.zeros(0)}
     for part in e.iter():
         name = _name(part.tag)
         if name == "cvParam":
-            kind, value = part.get("accession"), part.get("value") or ""
+            kind = part.get("accession")
+            if kind not in OF_SCANS:
+                continue
+            value = part.get("value") or ""
             if kind == LEVEL:
                 scan["level"] = int(value or 1)
             elif kind in (POSITIVE, NEGATIVE):
@@ -145,6 +155,23 @@ def scans(events: Iterable[tuple[str, ET.Element | None]], state: dict | None =
                 yield scan | {"when": when}
 
 
+def tree_scans(content: bytes) -> Iterator[dict]:
+    """``scans`` of a small file from its tree, where it is mzML: its scans lie side by side and need no events."""
+    root = ET.fromstring(content)
+    if _name(root.tag) not in ("mzML", "indexedmzML"):
+        yield from scans(ET.iterparse(io.BytesIO(content), events=("start", "end")))
+        return
+    when = None
+    for e in root.iter():
+        name = _name(e.tag)
+        if name == "run":
+            when = e.get("startTimeStamp")
+        elif name == "spectrum":
+            scan = _mzml_scan(e)
+            if len(scan["mz"]):
+                yield scan | {"when": when}
+
+
 BROKEN = (ET.ParseError, ValueError, zlib.error)
 NAMES = [c.split()[0] for c in SPECTRA.split(", ")]
 TYPES = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -161,25 +188,29 @@ def say(e: Exception) -> str:
 def points_of(path: str, content: IO[bytes]) -> list[pa.RecordBatch]:
     """Batches of one file's points, or one row with an error; level and polarity are those of its first scan with points."""
     label, level, polarity = label_of(path), None, None
-    held: list[list] = [[] for _ in NAMES]
+    held: list[tuple] = []
     out: list[pa.RecordBatch] = []
 
     def flush() -> None:
-        out.append(pa.RecordBatch.from_arrays([pa.array(np.concatenate(h) if h and isinstance(h[0], np.ndarray) else [x for part in h for x in part], t) for h, t in zip(held, TYPES, strict=True)], NAMES))
-        for h in held:
-            h.clear()
+        n, scan, mz, intensity, time, precursor, line, elm, when = zip(*held, strict=True)
+        n = np.array(n)
+        each = pa.array(np.repeat(np.arange(len(n)), n))
+        whole = lambda value, t: pa.repeat(pa.scalar(value, t), len(each))
+        spread = lambda values, t: whole(None, t) if not any(v is not None for v in values) else pa.array(values, t).take(each)
+        columns = [whole(label, TYPES[0]), spread(scan, TYPES[1]), np.concatenate(mz), np.concatenate(intensity), np.repeat(time, n), spread(precursor, TYPES[5]), spread(line, TYPES[6]), spread(elm, TYPES[7]), whole(level, TYPES[8]), whole(polarity, TYPES[9]), spread(when, TYPES[10]), whole(None, TYPES[11])]
+        out.append(pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, TYPES, strict=True)], NAMES))
+        held.clear()
 
     total = 0
     try:
-        for s in scans(ET.iterparse(content, events=("start", "end"))):
+        small = content.size() <= TREE_BYTES if isinstance(content, pa.NativeFile) else False
+        for s in tree_scans(content.read()) if small else scans(ET.iterparse(content, events=("start", "end"))):
             if level is None:
                 level, polarity = s["level"], s["polarity"] or "Negative"
             n = min(len(s["mz"]), len(s["intensity"]))
             two = level == 2
             elm = f"{polarity} {spelled(s)}" if two and s["precursor"] is not None else None
-            values = [[label] * n, np.full(n, s["id"], np.int32), s["mz"][:n], s["intensity"][:n], np.full(n, s["time"]), [s["precursor"] if two else None] * n, [s["filter"] if two else None] * n, [elm] * n, np.full(n, level, np.int32), [polarity] * n, [s["when"]] * n, [None] * n]
-            for h, v in zip(held, values, strict=True):
-                h.append(v)
+            held.append((n, s["id"], s["mz"][:n], s["intensity"][:n], s["time"], s["precursor"] if two else None, s["filter"] if two else None, elm, s["when"]))
             total += n
             if total >= ROWS:
                 flush()

@@ -396,6 +396,16 @@ def test_p_values():
     assert abs(A.incomplete_beta(6.0, 1.0, 12 / (12 + 8.0)) - 0.6**6) < 1e-9
 
 
+def test_small_files_from_their_tree_are_as_from_events():
+    part = lambda kind, values: f'<binaryDataArray><cvParam accession="MS:1000523"/><cvParam accession="{kind}"/><binary>{base64.b64encode(np.array(values, "<f8").tobytes()).decode()}</binary></binaryDataArray>'
+    scan = lambda k, n: f'<spectrum index="{k}" id="scan={k}"><cvParam accession="MS:1000511" value="2"/><cvParam accession="MS:1000512" value="f{k}"/><cvParam accession="MS:1000016" value="{k}" unitName="minute"/>{part("MS:1000514", range(n))}{part("MS:1000515", range(n))}</spectrum>'
+    text = f'<mzML xmlns="x"><run startTimeStamp="T"><spectrumList>{scan(3, 2)}{scan(4, 0)}{scan(5, 1)}</spectrumList></run></mzML>'.encode()
+    said = lambda rows: [{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows]
+    assert said(spectra.tree_scans(text)) == said(spectra.scans(spectra.ET.iterparse(io.BytesIO(text), events=("start", "end"))))
+    assert [b.num_rows for b in spectra.points_of("f.mzML", pa.BufferReader(text))] == [3]
+    assert spectra.points_of("f.mzML", pa.BufferReader(text[:-20]))[0].to_pylist()[0]["error"].startswith("Invalid XML")
+
+
 def test_points_of_many_files_are_few_parquet_files(spark, tmp_path):
     rows = spark.range(6000).select(F.concat(F.lit("F"), F.col("id") % 2000).alias("ms_file_label"), (F.col("id") % 7).cast("int").alias("scan_id"), F.col("id").cast("double").alias("mz"), F.lit(1.0).alias("intensity"), F.lit(2.0).alias("scan_time"))
     readers.write_points(rows, str(tmp_path / "p"))
