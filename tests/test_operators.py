@@ -614,6 +614,26 @@ def test_tiles_are_all_distances(spark, keys, along):
     assert tiles.pair_products(rows.limit(0), "k", "f", "v", keys, along)[0].count() == 0
 
 
+@pytest.mark.parametrize(("keys", "along"), [(None, 256), (4, 3), (2, 256), (1, 1)])
+def test_distances_leave_the_tiles_as_whole_rows(spark, keys, along):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((150, 7)) < 0.5, rng.integers(1, 9, (150, 7)), 0).astype(float)
+    x[:, 0] += 1
+    rows = spark.createDataFrame([(f"k{i:03}", f"f{j}", float(x[i, j])) for i in range(150) for j in range(7) if x[i, j]] + [("none", "f0", None)], "k string, f string, v double")
+    found = tiles.pair_distances(rows, "k", "f", "v", 6, keys, along)
+    got = {(r["a"], r["b"]): r["distance"] for r in found.collect()}
+    assert got == {(f"k{i:03}", f"k{j:03}"): round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 6) for i in range(150) for j in range(i + 1, 150)}
+    after = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # what the rows of the result go through
+    assert not any(step in after for step in ("Join", "Repartition", "Aggregate", "Sort", "round("))
+    assert tiles.pair_distances(rows.limit(0), "k", "f", "v", 6, keys, along).count() == 0
+    assert tiles.pair_distances(rows.filter("k = 'k001'"), "k", "f", "v", 6, keys, along).count() == 0
+
+
+def test_rounding_is_halves_up():
+    got = tiles.rounded(np.array([0.5, 1.5, 2.4999, 1e300, np.inf, 0.0]), 0)
+    assert got.tolist() == [1, 2, 2, 1e300, np.inf, 0] and np.isnan(tiles.rounded(np.array([np.nan]), 6)[0]) and tiles.rounded(np.array([2.0**0.5]), 6)[0] == 1.414214
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     groups = {"hot": rng.normal(size=3000), "one": np.array([5.0]), "ties": np.array([1.0, 1.0, 1.0, 2.0]), None: rng.normal(size=10)}
