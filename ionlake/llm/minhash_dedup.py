@@ -18,6 +18,8 @@
    component yet. The prefix starts at ``SHALLOW`` minima; a region of more than
    ``REGION`` rows goes one minimum deeper, and so on, with the ``NEAR`` next rows of the
    order linked across the cut. All pairs of a region of at most ``REGION`` rows are candidates.
+   ``ROUND`` trees are sorted at a time: a row of an order is some 110 bytes on disk, so all 40 would be
+   4.4 kB a document. The shuffle files of a round go when its pairs are written, so disk holds one round's.
 6. Leaves that are still larger at full depth, and those that lie across the border of two
    partitions, are compared in full if they hold more than one component: rows outside
    the leaf's largest component with all its rows, in block pairs dealt to tasks by the bytes
@@ -56,11 +58,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionlake.llm.components import components
-from ionlake.llm.shared import Stage, bitmap_of, fresh, grams, in_bitmap, lower_ascii, mix, only, passes, text_bytes, words
+from ionlake.llm.shared import Stage, bitmap_of, fresh, freeing_shuffles, grams, in_bitmap, lower_ascii, mix, only, passes, text_bytes, words
 
 TREES, DEPTH, SHALLOW = 40, 8, 4
 BINS = TREES * DEPTH
 FIRST_TREES, FIRST_NEAR = 8, 2
+#: Trees of the second pass that are sorted, and so lie on disk, at a time.
+ROUND = 10
 #: Largest region whose pairs are all candidates, and rows linked across a cut of a larger one.
 REGION, NEAR = 24, 6
 #: Rows and bytes of sets of a block of a leaf that is compared in full.
@@ -496,6 +500,11 @@ def _across(similarity: float):
 
 def near_components(docs: DataFrame, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, components): id, n_shingles, vertex of every row with an id; vertex, component_id of every class of equal word sequences."""
+    with freeing_shuffles(docs.sparkSession):
+        return _near_components(docs, similarity, width, id_col, text_col)
+
+
+def _near_components(docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     stage = Stage(spark, "minhash")
     source = only(docs, id_col, text_col).toDF("id", "text").filter("id IS NOT NULL").withColumn("id", F.col("id").cast("long"))
@@ -504,7 +513,8 @@ def near_components(docs: DataFrame, similarity: float, width: int, id_col: str
     classes = stage.keep(classes.withColumn("vertex", F.monotonically_increasing_id()), "classes")
     members = stage.keep(described.select("id", "n_shingles", "same").join(classes, "same", "left").select("id", "n_shingles", "vertex"), "members")
     firsts = described.join(classes.select("same", F.col("rep").alias("id"), "vertex").hint("shuffle_merge"), ["same", "id"])
-    reps = stage.keep(firsts.dropDuplicates(["vertex"]).select("vertex", "signature", "n_shingles"), "reps")
+    # Repeated rows of one id and text; the join has dealt them by these columns, so signatures move once.
+    reps = stage.keep(firsts.dropDuplicates(["same", "id"]).select("vertex", "signature", "n_shingles"), "reps")
     stage.drop("described")
     n_reps, least_parts = reps.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -539,7 +549,10 @@ def near_components(docs: DataFrame, similarity: float, width: int, id_col: str
     linked = Stage(spark, "minhash-near")
     rows = stage.keep(joined(components(links[0], linked)), "rows")
     linked.clear()
-    region = stage.keep(sorted_trees(rows, 0, TREES).mapInArrow(_neighbours(similarity), pair).distinct(), "pairs_region")
+    rounds = range(0, TREES, ROUND)
+    by_round = [stage.keep(sorted_trees(rows, k, min(k + ROUND, TREES)).mapInArrow(_neighbours(similarity), pair), f"round{k}") for k in rounds]
+    region = stage.keep(reduce(DataFrame.unionByName, by_round).distinct(), "pairs_region")
+    stage.drop(*[f"round{k}" for k in rounds])
     leaves = stage.keep(region.filter("leaf IS NOT NULL").select(F.col("leaf").alias("region")), "leaves")
     links.append(confirmed(region.filter("leaf IS NULL").select("a", "b"), "region"))
     linked = Stage(spark, "minhash-region")

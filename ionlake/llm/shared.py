@@ -72,6 +72,24 @@ def releasing() -> Iterator[None]:
         stage.clear()
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query that runs inside go when it ends, not when the driver happens to collect its garbage.
+
+    For jobs whose every step is written by ``Stage.keep``, so that no later query reads a shuffle again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with derived ones."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import sys
+import uuid
 import zlib
 from pathlib import Path
 
@@ -88,6 +91,45 @@ def test_minhash_does_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_minhash_disk_holds_one_round_of_trees(spark, monkeypatch, tmp_path):
+    """Shuffle files that lie on disk while sorted orders are read, and after the last step, a document."""
+    rng, n = np.random.default_rng(10), 2000
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 80)) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    root, notes, plain = spark.conf.get("spark.local.dir"), str(tmp_path), minhash_dedup._neighbours
+
+    def on_disk():
+        total = 0
+        for folder, _, names in os.walk(root):
+            for name in names:
+                with contextlib.suppress(OSError):  # a file may go meanwhile
+                    total += os.path.getsize(f"{folder}/{name}") if name.startswith("shuffle_") else 0
+        return total
+
+    def measured(similarity):
+        inner = plain(similarity)
+
+        def run(batches):
+            Path(f"{notes}/{uuid.uuid4().hex}").write_text(str(on_disk()))
+            yield from inner(batches)
+
+        return run
+
+    monkeypatch.setattr(minhash_dedup, "_neighbours", measured)
+    was, key, before = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled", on_disk()
+    cleaned = spark.conf.get(key, None)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)  # as in a large table, a partition has rows of one tree or two
+    try:
+        rows, found = minhash_dedup.near_components(docs, 0.85, 3)
+        after = on_disk() - before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    most = max(int(f.read_text()) for f in tmp_path.iterdir()) - before
+    assert most < 1500 * n and after < 100 * n, (most / n, after / n)
+    assert rows.count() == found.select("component_id").distinct().count() == n
+    assert spark.conf.get(key, None) == cleaned
+
+
 def test_sketches_keep_pairs_at_the_threshold():
     rng = np.random.default_rng(9)
     for n in (60, 200, 3000):
