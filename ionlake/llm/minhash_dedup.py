@@ -313,9 +313,13 @@ def _neighbours(similarity: float):
     """
     prefix = 1 + 2 * SHALLOW
 
-    def leaves(keys: np.ndarray) -> pa.RecordBatch:
-        """Every depth's region of the given keys: which of them is a leaf, the number of its rows in all partitions decides."""
-        found = [k[: 1 + 2 * d].tobytes() for k in keys for d in range(SHALLOW, DEPTH + 1)]
+    def leaves(key: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        """Regions of a border's key: which of them is a leaf, the number of its rows in all partitions decides.
+
+        One above full depth is none if the keys near the border hold more than ``REGION`` of it.
+        """
+        same = np.logical_and.accumulate(near == key, axis=1).sum(axis=0)
+        found = [key[: 1 + 2 * d].tobytes() for d in range(SHALLOW, DEPTH + 1) if d == DEPTH or same[2 * d] <= REGION]
         return pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found, pa.binary())], ["a", "b", "leaf"])
 
     def emit(rows: Rows, to: int) -> Iterator[pa.RecordBatch]:
@@ -344,7 +348,7 @@ def _neighbours(similarity: float):
                 continue
             now = Rows.of(batch)
             if last is None:
-                yield leaves(now.key[:1])
+                yield leaves(now.key[0], now.key)
             goes_on = last is not None and (now.key[-1, :prefix] == last[0, :prefix]).all()
             last = now.key[-1:].copy()
             if goes_on:
@@ -356,8 +360,8 @@ def _neighbours(similarity: float):
                 yield from emit(rows, to)
             held = [rows.slice(to)]
         if held:
-            yield leaves(last)
             rows = Rows(held)
+            yield leaves(last[0], rows.key)
             if len(rows.key) > 1:
                 yield from emit(rows, len(rows.key))
 

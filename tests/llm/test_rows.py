@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parents[1])]
@@ -130,6 +131,19 @@ def test_minhash_disk_holds_one_round_of_trees(spark, monkeypatch, tmp_path):
     assert spark.conf.get(key, None) == cleaned
 
 
+def test_minhash_borders_name_no_region_that_is_too_large():
+    """A border in a region of many rows names its deepest one alone; smaller ones are named at each depth."""
+    sig = np.zeros((100, minhash_dedup.BINS), np.uint16)
+    sig[:, 6] = np.arange(100) // 20
+    sig[:, 7] = np.arange(100) % 20
+    keys, n = minhash_dedup.keys_of(sig, 0, 1), pa.array(np.arange(100))
+    batch = pa.RecordBatch.from_arrays([minhash_dedup.binaries(keys), n, n, n, minhash_dedup.binaries(minhash_dedup.sketches(sig))], ["key", "vertex", "component", "n", "sketch"])
+    for rows in (100, 30):  # in one batch and in several
+        cut = [batch.slice(k, rows) for k in range(0, 100, rows)]
+        leaves = {x for b in minhash_dedup._neighbours(0.85)(iter(cut)) for x in b.column("leaf").to_pylist() if x is not None}
+        assert leaves == {keys[k, : 1 + 2 * d].tobytes() for k in (0, 99) for d in (7, 8)}
+
+
 def test_sketches_keep_pairs_at_the_threshold():
     rng = np.random.default_rng(9)
     for n in (60, 200, 3000):
