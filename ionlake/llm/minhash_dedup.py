@@ -589,7 +589,8 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_leaves(rows: DataFrame, leaves: DataFrame, stage: Stage) -> DataFrame:
     """region, vertex, component, rest, left, x, y: who meets whom in the leaves that are compared in full."""
     places = stage.keep(leaves.mapInArrow(_region_place, "place long"), "places")
-    bitmap = bitmap_of(places, BITMAP)
+    # Every row asks for 200 regions, so few bits would let many through that the join then drops.
+    bitmap = bitmap_of(places, BITMAP, 1024)
     members = rows.select("vertex", "component", "signature").mapInArrow(_members(bitmap), "region binary, vertex long, component long")
     members = stage.keep(members.join(leaves.hint("shuffle_merge"), "region").join(rows.select("vertex", "n_shingles").hint("shuffle_merge"), "vertex"), "members_of_leaves")
     parts = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))

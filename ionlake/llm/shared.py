@@ -145,10 +145,10 @@ def in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def bitmap_of(places: DataFrame, most: int) -> np.ndarray:
-    """A bitmap, as 64-bit words, of a written table of hashes ``place`` (long); at most ``most`` bits, however many there are."""
+def bitmap_of(places: DataFrame, most: int, times: int = 16) -> np.ndarray:
+    """A bitmap, as 64-bit words, of a written table of hashes ``place`` (long); ``times`` bits each, at most ``most`` bits, however many there are."""
     n, bits = places.count(), 1 << 16
-    while bits < min(16 * n, most):
+    while bits < min(times * n, most):
         bits *= 2
     at = F.pmod(F.col("place"), F.lit(bits))
     rows = places.select(F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
