@@ -646,6 +646,33 @@ def test_distances_leave_the_tiles_as_whole_rows(spark, keys, along):
     assert tiles.pair_distances(rows.filter("k = 'k001'"), "k", "f", "v", 6, keys, along).count() == 0
 
 
+@pytest.mark.parametrize(("n", "m"), [(1, 0), (2, 0), (150, 0), (1, 1), (33, 131), (40, 4200)])
+def test_pieces_of_a_tile_are_small_and_come_by_many(n, m):
+    rng = np.random.default_rng(7)
+    x = [rng.integers(1, 9, (k, 3)).astype(float) for k in (n, m) if k]
+    sides = []
+    for s, values in enumerate(x):
+        side = tiles._Side(len(values))
+        for j in range(3):
+            order = rng.permutation(len(values))
+            side.add(order, np.full(len(values), j), values[order, j], pa.array([f"{s}-{i:04}" for i in order]))
+        sides.append(side)
+    batches = list(tiles._pieces(sides[0], sides[1] if m else None, lambda a, b: -2 * x[0][a] @ x[-1][b].T, 6))
+    pieces = [p for b in batches for p in b.to_pylist()]
+    got = [(a, b, p["distance"][i * len(p["second"]) + j]) for p in pieces for i, a in enumerate(p["first"]) for j, b in enumerate(p["second"])]
+    far = lambda i, j: round(float(np.sqrt(((x[0][i] - x[-1][j]) ** 2).sum())), 6)
+    wanted = [(f"0-{i:04}", f"{len(x) - 1}-{j:04}", far(i, j)) for i in range(n) for j in (range(m) if m else range(i + 1, n))]
+    assert sorted(got) == wanted
+    assert all(len(p["distance"]) == len(p["first"]) * len(p["second"]) <= 1024 for p in pieces)  # Spark holds the rows of a piece
+    assert len(batches) <= 3 * (n / tiles.ROWS + 1) and (m < 4200 or max(len(b) for b in batches) >= 64)
+
+
+def test_rounding_near_halves_and_of_large_numbers():
+    below, wide = np.nextafter(0.5, 0), np.array([2.0**51 + 0.5, 2.0**52 - 0.5, 2.0**52 + 1])
+    assert tiles.rounded(np.array([below, np.nextafter(2.5, 0), 2.5, 3.5]), 0).tolist() == [0, 2, 3, 4]
+    assert tiles.rounded(wide, 0).tolist() == [2.0**51 + 1, 2.0**52, 2.0**52 + 1]
+
+
 def test_rounding_is_halves_up():
     got = tiles.rounded(np.array([0.5, 1.5, 2.4999, 1e300, np.inf, 0.0]), 0)
     assert got.tolist() == [1, 2, 2, 1e300, np.inf, 0] and np.isnan(tiles.rounded(np.array([np.nan]), 6)[0]) and tiles.rounded(np.array([2.0**0.5]), 6)[0] == 1.414214
